@@ -37,7 +37,7 @@ def _as_long(part: Column) -> Column:
     # conv gives the unsigned reading; the upper half of int64 is negative
     unsigned = F.conv(F.hex(part), 16, 10).cast("decimal(20,0)")
     wrapped = F.when(
-        unsigned > F.lit(2**63 - 1), unsigned - F.lit(2**64).cast("decimal(20,0)")
+        unsigned > F.lit(2**63 - 1), unsigned - F.lit(str(2**64)).cast("decimal(20,0)")
     ).otherwise(unsigned)
     return wrapped.cast("bigint")
 

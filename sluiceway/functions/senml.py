@@ -27,8 +27,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _known(text: Column) -> Column:
+    return F.when(~F.lower(text).isin("", "null"), text)
+
+
 def observations(elements: Column) -> Column:
-    """MAP<name, value> of the elements; ``v`` before ``sv``; the last of a name wins."""
+    """MAP<name, value> of the elements; ``v`` before ``sv``; the last of a name wins.
+
+    The texts ``null`` and the empty text become NULL.
+    """
     def last_of_name(pairs: Column) -> Column:
         return F.filter(
             pairs,
@@ -44,7 +51,7 @@ def observations(elements: Column) -> Column:
         elements,
         lambda e: F.struct(
             F.coalesce(e["n"], F.lit("")).alias("key"),
-            F.coalesce(e["v"], e["sv"]).alias("value"),
+            _known(F.coalesce(e["v"], e["sv"])).alias("value"),
         ),
     )
     return _let(pairs, as_map)

@@ -45,10 +45,9 @@ def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def as_columns(
     df: DataFrame, fields: Sequence[str], numeric: Sequence[str] = TRIP_NUMERIC
 ) -> DataFrame:
-    """Promote observations to typed columns; ``"null"`` and ``""`` become NULL."""
+    """Promote observations to typed columns."""
     def column(name: str) -> Column:
-        raw = F.col("observations")[name]
-        value = F.when(~F.lower(raw).isin("", "null"), raw)
+        value = F.col("observations")[name]
         return (value.try_cast("double") if name in numeric else value).alias(name)
 
     kept = [c for c in df.columns if c != "observations"]

@@ -48,7 +48,8 @@ CATALOGUE_METADATA = (
     ("urn:X-hypercat:rels:supportsSearch", "urn:X-hypercat:search:prefix"),
 )
 
-SENML = "bt bigint, e array<struct<n string, u string, v string, sv string, t bigint>>"
+# unit and element time are not read: neither reaches the observations
+SENML = "bt bigint, e array<struct<n string, v string, sv string>>"
 DETECTIONS = (
     "array<struct<label string, confidence double, "
     "topleft struct<x double, y double>, bottomright struct<x double, y double>>>"

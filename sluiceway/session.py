@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,18 @@ def pin(df: DataFrame) -> DataFrame:
     """
     _shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="sluiceway-")) / here.name
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(str(target), "zip", root_dir=here.parent, base_dir=here.name)
+        )
+        _shipped.add(app)

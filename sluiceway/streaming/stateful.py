@@ -43,15 +43,38 @@ def message_join(
     return gathered.where(test).drop("_seen").withColumn("joined_value", joined_text(fields))
 
 
+def _expiring(
+    rows: DataFrame, event_time: str | None, delay: str
+) -> tuple[DataFrame, str]:
+    """Watermarked rows and the timeout that goes with them; none without event time."""
+    if event_time is None:
+        return rows, GroupStateTimeout.NoTimeout
+    return rows.withWatermark(event_time, delay), GroupStateTimeout.EventTimeTimeout
+
+
+def _keep_until(state: GroupState, newest: pd.Timestamp | None, idle_ms: int) -> None:
+    if newest is not None:
+        since = max(state.getCurrentWatermarkMs(), int(newest.timestamp() * 1000))
+        state.setTimeoutTimestamp(since + idle_ms)
+
+
 def batch_gate(
-    items: DataFrame, size: int = 10, batch: str = "batch_id", order: str = "arrival", idle_ms: int = 86_400_000
+    items: DataFrame,
+    size: int = 10,
+    batch: str = "batch_id",
+    order: str = "arrival",
+    event_time: str | None = None,
+    delay: str = "10 minutes",
+    idle_ms: int = 86_400_000,
 ) -> DataFrame:
     """The item that brings its batch to ``size``; later items are swallowed.
 
-    State is a count per batch, dropped after ``idle_ms`` without items.
+    State is a count per batch. With ``event_time`` it is dropped once the
+    watermark is ``idle_ms`` past the batch's last item.
     """
     schema = items.schema
     names = schema.names
+    items, timeout = _expiring(items, event_time, delay)
 
     def gate(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,21 +83,22 @@ def batch_gate(
         seen = state.get[0] if state.exists else 0
         # only the first rows up to the gate can matter, so only those are held
         need = size - seen
-        first = None
+        first, newest = None, None
         arrived = 0
         for frame in frames:
             arrived += len(frame)
-            if need > 0:
+            if event_time and len(frame):
+                latest = frame[event_time].max()
+                newest = latest if newest is None else max(newest, latest)
+            if need > 0 and len(frame):
                 first = frame if first is None else pd.concat([first, frame])
-                first = first.nsmallest(need, order) if len(first) > need else first
+                first = first.nsmallest(need, order)
         state.update((seen + arrived,))
-        state.setTimeoutDuration(idle_ms)
+        _keep_until(state, newest, idle_ms)
         if need > 0 and seen + arrived >= size:
             yield first.nlargest(1, order)[names]
 
-    return items.groupBy(batch).applyInPandasWithState(
-        gate, schema, "seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    return items.groupBy(batch).applyInPandasWithState(gate, schema, "seen bigint", "append", timeout)
 
 
 def impute_mean(
@@ -84,32 +108,37 @@ def impute_mean(
     sensor: str = "taxi_identifier",
     order: str = "msg_id",
     output: str = "imputed",
+    event_time: str | None = None,
+    delay: str = "10 minutes",
     idle_ms: int = 86_400_000,
 ) -> DataFrame:
     """Fill missing readings from the sensor's last ``window`` readings.
 
     Rows are put in order within a trigger and follow the triggers before it.
-    State is at most ``window`` readings per sensor.
+    State is at most ``window`` readings per sensor; with ``event_time`` it is
+    dropped once the watermark is ``idle_ms`` past the sensor's last reading.
     """
     schema = T.StructType([*readings.schema.fields, T.StructField(output, T.DoubleType())])
     names = schema.names
+    readings, timeout = _expiring(readings, event_time, delay)
 
     def fill(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         history = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        values = pd.concat([pd.Series(history, dtype="float64"), rows[field].astype("float64")], ignore_index=True)
+        # one sensor's share of one trigger, which the source's rate limit bounds
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(order, kind="stable")
+        values = pd.Series([*history, *rows[field].astype("float64")], dtype="float64")
         known = values.dropna()
         means = known.rolling(window, min_periods=1).mean().reindex(values.index).ffill()
         filled = values.fillna(means).iloc[len(history):]
         state.update(([float(v) for v in known.tail(window)],))
-        state.setTimeoutDuration(idle_ms)
+        _keep_until(state, rows[event_time].max() if event_time else None, idle_ms)
         yield rows.assign(**{output: filled.to_numpy()})[names]
 
     return readings.groupBy(sensor).applyInPandasWithState(
-        fill, schema, "history array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        fill, schema, "history array<double>", "append", timeout
     )
 
 
