@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import subprocess
 import threading
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -194,7 +195,8 @@ def pipe_lines(df: DataFrame, column: str, command: Sequence[str]) -> DataFrame:
             except BaseException as error:  # noqa: BLE001 - raised again below
                 errors.append(error)
             finally:
-                proc.stdin.close()
+                with contextlib.suppress(BrokenPipeError):
+                    proc.stdin.close()
 
         feeder = threading.Thread(target=feed, daemon=True)
         feeder.start()
@@ -207,10 +209,10 @@ def pipe_lines(df: DataFrame, column: str, command: Sequence[str]) -> DataFrame:
                 lines = []
         feeder.join()
         code = proc.wait()
-        if errors:
-            raise errors[0]
         if code:
             raise RuntimeError(f"{command[0]} ended with {code}")
+        if errors and not isinstance(errors[0], BrokenPipeError):
+            raise errors[0]  # a command may stop reading early and still succeed
         if lines:
             yield pd.DataFrame({column: lines})
 

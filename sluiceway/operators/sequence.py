@@ -158,7 +158,7 @@ def with_lookback(
     )
     # from here on a key has at most rows x chunks rows
     forwards = Window.partitionBy(*cut.keys).orderBy("_chunk", F.col("_back").desc())
-    numbered = tails.withColumn("_i", F.row_number().over(forwards)).drop("_back")
+    numbered = tails.withColumn("_i", F.row_number().over(forwards).cast("bigint")).drop("_back")
     held = numbered.groupBy(*cut.by).agg(F.count("*").alias("_held"))
     before = Window.partitionBy(*cut.keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
@@ -172,7 +172,7 @@ def with_lookback(
             *cut.by,
             F.explode(
                 F.sequence(F.greatest(F.lit(1), F.col("_before") - rows + 1), F.col("_before"))
-            ).cast("int").alias("_i"),
+            ).alias("_i"),
         )
     )
     halo = (

@@ -39,7 +39,7 @@ def scan_files(
     """Files below ``root`` that pass the filters, with attributes and content.
 
     Select only the columns in need: content is not read unless it is used.
-    Hidden files (leading ``.`` or ``_``) are never listed.
+    Spark lists neither hidden files (leading ``.`` or ``_``) nor empty ones.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = (
