@@ -8,12 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_pair(key: Column) -> tuple[Column, Column]:
-    """Two 48-bit numbers from the first 24 hex digits of md5."""
-    digest = F.md5(key.cast("string").cast("binary"))
-    return tuple(
-        F.conv(F.substring(digest, at, 12), 16, 10).cast("bigint") for at in (1, 13)
-    )
+def hash_pair(key: Column) -> Column:
+    """STRUCT<h1, h2>: two 48-bit numbers from the first 24 hex digits of md5."""
+    def number(digest: Column, at: int) -> Column:
+        return F.conv(F.substring(digest, at, 12), 16, 10).cast("bigint")
+
+    digest = F.array(F.md5(key.cast("string").cast("binary")))
+    # the digest is taken once and read twice
+    pairs = F.transform(digest, lambda d: F.struct(number(d, 1).alias("h1"), number(d, 13).alias("h2")))
+    return F.get(pairs, F.lit(0))
 
 
 def bloom_shape(expected: int, fpp: float, shard_bits: int) -> tuple[int, int, int]:

@@ -28,7 +28,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _known(text: Column) -> Column:
-    return F.when(~F.lower(text).isin("", "null"), text)
+    return F.when(~text.isin("", "null"), text)
 
 
 def observations(elements: Column) -> Column:

@@ -135,7 +135,7 @@ def apply_batch(
     """
     counts = df.groupBy(batch).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
     if counts.isEmpty():
-        grouped = df.groupBy(batch)
+        parts = df.withColumn("_slice", F.lit(0).cast("bigint"))
     else:
         if not merge:
             raise ValueError("a batch exceeds slice_rows: give merge columns to fold its slices")
@@ -146,10 +146,28 @@ def apply_batch(
             .withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*on), slices), F.lit(0)))
             .drop("_n")
         )
-        kept = df.columns
-        grouped, inner = parts.groupBy(batch, "_slice"), fn
-        fn = lambda frame: inner(frame[kept])
-    out = grouped.applyInPandas(fn, schema)
+    columns, group = df.columns, [batch, "_slice"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # slices lie side by side; the last one of a frame may go on in the next
+        held: list[pd.DataFrame] = []
+        held_key = None
+        for frame in frames:
+            done = []
+            for key, part in frame.groupby(group, sort=False, dropna=False):
+                if held and key != held_key:
+                    done.append(fn(pd.concat(held)[columns]))
+                    held = []
+                held.append(part)
+                held_key = key
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield fn(pd.concat(held)[columns])
+
+    # a fixed number of partitions: user code is worth a task even where rows are few
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = parts.repartition(width, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
     return out.groupBy(batch).agg(*merge) if merge else out
 
 

@@ -17,7 +17,6 @@ EXPECTED_INSERTIONS = 20_000_000
 FALSE_POSITIVE_RATE = 0.01
 
 SHARD_BITS = 1 << 19
-ABSENT_SHARD = -1
 
 
 class BloomModel(NamedTuple):
@@ -49,10 +48,9 @@ def bloom_train(
     """OR the hash positions of the field's values into 64-bit words."""
     bits, shards, hashes = bloom_shape(expected, fpp, shard_bits)
     words = bits // 64
-    h1, h2 = hash_pair(F.col(field))
     set_bits = (
         df.select(field).where(F.col(field).isNotNull()).distinct()
-        .select(h1.alias("h1"), h2.alias("h2"))
+        .select(F.inline(F.array(hash_pair(F.col(field)))))
         .select(
             (F.col("h1") % shards).alias("shard"),
             F.explode(
@@ -60,7 +58,7 @@ def bloom_train(
             ).alias("pos"),
         )
         .select(
-            (F.col("shard") * words + F.floor(F.col("pos") / 64)).alias("word"),
+            (F.col("shard") * words + F.shiftright("pos", 6)).alias("word"),
             F.expr("shiftleft(1L, cast(pos % 64 as int))").alias("mask"),
         )
     )
@@ -84,28 +82,18 @@ def bloom_filter(
     The model is broadcast while its size, fixed by its parameters, stays under
     ``max_bytes``; past that rows and shards meet in a shuffled semi join.
     """
-    h1, h2 = hash_pair(F.col("_key"))
-    # a row without the field meets a shard of its own whose bits are all set
-    shard = F.when(F.col(field).isNull(), F.lit(ABSENT_SHARD)).otherwise(h1 % model.shards)
-    probe = (
-        df.withColumn("_key", F.coalesce(F.col(field).cast("string"), F.lit("")))
-        .withColumn("_h1", h1).withColumn("_h2", h2)
-        .withColumn("_shard", shard.cast("bigint"))
-    )
-    word_count = model.bits // 64
-    absent = df.sparkSession.range(1).select(
-        F.lit(ABSENT_SHARD).cast("bigint").alias("shard"),
-        F.array_repeat(F.lit(-1).cast("bigint"), word_count).alias("words"),
-    )
-    table = model.table.unionByName(absent)
-    if model.size_bytes <= max_bytes:
-        table = F.broadcast(table)
+    # generated, not projected: the join's null checks then read the numbers
+    # instead of hashing again below
+    probe = df.select(
+        "*", F.inline(F.array(hash_pair(F.coalesce(F.col(field).cast("string"), F.lit(""))))).alias("_h1", "_h2")
+    ).withColumn("_shard", F.col("_h1") % model.shards)
+    table = F.broadcast(model.table) if model.size_bytes <= max_bytes else model.table
     tests = [
-        F.bit_get(F.get("words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
+        F.bit_get(F.get("words", F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1
         for p in _positions(F.col("_h1"), F.col("_h2"), model.shards, model.bits, model.hashes)
     ]
-    hit = reduce(lambda a, b: a & b, tests, F.col("_shard") == F.col("shard"))
-    return probe.join(table, hit, "left_semi").drop("_key", "_h1", "_h2", "_shard")
+    hit = F.col(field).isNull() | reduce(lambda a, b: a & b, tests)
+    return probe.join(table, (F.col("_shard") == F.col("shard")) & hit, "left_semi").select(*df.columns)
 
 
 def bloom_filters(df: DataFrame, models: Mapping[str, BloomModel]) -> DataFrame:

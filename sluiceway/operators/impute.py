@@ -18,17 +18,21 @@ def impute_mean(
     order: Sequence[str] = ("msg_id",),
     output: str | None = None,
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Fill ``field`` with the mean of its last ``window`` readings of that sensor.
 
     A sensor without history stays missing; ``window=0`` switches the operator off.
+    ``sizes`` (sensor, rows) saves counting the rows of a costly plan.
     """
     output = output or field
     if window == 0:
         return df.withColumn(output, F.col(field))
     rows, by = with_lookback(
-        df, [sensor], order, window, F.col(field).isNotNull(), hot_rows
+        df, [sensor], order, window, F.col(field).isNotNull(), hot_rows, sizes
     )
+    # one shuffle for both windows below, whose partitions differ
+    rows = rows.repartition(*by)
     missing = F.col(field).isNull()
     recent = Window.partitionBy(*by, missing).orderBy(*order).rowsBetween(1 - window, 0)
     so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

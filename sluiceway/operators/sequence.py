@@ -70,11 +70,24 @@ class Chunked:
 
 
 def chunked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> Chunked:
-    """Cut hot keys along ``order[0]``, which must be numeric; ties stay together."""
+    """Cut hot keys along ``order[0]``, which must be numeric; ties stay together.
+
+    Rows are counted per key to find the hot ones. Where that would run a costly
+    plan twice, give ``sizes``: (keys, rows) from something cheaper, such as the
+    raw table; too large a number does no harm.
+    """
     keys, order = tuple(keys), tuple(order)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    if sizes is None:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    else:
+        counts = sizes.select(*keys, F.col("rows").alias("_n"))
+    counts = counts.where(F.col("_n") > hot_rows)
     if counts.isEmpty():
         return Chunked(df.withColumn("_chunk", F.lit(-1).cast("bigint")), keys, order, False)
 
@@ -138,13 +151,14 @@ def with_lookback(
     rows: int,
     qualifies: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Copy into each chunk the last ``rows`` qualifying rows that precede it.
 
     Returns the rows with a ``_halo`` flag (drop the flagged ones after the
     window) and the window's partition columns.
     """
-    cut = chunked(df, keys, order, hot_rows)
+    cut = chunked(df, keys, order, hot_rows, sizes)
     own = cut.rows.withColumn("_halo", F.lit(False))
     if not cut.hot or rows < 1:
         return own, cut.by

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sluiceway.operators.batches import batch_gate
 from sluiceway.operators.bloom import BloomModel, bloom_filter
@@ -33,12 +34,18 @@ def clean_trips(
 def clean_and_impute(
     lines: DataFrame, metadata: DataFrame, model: BloomModel, window: int, spec: str
 ) -> DataFrame:
-    """The same with missing surcharges filled before the metadata is joined."""
+    """The same with missing surcharges filled before the metadata is joined.
+
+    Lines are prefixed by their taxi, so its rows are counted without parsing.
+    """
+    sizes = lines.groupBy(F.substring_index("line", ",", 1).alias("taxi_identifier")).agg(
+        F.count("*").alias("rows")
+    )
     good, _ = split_bad(senml_parse(lines))
     trips = as_columns(good.select("timestamp", "observations"), TRIP_COLUMNS)
     trips = trips.withColumn("msg_id", trips["msg_id"].cast("bigint"))
     trips = bloom_filter(range_filter(trips, spec), model, "taxi_identifier")
-    return annotate(impute_mean(trips, "surcharge", window), metadata)
+    return annotate(impute_mean(trips, "surcharge", window, sizes=sizes), metadata)
 
 
 def confirmed_batches(
