@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators.sequence import HOT_ROWS, chunked, with_lookback, with_position
+from sluiceway.operators.sequence import HOT_ROWS, chunked, same_key, with_lookback, with_position
 
 # The configured parameters.
 BLOCK_SIZE = 5
@@ -140,24 +141,27 @@ def kalman(
         )
     group = ["_chunk", sensor]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, step, x = None, 0, None
-        for frame in frames:
-            parts = []
-            for key, part in frame.groupby(group, sort=False, dropna=False):
-                if key != open_key:
-                    first = part.iloc[0]
-                    open_key, step = key, int(first["_step"])
-                    x = None if pd.isna(first["_x"]) else float(first["_x"])
-                estimates = _smooth(part[field].to_numpy(), step, x, gains)
-                step, x = step + len(estimates), estimates[-1]
-                parts.append(part[columns].assign(**{output: estimates}))
-            if parts:
-                yield pd.concat(parts)
+        for batch in batches:
+            # only what the filter reads becomes pandas; the columns pass as they are
+            read = batch.select([*group, "_step", "_x", field]).to_pandas()
+            estimates: list[float] = []
+            for key, part in read.groupby(group, sort=False, dropna=False):
+                if not same_key(key, open_key):
+                    open_key, step = key, int(part["_step"].iloc[0])
+                    x = None if pd.isna(part["_x"].iloc[0]) else float(part["_x"].iloc[0])
+                smooth = _smooth(part[field].to_numpy(), step, x, gains)
+                step, x = step + len(smooth), smooth[-1]
+                estimates.extend(smooth)
+            out = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*out, pa.array(estimates, pa.float64())], names=[*columns, output]
+            )
 
     # always by (sensor, chunk): ordinary sensors have the one chunk -1
     laid = rows.repartition(sensor, "_chunk").sortWithinPartitions(*group, *order)
-    return laid.mapInPandas(run, schema)
+    return laid.mapInArrow(run, schema)
 
 
 def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
@@ -174,8 +178,8 @@ def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
         open_key, step, keep, add = None, 0, 1.0, None
         for frame in frames:
             done = []
-            for key, part in frame.groupby([sensor, "_chunk"], sort=False):
-                if key != open_key:
+            for key, part in frame.groupby([sensor, "_chunk"], sort=False, dropna=False):
+                if not same_key(key, open_key):
                     if open_key is not None:
                         done.append((*open_key, keep, add))
                     open_key, step = key, int(part["_step"].iloc[0])

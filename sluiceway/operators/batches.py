@@ -12,7 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators.sequence import HOT_ROWS, dense_index, lookup, with_position
+from sluiceway.operators.sequence import (
+    HOT_ROWS,
+    dense_index,
+    digits_for,
+    lookup,
+    same_key,
+    with_position,
+)
 
 
 def _nth_arrival(batch: str, order: Sequence[str]) -> Column:
@@ -78,7 +85,7 @@ def deal_round_robin(
     pins: DataFrame | None = None,
     pin_on: str = "stream",
     offset: int = 0,
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """Assign ``worker``: pinned rows first, the others dealt in turn from ``offset``."""
     if pins is None:
@@ -102,15 +109,14 @@ def sample_batches(
     batches: int,
     size: int = 10,
     seed: int = 0,
-    digits: int = 3,
 ) -> DataFrame:
     """``batches`` batches of ``size`` items drawn with replacement, reproducibly.
 
     Draw i takes item ((i + 1) * 48271 + seed * 16807) mod (2^31 - 1) mod n.
     """
     spark = listing.sparkSession
-    indexed = dense_index(listing, keys, "_index", digits)
     n = listing.count()
+    indexed = dense_index(listing, keys, "_index", digits_for(n))
     draws = spark.range(batches * size).select(
         F.col("id").alias("draw"),
         F.floor(F.col("id") / size).alias("batch_id"),
@@ -155,7 +161,7 @@ def apply_batch(
         for frame in frames:
             done = []
             for key, part in frame.groupby(group, sort=False, dropna=False):
-                if held and key != held_key:
+                if held and not same_key(key, held_key):
                     done.append(fn(pd.concat(held)[columns]))
                     held = []
                 held.append(part)

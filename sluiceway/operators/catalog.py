@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.operators.sequence import lookup
 from sluiceway.schemas import CATALOG_ITEM, CATALOGUE_METADATA
 
 META = "item-metadata"
@@ -170,12 +171,10 @@ def affected_neighbours(wires: DataFrame, moved: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("stage"), F.col("src").alias("touches")),
     )
     moving = moved.select("stage").distinct()
-    return (
-        wires.select(F.inline(ends)).distinct()
-        .join(moving.withColumnRenamed("stage", "touches"), "touches", "left_semi")
-        .select("stage").distinct()
-        .join(moving, "stage", "left_anti")
+    near = lookup(
+        wires.select(F.inline(ends)), moving.withColumnRenamed("stage", "touches"), "touches", "left_semi"
     )
+    return near.select("stage").distinct().join(moving, "stage", "left_anti")
 
 
 def matrix_edges(lines: DataFrame, row: str = "src", line: str = "line") -> DataFrame:

@@ -197,12 +197,13 @@ def with_lookback(
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], name: str = "index", digits: int = 3
+    df: DataFrame, keys: Sequence[str], name: str = "index", digits: int = 4
 ) -> DataFrame:
     """Number the rows 0.. without gaps, in the order of (md5 of the key, key).
 
     Rows are bucketed by leading md5 digits, so buckets are even whatever the
-    keys are; only the 16^digits bucket counts are ever summed in one place.
+    keys are; keys must be unique. Only the bucket counts, 16^digits at most
+    (65,536 by default), are ever summed in one place and broadcast.
     """
     buckets = df.withColumn("_bucket", dense_bucket(*[F.col(k) for k in keys], digits=digits))
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).cast("binary"))
@@ -219,6 +220,13 @@ def dense_index(
     )
 
 
+def same_key(a: tuple | None, b: tuple | None) -> bool:
+    """Equality of pandas group keys in which a missing part equals a missing part."""
+    return a is not None and b is not None and all(
+        x == y or (x != x and y != y) for x, y in zip(a, b)
+    )
+
+
 def digits_for(rows: int, per_bucket: int = 1_000_000) -> int:
     """Hex digits that keep buckets near ``per_bucket`` rows (at most 16^5 buckets)."""
     return min(5, max(1, math.ceil(math.log(max(rows / per_bucket, 1), 16))))

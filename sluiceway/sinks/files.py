@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators.sequence import with_position
 from sluiceway.session import pin, scratch
+from sluiceway.sources.files import asked_batches
 
 
 class Written(NamedTuple):
@@ -59,7 +60,8 @@ def write_batches(
     routed = df.withColumn("_route", F.lit("write"))
     if stored is not None:
         kind = df.schema[batch].dataType
-        stored = stored.withColumn(batch, F.col(batch).cast(kind))
+        # only directories that receive rows are read
+        stored = asked_batches(stored, df, batch).withColumn(batch, F.col(batch).cast(kind))
         if conflict != "replace":
             known = stored.select(*keys, F.lit(True).alias("_known")).dropDuplicates(keys)
             routed = (
@@ -95,8 +97,7 @@ def write_batches(
 def _replace(fresh: DataFrame, stored: DataFrame, root: str, keys: list[str], max_records: int) -> None:
     """Rewrite only the batches that receive rows, by way of a staged copy."""
     batch = keys[0]
-    touched = fresh.select(batch).distinct()
-    kept = stored.join(touched, batch, "left_semi").join(fresh.select(*keys), keys, "left_anti")
+    kept = stored.join(fresh.select(*keys), keys, "left_anti")
     stage = scratch(fresh.sparkSession, "stage")
     _save(kept.unionByName(fresh), stage, batch, max_records)
     staged = fresh.sparkSession.read.schema(fresh.schema).parquet(stage)

@@ -100,10 +100,19 @@ def read_batch_dirs(
 
     The batch is a partition column, so directories nobody asked for are not read.
     """
-    stored = spark.read.parquet(root)
-    kind = stored.schema[batch].dataType
-    wanted = requests.select(F.col(batch).cast(kind).alias(batch)).distinct()
-    return lookup(stored, wanted, batch, "left_semi")
+    return asked_batches(spark.read.parquet(root), requests, batch)
+
+
+def asked_batches(stored: DataFrame, requests: DataFrame, batch: str) -> DataFrame:
+    """Rows of a table partitioned by ``batch`` that belong to a requested batch.
+
+    The range of the requests prunes partitions when the plan is made; being a
+    condition on both sides of the join, it also lets Spark prune the partitions
+    in between when the requests are known.
+    """
+    wanted = requests.select(F.col(batch).cast(stored.schema[batch].dataType).alias(batch)).distinct()
+    low, high = wanted.agg(F.min(batch), F.max(batch)).first()
+    return lookup(stored.where(F.col(batch).between(low, high)), wanted, batch, "left_semi")
 
 
 def read_batch_table(store: DataFrame, requests: DataFrame, batch: str = "batch_id") -> DataFrame:
