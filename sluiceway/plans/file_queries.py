@@ -123,7 +123,7 @@ def dag_documents(spark, sf):
     """One dataflow document per customer, comments included; every 50th is malformed."""
     key = F.col("c_custkey").cast("string")
     text = F.concat(
-        F.lit('{"processors":[ /* source */ {"name":"Read","class":"GetFile","uuid":"0","isInput":true,'
+        F.lit('{"processors":[ /* source */ {"name":"Read","class":"FileReader","uuid":"0","isInput":true,'
               '"relationships":[{"name":"success","autoTerminate":false}],"properties":[{"Batch Size":"10"},{"Input Directory":"/in/'),
         key,
         F.lit('"}]},{"name":"Filter","class":"Range","uuid":"1","isInput":false,'
@@ -249,7 +249,7 @@ ORACLES = {
         UNION ALL SELECT 2, 'fare_amount', 'dollar', 'v', false, count(fare_amount) FROM trips
         UNION ALL SELECT 3, 'surcharge', 'percentage', 'v', false, count(surcharge) FROM trips""",
     "q_read_dag": """WITH good AS (SELECT c_custkey AS dataflow FROM customer WHERE c_custkey % 50 <> 4)
-        SELECT dataflow, 'node' AS part, '0' AS a, 'GetFile' AS b FROM good UNION ALL SELECT dataflow, 'node', '1', 'Range' FROM good
+        SELECT dataflow, 'node' AS part, '0' AS a, 'FileReader' AS b FROM good UNION ALL SELECT dataflow, 'node', '1', 'Range' FROM good
         UNION ALL SELECT dataflow, 'edge', '0', '1' FROM good UNION ALL SELECT dataflow, 'ends', '1', 'failure' FROM good
         UNION ALL SELECT dataflow, 'property', 'Batch Size', '10' FROM good
         UNION ALL SELECT dataflow, 'property', 'Input Directory', '/in/' || dataflow FROM good

@@ -62,7 +62,7 @@ def test_apply_batch_in_slices(spark, rows):
 
 def test_commands(spark, rows):
     df = spark.createDataFrame([(3,), (3,), (5,)], "batch_id int")
-    out = batches.run_per_batch(df, ["echo", "done"], "/data")
+    out = batches.run_per_batch(df, ["printf", "done %s\\n"], "/data")
     assert rows(out) == [(3, "/data/3", "done /data/3\n"), (5, "/data/5", "done /data/5\n")]
     lines = spark.range(25000).select(F.concat(F.lit("r"), "id").alias("line"))
     piped = batches.pipe_lines(lines, "line", [sys.executable, "-c", "import sys\nfor x in sys.stdin: print(x.upper(), end='')"])
