@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,11 +298,17 @@ def retrained_regression(
     )
 
 
-def train_tree(df: DataFrame, features: Sequence[str], label: str, depth: int = 5) -> PipelineModel:
-    """Decision tree over the configured classes."""
+def train_tree(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    classes: Sequence[str] = TRIP_CLASSES,
+    depth: int = 5,
+) -> PipelineModel:
+    """Decision tree; ``class_index`` counts the classes in the given order."""
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"),
-        StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"),
+        StringIndexerModel.from_labels(list(classes), inputCol=label, outputCol="_label"),
         DecisionTreeClassifier(
             featuresCol="_features", labelCol="_label", predictionCol="class_index",
             rawPredictionCol="_raw", probabilityCol="_probability", maxDepth=depth, seed=1,

@@ -11,22 +11,27 @@ from sluiceway.operators.sequence import BROADCAST_BYTES, lookup
 from sluiceway.schemas import TRIP_FIELDS
 
 
-def field_aggregates(fields: Sequence[str], name: str, value: str, seq: str) -> list[Column]:
+def field_aggregates(
+    fields: Sequence[str], name: str, value: str, seq: str, meta: Sequence[str] = ()
+) -> list[Column]:
     """Per field its latest value, plus ``_seen``: how many fields have arrived.
 
-    Every piece folds into a fixed-size buffer before the shuffle, so neither
-    duplicates nor a message with very many pieces gather anywhere.
+    ``meta`` fields are columns of every piece instead of pieces. Every piece
+    folds into a fixed-size buffer before the shuffle, so neither duplicates nor
+    a message with very many pieces gather anywhere.
     """
-    latest = [
-        F.max_by(F.when(F.col(name) == f, F.col(value)), F.when(F.col(name) == f, F.col(seq)))
-        .alias(f)
-        for f in fields
-    ]
-    seen = sum(
-        (F.coalesce(F.bool_or(F.col(name) == f), F.lit(False)).cast("int") for f in fields),
-        F.lit(0),
-    )
-    return [*latest, seen.alias("_seen")]
+    def latest(f: str) -> Column:
+        if f in meta:
+            return F.max(f)
+        mine = F.col(name) == f
+        return F.max_by(F.when(mine, F.col(value)), F.when(mine, F.col(seq)))
+
+    def arrived(f: str) -> Column:
+        here = F.col(f).isNotNull() if f in meta else F.col(name) == f
+        return F.coalesce(F.bool_or(here), F.lit(False)).cast("int")
+
+    seen = sum((arrived(f) for f in fields), F.lit(0))
+    return [*[latest(f).alias(f) for f in fields], seen.alias("_seen")]
 
 
 def joined_text(fields: Sequence[str], separator: str = "@") -> Column:
@@ -42,16 +47,18 @@ def assemble_message(
     name: str = "obs_type",
     value: str = "obs_val",
     seq: str = "seq",
+    meta: Sequence[str] = (),
 ) -> DataFrame:
     """Gather the pieces of a message; rows appear once ``expected`` fields have arrived.
 
-    A repeated piece replaces the earlier one. ``joined_value`` holds the values
-    in schema order.
+    A repeated piece replaces the earlier one. Fields named in ``meta`` (such as
+    ``schemas.META_FIELDS``) come as columns of the pieces. ``joined_value``
+    holds the values in schema order.
     """
     expected = len(fields) if expected is None else expected
     return (
         pieces.groupBy(msg_id)
-        .agg(*field_aggregates(fields, name, value, seq))
+        .agg(*field_aggregates(fields, name, value, seq, meta))
         .where(F.col("_seen") >= expected)
         .drop("_seen")
         .withColumn("joined_value", joined_text(fields))

@@ -7,26 +7,13 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators.batches import batch_gate
 from sluiceway.plans.record_queries import trip_csv, trips
-from sluiceway.plans.tables import table, with_views
+from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.session import scratch
 from sluiceway.sinks import files as file_sinks
 from sluiceway.sinks import topics as topic_sinks
 from sluiceway.sinks import upsert
 from sluiceway.sources import dataflow, files, sidecar, topics
 
-_landed: dict[tuple[str, str, str], str] = {}
-
-
-def landed(spark: SparkSession, sf: str, name: str, write) -> str:
-    """Write a landing area once per session and remember where."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _landed:
-        path = scratch(spark, name)
-        write(path)
-        _landed[key] = path
-    return _landed[key]
-
-
 def documents_by_lang(spark: SparkSession, sf: str) -> str:
     """Text files ``lang=…/part-*.txt``."""
     docs = table(spark, sf, "documents").select("lang", "text")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators import bloom
 from sluiceway.plans import record_queries
-from sluiceway.plans.file_queries import landed
 from sluiceway.plans.flows import clean_and_impute, clean_trips, confirmed_batches
 from sluiceway.plans.tables import table, with_views
 from sluiceway.schemas import TRIP_RANGES
@@ -14,16 +13,9 @@ from sluiceway.schemas import TRIP_RANGES
 WITHOUT_SURCHARGE = TRIP_RANGES.rsplit(",", 1)[0]
 
 
-def landed_lines(spark, sf):
-    """The SenML text as files, which is how a flow meets it."""
-    lines = record_queries.senml_lines(spark, sf)
-    path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
-    return spark.read.text(path).withColumnRenamed("value", "line")
-
-
 def q_etl(spark, sf):
-    """Emit and parse SenML, validate, annotate, then fares per company."""
-    done = clean_trips(record_queries.senml_lines(spark, sf), table(spark, sf, "metadata"))
+    """Parse SenML files, validate, annotate, then fares per company."""
+    done = clean_trips(record_queries.landed_lines(spark, sf), table(spark, sf, "metadata"))
     return done.groupBy("taxi_company").agg(
         F.count("*").alias("trips"), F.round(F.avg("fare_amount"), 6).alias("avg_fare")
     )
@@ -35,7 +27,7 @@ def q_etl_impute(spark, sf):
     )
     model = bloom.bloom_train(known, "taxi_identifier", 100_000, 1e-9)
     done = clean_and_impute(
-        landed_lines(spark, sf), table(spark, sf, "metadata"), model, 5, WITHOUT_SURCHARGE
+        record_queries.landed_lines(spark, sf), table(spark, sf, "metadata"), model, 5, WITHOUT_SURCHARGE
     )
     return done.select("msg_id", F.round("surcharge", 6).alias("surcharge"), "taxi_company")
 

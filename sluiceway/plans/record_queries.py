@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.operators import analytics, batches, bloom, clean
-from sluiceway.plans.tables import table, with_views
+from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.schemas import TRIP_RANGES_WITH_TOLLS
 from sluiceway.sinks import queues as queue_sinks
 from sluiceway.sources import queues as queue_sources
@@ -35,8 +35,15 @@ def senml_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def landed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The SenML text as files, which is how a flow meets it."""
+    lines = senml_lines(spark, sf)
+    path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def q_senml_parse(spark, sf):
-    good, _ = clean.split_bad(clean.senml_parse(senml_lines(spark, sf)))
+    good, _ = clean.split_bad(clean.senml_parse(landed_lines(spark, sf)))
     wide = clean.as_columns(good, TRIP_VIEW_COLUMNS)
     return wide.select(
         F.col("timestamp").alias("bt"), F.col("msg_id").cast("bigint").alias("msg_id"),
@@ -45,15 +52,13 @@ def q_senml_parse(spark, sf):
 
 
 def q_senml_emit(spark, sf):
-    text = clean.senml_emit(trips(spark, sf), TRIP_VIEW_FIELDS, "bt")
-    return text.select(
-        "msg_id",
-        F.get_json_object("line", "$.bt").cast("bigint").alias("bt"),
-        F.get_json_object("line", "$.e[1].n").alias("second_name"),
-        F.get_json_object("line", "$.e[1].sv").alias("second_value"),
-        F.get_json_object("line", "$.e[3].u").alias("fourth_unit"),
-        F.get_json_object("line", "$.e[3].v").cast("double").alias("fourth_value"),
-        F.json_array_length(F.get_json_object("line", "$.e")).cast("bigint").alias("elements"),
+    text = clean.senml_emit(trips(spark, sf), TRIP_VIEW_FIELDS, "bt", output="text")
+    shape = "bt bigint, e array<struct<n string, u string, v string, sv string>>"
+    return text.select("msg_id", F.inline(F.array(F.from_json("text", shape)))).select(
+        "msg_id", "bt",
+        F.col("e")[1]["n"].alias("second_name"), F.col("e")[1]["sv"].alias("second_value"),
+        F.col("e")[3]["u"].alias("fourth_unit"), F.col("e")[3]["v"].cast("double").alias("fourth_value"),
+        F.size("e").cast("bigint").alias("elements"),
     )
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sluiceway.operators import bloom
 from sluiceway.plans import record_queries, stage_queries
-from sluiceway.plans.file_queries import UPSERT_KEYS, UPSERT_ORDER, documents_by_lang, landed
+from sluiceway.plans.file_queries import UPSERT_KEYS, UPSERT_ORDER, documents_by_lang
 from sluiceway.plans.flows import clean_trips
-from sluiceway.plans.tables import table, with_views
+from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.session import scratch
 from sluiceway.sinks import upsert
 from sluiceway.streaming import runs, stateful

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sluiceway.session import scratch
+
 # name -> (text, tables it reads)
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -128,3 +132,16 @@ def with_views(*names: str) -> str:
     """``WITH`` clause that defines the views for the SQL twin of a query."""
     parts = [f"{n} AS ({VIEWS[n][0].format(**{r: r for r in VIEWS[n][1]})})" for n in names]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+_landed: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """Write a landing area once per session and remember where."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _landed:
+        path = scratch(spark, name)
+        write(path)
+        _landed[key] = path
+    return _landed[key]

@@ -49,7 +49,9 @@ def pin(df: DataFrame) -> DataFrame:
     Used where two branches of a plan must see the very same rows although the
     rows come from a sampling aggregate; survives the loss of any executor.
     """
-    _shared_root(df.sparkSession)
+    root = _shared_root(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +63,7 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).resolve().parent
+        # only the driver reads this folder; Spark hands the file to the executors
         target = Path(tempfile.mkdtemp(prefix="sluiceway-")) / here.name
         spark.sparkContext.addPyFile(
             shutil.make_archive(str(target), "zip", root_dir=here.parent, base_dir=here.name)

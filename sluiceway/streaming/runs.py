@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,28 @@ def updates_to_files(stream: DataFrame, out: str, checkpoint: str, every: str |
     )
 
 
+def to_sinks(
+    stream: DataFrame,
+    sinks: Sequence[Callable[[DataFrame, int], None]],
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Give each trigger's rows to several sinks, computing them once."""
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.persist()
+        try:
+            for sink in sinks:
+                sink(rows, epoch)
+        finally:
+            rows.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for a query that stops by itself; its failure is raised here."""
     query.awaitTermination()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ def message_join(
     value: str = "obs_val",
     seq: str = "seq",
     late: bool = False,
+    meta: Sequence[str] = (),
 ) -> DataFrame:
     """Assemble messages from a stream of pieces that share an event time.
 
@@ -37,7 +39,7 @@ def message_join(
     gathered = (
         pieces.withWatermark(event_time, delay)
         .groupBy(msg_id, event_time)
-        .agg(*field_aggregates(fields, name, value, seq))
+        .agg(*field_aggregates(fields, name, value, seq, meta))
     )
     test = F.col("_seen") < expected if late else F.col("_seen") >= expected
     return gathered.where(test).drop("_seen").withColumn("joined_value", joined_text(fields))
@@ -92,11 +94,11 @@ def batch_gate(
                 newest = latest if newest is None else max(newest, latest)
             if need > 0 and len(frame):
                 first = frame if first is None else pd.concat([first, frame])
-                first = first.nsmallest(need, order)
+                first = first.iloc[np.argsort(first[order].to_numpy(), kind="stable")[:need]]
         state.update((seen + arrived,))
         _keep_until(state, newest, idle_ms)
         if need > 0 and seen + arrived >= size:
-            yield first.nlargest(1, order)[names]
+            yield first.iloc[[-1]][names]
 
     return items.groupBy(batch).applyInPandasWithState(gate, schema, "seen bigint", "append", timeout)
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.functions.frames import pack_frame, unpack_frame
+from sluiceway.functions.frames import pack_envelope, pack_frame, unpack_envelope, unpack_frame
 from sluiceway.operators import bloom, clean
 
 
@@ -41,6 +41,17 @@ def test_senml_round_trip(spark, rows):
     assert rows(back, "timestamp", "taxi", "fare_amount") == [(2, "ü", None)]
 
 
+def test_text_survives(spark, rows):
+    odd = ['"', "\\", "a,b", "{}", "tab\there", "line\nbreak", "☃ü", " pad ", "[1]", "nullable"]
+    df = spark.createDataFrame(list(enumerate(odd)), "timestamp bigint, s string")
+    text = clean.senml_emit(df, [("s", "string", "sv")], key="timestamp").select("line")
+    back = clean.as_columns(clean.split_bad(clean.senml_parse(text))[0], ["s"])
+    assert rows(back, "timestamp", "s") == rows(df)
+    packed = df.select(pack_envelope(F.create_map(F.lit("k"), F.col("s")), F.col("s")).alias("v"))
+    unpacked = packed.select(unpack_envelope(F.col("v")).alias("e")).select(F.col("e.attributes")["k"], "e.content")
+    assert rows(unpacked) == sorted([(x, x) for x in odd], key=repr)
+
+
 def test_ranges_are_open(spark, rows):
     df = spark.createDataFrame([(1.0, 5.0), (1.1, 5.0), (2.0, 5.0), (None, 5.0), (1.5, 9.0)], "a double, b double")
     spec = "a:1:2,b:0:8"

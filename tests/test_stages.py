@@ -18,6 +18,9 @@ def test_assembly(spark, rows):
     )
     assert rows(joins.assemble_message(df, ["a", "b"]), "msg_id", "joined_value") == [(1, "z@y"), (3, "null@r")]
     assert joins.assemble_message(df, ["a", "b"], expected=1).count() == 3
+    carried = df.withColumn("paid", F.when(F.col("msg_id") == 1, "CRD"))
+    got = joins.assemble_message(carried, ["a", "paid", "b"], meta=["paid"])
+    assert rows(got, "msg_id", "joined_value") == [(1, "z@CRD@y")]
 
 
 def test_annotation(spark, rows):

@@ -117,3 +117,11 @@ def test_source_is_archived(spark, tmp_path):
     runs.drain(runs.to_files(df, str(tmp_path / "out"), str(tmp_path / "log")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert len(list(source.glob("*.txt"))) < 3
+
+
+def test_several_sinks(spark, feed, tmp_path):
+    feed.add([(i,) for i in range(5)], "v int")
+    targets = [str(tmp_path / n) for n in ("one", "two")]
+    query = runs.to_sinks(feed.stream(), [runs.by_epoch(t) for t in targets], str(tmp_path / "sinks-log"))
+    runs.drain(query)
+    assert [spark.read.parquet(t).count() for t in targets] == [5, 5]
