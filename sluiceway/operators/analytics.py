@@ -14,7 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators.sequence import HOT_ROWS, chunked, same_key, with_lookback, with_position
+from sluiceway.operators.sequence import (
+    HOT_ROWS,
+    chunked,
+    lookup,
+    same_key,
+    side_by_side,
+    with_lookback,
+    with_position,
+)
+from sluiceway.session import pin
 
 # The configured parameters.
 BLOCK_SIZE = 5
@@ -136,7 +145,7 @@ def kalman(
         "_x", F.lit(None).cast("double")
     )
     if cut.hot:
-        rows = cut.rows.join(_chunk_starts(cut, field, gains), cut.by, "left").withColumn(
+        rows = lookup(cut.rows, pin(_chunk_starts(cut, field, gains)), cut.by, "left").withColumn(
             "_step", F.coalesce("_step", F.lit(0))
         )
     group = ["_chunk", sensor]
@@ -160,8 +169,7 @@ def kalman(
             )
 
     # always by (sensor, chunk): ordinary sensors have the one chunk -1
-    laid = rows.repartition(sensor, "_chunk").sortWithinPartitions(*group, *order)
-    return laid.mapInArrow(run, schema)
+    return side_by_side(rows, group, order).mapInArrow(run, schema)
 
 
 def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
@@ -196,12 +204,11 @@ def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
         if open_key is not None:
             yield pd.DataFrame([(*open_key, keep, add)], columns=[sensor, "_chunk", "keep", "add"])
 
-    maps = (
-        cut.hot_rows.select(sensor, "_chunk", *[c for c in order if c != sensor], field)
-        .join(steps, [sensor, "_chunk"])
-        .repartition(sensor, "_chunk").sortWithinPartitions(sensor, "_chunk", *order)
-        .mapInPandas(affine, f"{sensor} {kind}, _chunk bigint, keep double, add double")
-    )
+    steps = pin(steps)
+    readings = cut.hot_rows.select(sensor, "_chunk", *[c for c in order if c != sensor], field)
+    maps = side_by_side(
+        lookup(readings, steps, [sensor, "_chunk"]), [sensor, "_chunk"], order
+    ).mapInPandas(affine, f"{sensor} {kind}, _chunk bigint, keep double, add double")
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         # one row per chunk of a sensor, a number bounded by rows / hot_rows

@@ -18,6 +18,7 @@ from sluiceway.operators.sequence import (
     digits_for,
     lookup,
     same_key,
+    side_by_side,
     with_position,
 )
 
@@ -173,7 +174,7 @@ def apply_batch(
 
     # a fixed number of partitions: user code is worth a task even where rows are few
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = parts.repartition(width, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
+    out = side_by_side(parts, group, partitions=width).mapInPandas(run, schema)
     return out.groupBy(batch).agg(*merge) if merge else out
 
 

@@ -10,7 +10,7 @@ the plan is the plain window.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,7 @@ from sluiceway.session import pin
 HOT_ROWS = 20_000_000
 BROADCAST_BYTES = 64 << 20
 SEGMENTS = 64
+STRIDE = 8
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -102,19 +103,26 @@ def chunked(
             F.percentile_approx(F.col(order[0]).cast("double"), fractions, 10_000).alias("_cuts"),
             F.greatest(F.lit(1), F.ceil(F.first("_n") / (SEGMENTS * hot_rows))).alias("_pieces"),
         )
+        .withColumn("_coarse", F.array(*[F.get("_cuts", F.lit(i)) for i in range(0, SEGMENTS + 1, STRIDE)]))
     )
     at = F.col(order[0]).cast("double")
-    segment = F.size(F.filter("_cuts", lambda c: c <= at))
-    low, high = F.get("_cuts", segment - 1), F.get("_cuts", segment)
-    inner = F.coalesce(F.floor((at - low) / (high - low) * F.col("_pieces")), F.lit(0))
-    inner = F.least(inner, F.col("_pieces") - 1)
-    chunk = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-        segment * F.col("_pieces") + inner
-    )
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def place(segment: Column) -> Column:
+        low, high = F.get("_cuts", segment - 1), F.get("_cuts", segment)
+        inner = F.coalesce(F.floor((at - low) / (high - low) * F.col("_pieces")), F.lit(0))
+        return segment * F.col("_pieces") + F.least(inner, F.col("_pieces") - 1)
+
+    # how many cuts lie at or below the row: first among every eighth, then between two
+    base = F.greatest(F.size(F.filter("_coarse", lambda c: c <= at)) - 1, F.lit(0)) * STRIDE
+    segment = let(base, lambda b: b + F.size(F.filter(F.slice("_cuts", b + 1, F.lit(STRIDE)), lambda c: c <= at)))
+    chunk = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(let(segment, place))
     rows = (
         lookup(df, cuts, list(keys), "left")
         .withColumn("_chunk", chunk.cast("bigint"))
-        .drop("_cuts", "_pieces")
+        .drop("_cuts", "_coarse", "_pieces")
     )
     return Chunked(rows, keys, order, True)
 
@@ -220,6 +228,20 @@ def dense_index(
     )
 
 
+def side_by_side(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """Whole keys per partition, in order, for code that streams a partition.
+
+    Partitioned by a hash of its own: a repartition that equals the one of a join
+    below is planned away, and adaptive execution may then split that join's
+    output anywhere.
+    """
+    placed = df.withColumn("_at", F.xxhash64(*keys))
+    laid = placed.repartition(partitions, "_at") if partitions else placed.repartition("_at")
+    return laid.sortWithinPartitions(*keys, *order).drop("_at")
+
+
 def same_key(a: tuple | None, b: tuple | None) -> bool:
     """Equality of pandas group keys in which a missing part equals a missing part."""
     return a is not None and b is not None and all(

@@ -27,8 +27,9 @@ def readings(spark):
 
 
 def same(a, b, digits=9):
-    left = {r[0]: r[1:] for r in a.collect()}
-    right = {r[0]: r[1:] for r in b.collect()}
+    a, b = a.collect(), b.collect()
+    assert len(a) == len(b)
+    left, right = {r[0]: r[1:] for r in a}, {r[0]: r[1:] for r in b}
     assert left.keys() == right.keys()
     for k, v in left.items():
         for x, y in zip(v, right[k]):
@@ -145,3 +146,18 @@ def test_lookup_measures_its_side(spark):
     small = sequence.lookup(big, side, "k")._jdf.queryExecution().optimizedPlan().toString()
     large = sequence.lookup(big, side, "k", max_bytes=500)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in small and "strategy=broadcast" not in large
+
+
+def test_chunks_stay_whole_over_several_files(spark, tmp_path):
+    """Files hold the rows in order, so a chunk that is not regrouped would show."""
+    n = 200_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("msg_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("T"), F.col("id") % 5000)).alias("taxi_identifier"),
+        ((F.col("id") * 37) % 1000 / 10).alias("v"))
+    rows.write.parquet(str(tmp_path / "r"))
+    df = spark.read.parquet(str(tmp_path / "r"))
+    run = lambda hot: analytics.kalman(df, "v", output="o", hot_rows=hot).agg(F.count("*"), F.round(F.sum("o"), 3)).first()
+    assert run(3000) == run(PLAIN)
+    starts = analytics._chunk_starts(
+        sequence.chunked(df, ["taxi_identifier"], ["msg_id"], 3000), "v", analytics._Gains(0.125, 0.32, 30.0))
+    assert starts.count() == starts.select("taxi_identifier", "_chunk").distinct().count() > 60
