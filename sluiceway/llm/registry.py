@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sluiceway.llm import exact_dedup, html_text, packing, quality, simhash, surrogates, warc
+from sluiceway.llm import exact_dedup, html_text, itq, packing, quality, simhash, surrogates, tool_calls, warc
 
-_MODULES = (packing, warc, quality, exact_dedup, simhash, html_text, surrogates, corpus_pipeline)
+_MODULES = (packing, warc, quality, exact_dedup, itq, simhash, html_text, tool_calls, surrogates, corpus_pipeline)
 QUERIES = {n: f for m in _MODULES for n, f in m.QUERIES.items()}
 ORACLES = {n: s for m in _MODULES for n, s in m.ORACLES.items()}
