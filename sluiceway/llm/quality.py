@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluiceway.llm.common import blobs, fresh, table, utf8
 from sluiceway.session import ship
@@ -214,7 +215,7 @@ def with_score(docs: DataFrame, model: dict, name: str) -> DataFrame:
             values = scores(blobs(batch[data]), model)
             yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(values, pa.float64())], [*kept, name])
 
-    schema = docs.schema.add(name, "double")
+    schema = StructType([*docs.schema, StructField(name, DoubleType())])
     return docs.withColumn(data, utf8("text")).mapInArrow(score, schema)
 
 
