@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ BITS = 12
 
 
 class WordEncoder:
-    """Token ids of whole texts by way of their words; unseen words go to the tokeniser in bulk."""
+    """Token ids of whole texts by way of their words; unseen words go to the tokeniser in bulk.
+
+    Words are kept in two generations of at most ``cached_words``: when the newer is full it becomes
+    the older one, and words that are met again move to the newer.
+    """
 
     def __init__(self, tokenizer_path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,25 +48,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.cells = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cached_words, self.known = cached_words, {}
+        self.cached_words, self.known, self.older = cached_words, {}, {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed cells."""
         if len(self.known) > self.cached_words:
-            self.known.clear()
-        out = []
-        for text in texts:
-            words = text.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in self.known]
-                for at in range(0, len(new), 1 << 14):
-                    part = new[at:at + (1 << 14)]
-                    coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                    self.known.update((w, np.array(c.ids, self.cells).tobytes()) for w, c in zip(part, coded))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+            self.known, self.older = {}, self.known
+        words = [text.split() for text in texts]
+        new = []
+        for word in set().union(*words).difference(self.known):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        for at in range(0, len(new), 1 << 14):
+            part = new[at:at + (1 << 14)]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update((w, np.array(c.ids, self.cells).tobytes()) for w, c in zip(part, coded))
+        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(tokenizer_path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(tokenizer_path)
 
 
 def hashed_vectors(texts: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +121,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, closing: int = CLOSING) -> D
     names = [f"p{i}" for i in range(DIMENSIONS)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, basis = WordEncoder(tokenizer_path), projection()
+        encoder, basis = word_encoder(tokenizer_path), projection()
         end = np.array([closing], encoder.cells).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
