@@ -17,6 +17,8 @@ text's ids are its words' ids. Ids move as 16-bit cells where the vocabulary all
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +37,20 @@ DIMENSIONS = 4
 BITS = 12
 
 
+#: Words of printable ASCII need no normalising but lower case; UNIT is the word model's rule for them.
+PLAIN = re.compile(rb"[!-~]+")
+UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _splits_like(tokenizer) -> bool:
+    """Whether the tokeniser lowers and cuts ASCII words as UNIT does, judged by its own pre-tokeniser."""
+    probe = "It'S a-B2b3's,.x'llY'd!!_Z'TM'm"
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(probe))
+    return [u for u, _ in cut] == [u for w in probe.split() for u in UNIT.findall(w.lower())]
+
+
 class WordEncoder:
     """Token ids of whole texts by way of their words; unseen words go to the tokeniser in bulk.
 
@@ -49,23 +65,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.cells = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cached_words, self.known, self.older = cached_words, {}, {}
+        # a unit of the pre-tokeniser is one call of the model; only of the word model, whose rule this is
+        self.plain = PLAIN if _splits_like(self.tokenizer) else None
+        self.units: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.cells.itemsize == 2 else "I", ids).tobytes()
+
+    def _of_units(self, word: str) -> bytes:
+        out = b""
+        for unit in UNIT.findall(word.lower()):
+            ids = self.units.get(unit)
+            if ids is None:
+                ids = self.units[unit] = self._bytes([t.id for t in self.tokenizer.model.tokenize(unit)])
+            out += ids
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed cells."""
         if len(self.known) > self.cached_words:
-            self.known, self.older = {}, self.known
+            self.known, self.older, self.units = {}, self.known, {}
         words = [text.split() for text in texts]
         new = []
         for word in set().union(*words).difference(self.known):
             ids = self.older.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 self.known[word] = ids
+            elif self.plain and self.plain.fullmatch(word) and b"<|" not in word:
+                self.known[word] = self._of_units(word.decode())
+            else:
+                new.append(word)
         for at in range(0, len(new), 1 << 14):
             part = new[at:at + (1 << 14)]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, self.cells).tobytes()) for w, c in zip(part, coded))
+            self.known.update((w, self._bytes(c.ids)) for w, c in zip(part, coded))
         return [b"".join(map(self.known.__getitem__, own)) for own in words]
 
 
