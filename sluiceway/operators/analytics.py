@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -84,31 +85,42 @@ def second_moment(df: DataFrame, field: str) -> DataFrame:
 
 
 class _Gains:
-    """Kalman gains depend on the step alone; they settle within some dozen steps."""
+    """Kalman gains depend on the step alone.
+
+    With process noise they settle; the steps before are found as they are asked for. Without it
+    they fall for ever, as 1 / (step + 1 + sensor noise / initial error).
+    """
 
     def __init__(self, q: float, r: float, p0: float) -> None:
-        self.steps: list[float] = []
-        p, last = p0, None
-        while True:
-            p += q
-            gain = p / (p + r)
-            p *= 1 - gain
-            if gain == last or len(self.steps) == 10_000:
-                break
-            self.steps.append(gain)
-            last = gain
-        self.settled = last
+        self.q, self.r, self.p0, self.p = q, r, p0, p0
+        self.steps = array("d")
+        self.settled: float | None = None
 
     def at(self, step: int) -> float:
+        if self.q == 0:
+            return 1 / (step + 1 + self.r / self.p0) if self.p0 else 0.0
+        while self.settled is None and step >= len(self.steps):
+            p = self.p + self.q
+            gain = p / (p + self.r)
+            self.p = p * (1 - gain)
+            if gain in self.steps[-2:]:  # the last digit may go to and fro
+                self.settled = gain
+            else:
+                self.steps.append(gain)
         return self.steps[step] if step < len(self.steps) else self.settled
 
+    def constant(self, step: int) -> bool:
+        """Whether all gains from ``step`` on are the same."""
+        self.at(step)
+        return self.settled is not None and step >= len(self.steps)
+
 
 def _smooth(values, step: int, x: float | None, gains: _Gains) -> list[float]:
     """Estimates for consecutive readings, of which ``step`` came before."""
     out: list[float] = []
     n = len(values)
     i = 0
-    while i < n and (step + i < len(gains.steps) or x is None):
+    while i < n and (x is None or not gains.constant(step + i)):
         z = values[i]
         x = z if x is None else x + gains.at(step + i) * (z - x)
         out.append(x)
@@ -267,8 +279,16 @@ def train_linear(df: DataFrame, features: Sequence[str], label: str) -> Pipeline
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Predictions for every row; NULL where a feature is missing."""
     hidden = ("_features", "_label", "_raw", "_probability")
-    return model.transform(df).drop(*hidden)
+    assembler = model.stages[0]
+    whole = PipelineModel([assembler.copy({assembler.handleInvalid: "keep"}), *model.stages[1:]])
+    out = whole.transform(df).drop(*hidden)
+    missing = F.lit(False)
+    for feature in assembler.getInputCols():
+        missing = missing | F.col(feature).isNull() | F.isnan(F.col(feature).cast("double"))
+    made = [c for c in out.columns if c not in df.columns]
+    return out.withColumns({c: F.when(~missing, F.col(c)) for c in made})
 
 
 def retrained_regression(
@@ -280,17 +300,20 @@ def retrained_regression(
 ) -> DataFrame:
     """Predict each block of ``every`` messages with the plane fitted to the block before.
 
-    All blocks are fitted at once from their centred moments. A block whose
+    All blocks are fitted at once from the centred moments of their complete rows. A block whose
     predecessor is missing or degenerate gets NULL.
     """
     a, b = features
     block = F.floor(F.col(position) / every)
-    fitted = df.groupBy(block.alias("_block")).agg(
+    whole = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(label).isNotNull()
+    fitted = df.where(whole).groupBy(block.alias("_block")).agg(
         F.covar_pop(a, a).alias("aa"), F.covar_pop(b, b).alias("bb"), F.covar_pop(a, b).alias("ab"),
         F.covar_pop(a, label).alias("ay"), F.covar_pop(b, label).alias("by"),
         F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(label).alias("my"),
     )
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    # features on one line leave only rounding
+    det = F.when(F.abs(det) > 1e-12 * F.col("aa") * F.col("bb"), det)
     planes = fitted.select(
         (F.col("_block") + 1).alias("_block"),
         F.try_divide(F.col("ay") * F.col("bb") - F.col("by") * F.col("ab"), det).alias("_ca"),

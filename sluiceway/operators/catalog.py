@@ -140,12 +140,12 @@ def catalog_apply(changes: DataFrame) -> DataFrame:
 
 
 def dataflow_registry(items: DataFrame) -> DataFrame:
-    """Stored dataflows as (dataflow, original_json, stage, device) rows."""
+    """Stored dataflows as (dataflow, original_json, stage, device) rows; one without mapping has NULLs."""
     mapping = F.from_json(F.regexp_replace(_rel("Mapping JSON"), r'\\+"', '"'), "map<string,string>")
     return items.where(F.col("href").startswith("/dataflow/")).select(
         _rel("DataFlowUUID").alias("dataflow"),
         _rel("originalJSON").alias("original_json"),
-        F.explode(mapping).alias("stage", "device"),
+        F.explode_outer(mapping).alias("stage", "device"),
     )
 
 

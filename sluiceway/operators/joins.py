@@ -144,14 +144,14 @@ def link_transport(wires: DataFrame, placement: DataFrame, visibility: DataFrame
     """How data travels along each wire (src, dst), given (stage, device) and (src, dst, visible).
 
     LOCAL on one device; PUSH where the source sees the destination; PULL where
-    only the destination sees the source; BROKER otherwise.
+    only the destination sees the source; BROKER otherwise. UNPLACED if an end has no device.
     """
     sees = visibility.where("visible")
     placed = lookup(
-        wires, placement.select(F.col("stage").alias("src"), F.col("device").alias("src_device")), "src"
+        wires, placement.select(F.col("stage").alias("src"), F.col("device").alias("src_device")), "src", "left"
     )
     placed = lookup(
-        placed, placement.select(F.col("stage").alias("dst"), F.col("device").alias("dst_device")), "dst"
+        placed, placement.select(F.col("stage").alias("dst"), F.col("device").alias("dst_device")), "dst", "left"
     )
     forward = sees.select(
         F.col("src").alias("src_device"), F.col("dst").alias("dst_device"), F.lit(True).alias("_push")
@@ -162,7 +162,8 @@ def link_transport(wires: DataFrame, placement: DataFrame, visibility: DataFrame
     ends = ["src_device", "dst_device"]
     seen = lookup(lookup(placed, forward, ends, "left"), backward, ends, "left")
     transport = (
-        F.when(F.col("src_device") == F.col("dst_device"), "LOCAL")
+        F.when(F.col("src_device").isNull() | F.col("dst_device").isNull(), "UNPLACED")
+        .when(F.col("src_device") == F.col("dst_device"), "LOCAL")
         .when(F.col("_push"), "PUSH")
         .when(F.col("_pull"), "PULL")
         .otherwise("BROKER")

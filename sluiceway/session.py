@@ -33,7 +33,9 @@ def _shared_root(spark: SparkSession) -> str:
     if root:
         return root
     if spark.sparkContext.getCheckpointDir() is None:
-        # only reached where the cluster names no shared folder, as in tests
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine, as in tests
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluiceway-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -21,7 +21,11 @@ def _matches(text: Column, pattern: str) -> Column:
 def _relative_dir(path: Column, root: str) -> Column:
     """Directory of ``path`` below ``root``, without slashes at its ends."""
     base = urlsplit(root).path.rstrip("/")
-    below = F.substring_index(path, base + "/", -1)
+    if base.startswith("/"):
+        # the root is taken off once, at the start; its name may come again below
+        below = F.regexp_replace(path, rf"\A(?:[A-Za-z][\w+.-]*:)?(?://[^/]*)?\Q{base}\E/", "")
+    else:
+        below = F.substring_index(path, base + "/", -1)
     return F.regexp_replace(below, r"/?[^/]*\z", "")
 
 

@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from sluiceway.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,7 @@ def test_every_query_has_a_twin_or_a_reason():
     # a tree learner has no SQL form
     assert set(QUERIES) - set(ORACLES) == {"q_decision_tree"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
