@@ -23,8 +23,21 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound what a Python worker holds of whole texts at once: Arrow batches of
+    ``BATCH_BYTES`` at most, unless the session asks for less already."""
     ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name) or ""
+    if not 0 < int(size.rstrip("b") if size.rstrip("b").isdigit() else 0) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluiceway.llm.common import blobs, fresh, table, utf8
-from sluiceway.session import ship
 
 CHUNK = 512
 STEP = 448
@@ -227,7 +226,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
 
 
 def op3_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels), "score")
     return scored.select(
