@@ -31,7 +31,7 @@ from sluiceway.llm.common import blobs, land, table, utf8
 
 LENGTH = 4096
 CLOSING = 2
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 HASHED = 1024
 DIMENSIONS = 4
 BITS = 12
