@@ -19,6 +19,11 @@ def hash_pair(key: Column) -> Column:
     return F.get(pairs, F.lit(0))
 
 
+def hash60(key: Column) -> Column:
+    """A 60-bit number from the first 15 hex digits of md5."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def bloom_shape(expected: int, fpp: float, shard_bits: int) -> tuple[int, int, int]:
     """(bits per shard, shards, hashes) for ``expected`` keys at ``fpp``.
 

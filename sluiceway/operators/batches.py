@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.functions.hashing import hash60
 from sluiceway.operators.sequence import (
     HOT_ROWS,
     dense_index,
@@ -113,7 +114,7 @@ def sample_batches(
 ) -> DataFrame:
     """``batches`` batches of ``size`` items drawn with replacement, reproducibly.
 
-    Draw i takes item ((i + 1) * 48271 + seed * 16807) mod (2^31 - 1) mod n.
+    Draw i takes item h mod n, h being the first 15 hex digits of md5 over ``<seed>:<i>``.
     """
     spark = listing.sparkSession
     n = listing.count()
@@ -121,7 +122,7 @@ def sample_batches(
     draws = spark.range(batches * size).select(
         F.col("id").alias("draw"),
         F.floor(F.col("id") / size).alias("batch_id"),
-        (((F.col("id") + 1) * 48271 + seed * 16807) % 2147483647 % n).alias("_index"),
+        (hash60(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))) % n).alias("_index"),
     )
     return lookup(draws, indexed, "_index").drop("_index")
 
@@ -190,14 +191,14 @@ def run_per_batch(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            dirs = [f"{root}/{b}" for b in frame[batch]]
-            out = [
-                subprocess.run([*command, d], capture_output=True, text=True, check=True, timeout=timeout).stdout
-                for d in dirs
-            ]
-            yield pd.DataFrame({batch: frame[batch], "source_dir": dirs, "content": out})
-
-    return batches.select(batch).distinct().mapInPandas(
+            for b in frame[batch]:
+                where = f"{root}/{b}"
+                done = subprocess.run([*command, where], capture_output=True, text=True, check=True, timeout=timeout)
+                yield pd.DataFrame({batch: [b], "source_dir": [where], "content": [done.stdout]})
+
+    # a fixed number of partitions: a command is worth a task even where ids are few
+    width = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return batches.select(batch).distinct().repartition(width, batch).mapInPandas(
         run, f"{batch} {kind}, source_dir string, content string"
     )
 

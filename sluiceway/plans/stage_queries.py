@@ -435,7 +435,7 @@ ORACLES = {
         UNION ALL SELECT msg_id, ({_DENSE.format(k='msg_id')} + 3) % 7 FROM marked WHERE worker IS NULL""",
     "q_sample_batches": _B + f""", listing AS (SELECT item_id, filename, {_DENSE.format(k='item_id')} AS i FROM batch_items),
         total AS (SELECT count(*) AS n FROM batch_items),
-        draws AS (SELECT range AS draw, ((range + 1) * 48271 + 17 * 16807) % 2147483647 % n AS i
+        draws AS (SELECT range AS draw, CAST('0x' || substr(md5('17:' || range), 1, 15) AS BIGINT) % n AS i
                   FROM total, range(0, (SELECT count(*) // 10 * 10 FROM batch_items)))
         SELECT draw, CAST(draw // 10 AS BIGINT) AS batch_id, item_id, filename FROM draws JOIN listing USING (i)""",
     "q_apply_batch": _B + "SELECT batch_id, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS total FROM batch_items GROUP BY batch_id",

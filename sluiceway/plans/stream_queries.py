@@ -43,7 +43,7 @@ def _updated(spark, stream, name):
     out, log = scratch(spark, name), scratch(spark, f"{name}-log")
     with runs.state_partitions(spark):
         runs.drain(runs.updates_to_files(stream, out, log))
-    return spark.read.parquet(out).drop("epoch")
+    return spark.read.parquet(out).drop("run", "epoch")
 
 
 def _trip_slots(spark, sf):

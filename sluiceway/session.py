@@ -45,6 +45,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def query_id(rows: DataFrame) -> str:
+    """The id of the streaming query that hands ``rows`` to ``foreachBatch``.
+
+    It is kept in the query's checkpoint: a restart has the same id, a new checkpoint a new one.
+    """
+    found = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise ValueError("not called by a streaming query")
+    return found
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 

@@ -22,7 +22,9 @@ def existing(spark: SparkSession, root: str) -> DataFrame | None:
     """The table at ``root``, or None while nothing has been written."""
     try:
         return spark.read.parquet(root)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

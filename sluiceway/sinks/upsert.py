@@ -1,18 +1,25 @@
 """Insert-or-replace by key on plain parquet.
 
-Every micro-batch appends one delta directory named after its epoch; a replayed
-epoch overwrites its own directory only. Readers fold deltas over the last
-complete base, and compaction writes a new base beside the old one.
+Every micro-batch appends one delta directory named after its run (the id kept in the query's
+checkpoint) and its epoch; a replayed epoch overwrites its own directory only, and a new checkpoint,
+which counts its epochs from zero again, never meets the old directories. Readers fold deltas over the
+last complete base, and compaction writes a new base beside the old one. A base's commit lists the
+last epoch of each run that it holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.session import query_id
+from sluiceway.sinks.files import existing
+
+#: The run of updates that no streaming query hands over.
+BY_HAND = "by-hand"
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The current row of each key; one row per key and task reaches the shuffle."""
@@ -25,39 +32,51 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     )
 
 
-def upsert(updates: DataFrame, root: str, epoch: int, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Record one batch of updates under its epoch."""
-    latest_per_key(updates, keys, order).write.mode("overwrite").parquet(f"{root}/delta/epoch={epoch}")
+def upsert(
+    updates: DataFrame, root: str, epoch: int, keys: Sequence[str], order: Sequence[str], run: str = BY_HAND
+) -> None:
+    """Record one batch of updates under its run and epoch; epochs of a run grow."""
+    latest_per_key(updates, keys, order).write.mode("overwrite").parquet(f"{root}/delta/run={run}/epoch={epoch}")
 
 
 def upsert_sink(root: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``."""
-    return lambda rows, epoch: upsert(rows, root, epoch, keys, order)
+    return lambda rows, epoch: upsert(rows, root, epoch, keys, order, query_id(rows))
+
 
+def _covered(spark: SparkSession, root: str) -> tuple[int, dict[str, int]]:
+    """The last complete base (-1: none) and the last epoch it holds of each run.
 
-def _covered(spark: SparkSession, root: str) -> int | None:
-    """Last epoch folded into a complete base."""
-    try:
-        return spark.read.parquet(f"{root}/commits").agg(F.max("upto")).first()[0]
-    except AnalysisException:
-        return None
+    One entry for each checkpoint the table was ever fed from.
+    """
+    commits = existing(spark, f"{root}/commits")
+    if commits is None:
+        return -1, {}
+    last = commits.agg(F.max("base")).first()[0]
+    return last, {r["run"]: r["upto"] for r in commits.where(F.col("base") == last).collect()}
 
 
 def read_current(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The table as of the last recorded epoch."""
     deltas = spark.read.parquet(f"{root}/delta")
-    upto = _covered(spark, root)
-    if upto is None:
-        return latest_per_key(deltas.drop("epoch"), keys, order)
-    base = spark.read.parquet(f"{root}/base/upto={upto}")
-    newer = deltas.where(F.col("epoch") > upto).drop("epoch")
-    return latest_per_key(base.unionByName(newer), keys, order)
+    last, covered = _covered(spark, root)
+    # conditions on partition columns: folded deltas are listed, not read
+    for run, upto in covered.items():
+        deltas = deltas.where((F.col("run") != run) | (F.col("epoch") > upto))
+    newer = deltas.drop("run", "epoch")
+    if last < 0:
+        return latest_per_key(newer, keys, order)
+    return latest_per_key(spark.read.parquet(f"{root}/base/id={last}").unionByName(newer), keys, order)
 
 
 def compact(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> int:
     """Fold all deltas into a new base; returns the last epoch it covers."""
-    upto = spark.read.parquet(f"{root}/delta").agg(F.max("epoch")).first()[0]
-    read_current(spark, root, keys, order).write.mode("overwrite").parquet(f"{root}/base/upto={upto}")
-    # the base counts only once this row says it is complete
-    spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{root}/commits")
-    return upto
+    # listed before the fold, so a delta that comes meanwhile is not taken for folded
+    ends = spark.read.parquet(f"{root}/delta").groupBy("run").agg(F.max("epoch").cast("long").alias("upto")).collect()
+    covered = {r["run"]: r["upto"] for r in ends}
+    last, before = _covered(spark, root)
+    read_current(spark, root, keys, order).write.mode("overwrite").parquet(f"{root}/base/id={last + 1}")
+    # the base counts only once these rows say it is complete
+    rows = [(last + 1, run, upto) for run, upto in {**before, **covered}.items()]
+    spark.createDataFrame(rows, "base long, run string, upto long").coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return max(covered.values())

@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from sluiceway.session import query_id
+
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
@@ -36,10 +38,10 @@ def to_files(
 
 
 def by_epoch(out: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that gives each epoch a directory of its own,
-    so a replayed epoch replaces what it wrote before."""
+    """A ``foreachBatch`` function that gives each epoch of a query a directory of its own, so a
+    replayed epoch replaces what it wrote before. Readers see the columns ``run`` and ``epoch``."""
     def write(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        rows.write.mode("overwrite").parquet(f"{out}/run={query_id(rows)}/epoch={epoch}")
 
     return write
 

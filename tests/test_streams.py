@@ -125,3 +125,25 @@ def test_several_sinks(spark, feed, tmp_path):
     query = runs.to_sinks(feed.stream(), [runs.by_epoch(t) for t in targets], str(tmp_path / "sinks-log"))
     runs.drain(query)
     assert [spark.read.parquet(t).count() for t in targets] == [5, 5]
+
+
+def test_upsert_after_a_new_checkpoint(spark, feed, tmp_path):
+    """A new checkpoint counts its epochs from zero; nothing recorded before is lost, also after a fold."""
+    from sluiceway.sinks import upsert
+
+    table = str(tmp_path / "table")
+    sink = upsert.upsert_sink(table, ["k"], ["t"])
+    read = lambda: sorted(tuple(r) for r in upsert.read_current(spark, table, ["k"], ["t"]).collect())
+    feed.add([(k, 1) for k in range(5)], "k int, t int")
+    runs.drain(runs.to_sinks(feed.stream(), [sink], str(tmp_path / "log-one")))
+    assert read() == [(k, 1) for k in range(5)]
+    upsert.compact(spark, table, ["k"], ["t"])
+    feed.add([(4, 2), (5, 2)], "k int, t int")
+    runs.drain(runs.to_sinks(feed.stream(), [sink], str(tmp_path / "log-two")))
+    expected = [(k, 1) for k in range(4)] + [(4, 2), (5, 2)]
+    assert read() == expected
+    upsert.compact(spark, table, ["k"], ["t"])
+    assert read() == expected
+    feed.add([(6, 3)], "k int, t int")
+    runs.drain(runs.to_sinks(feed.stream(), [sink], str(tmp_path / "log-two")))
+    assert read() == [*expected, (6, 3)]
