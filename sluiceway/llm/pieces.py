@@ -3,7 +3,7 @@
 Texts are cut into atoms: before each run of spaces, and between two characters that no piece of the
 vocabulary holds side by side, so no segmentation crosses a cut. The distinct atoms form a table. Each
 atom's substrings up to the longest piece are exploded and equi-joined to the piece table; the edges are
-grouped by atom and end, and a higher-order aggregate folds Viterbi from left to right: the best path to
+grouped by atom, and a higher-order aggregate folds Viterbi over its ends from left to right: the best path to
 an end is the best of its edges, by 32-bit score and then by the longer piece, as the reference library
 does. Characters no piece covers fall back to their UTF-8 bytes.
 
@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sluiceway.llm.common import land, table
+from sluiceway.operators.sequence import lookup
 
 SPACE = "▁"
 HEAD_ATOMS = 400_000
 UNKNOWN_PENALTY = 10.0
 LONG_ATOM = 256
+TASK_ATOMS = 20_000
+RARE_BYTES = 16 << 20
 
 
 class Vocabulary:
@@ -111,33 +114,34 @@ def atoms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(atom, end, edges): for each end the edges that reach it, as (start, score, id); id is -1 for a
-    character that no piece covers."""
+    """(atom, n, edges): the edges of each row of ``words`` (atom, n) as (start, end, score, id); id is
+    -1 for a character that no piece covers.
+
+    Where ``words`` are partitioned by atom, the edges are joined and grouped without leaving their task.
+    """
     spark = words.sparkSession
     table_ = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score float")
     fallback = float(np.float32(vocabulary.lowest - UNKNOWN_PENALTY))
-    spans = words.select("atom", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)).alias("start")).select(
-        "atom", "start",
+    spans = words.select("atom", "n", F.explode(F.sequence(F.lit(0), F.length("atom") - 1)).alias("start")).select(
+        "atom", "n", "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("atom") - F.col("start")))).alias("size"),
     ).withColumn("piece", F.col("atom").substr(F.col("start") + 1, F.col("size")))
     # the piece table is as large as the vocabulary, whatever the corpus
     edges = spans.join(F.broadcast(table_), "piece", "left").where("id is not null or size = 1")
-    return edges.groupBy("atom", (F.col("start") + F.col("size")).alias("end")).agg(
-        F.collect_list(F.struct(
-            "start", F.coalesce("score", F.lit(fallback).cast("float")).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")
-        )).alias("edges")
-    )
+    return edges.groupBy("atom", "n").agg(F.collect_list(F.struct(
+        "start", (F.col("start") + F.col("size")).alias("end"),
+        F.coalesce("score", F.lit(fallback).cast("float")).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"),
+    )).alias("edges"))
 
 
 def viterbi(edges: DataFrame) -> DataFrame:
-    """(atom, steps): the best path of each atom as (id, start, end)."""
-    ends = edges.groupBy("atom").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
+    """(atom, n, steps): the best path of each atom as (id, start, end)."""
     origin = F.array(F.struct(
         F.lit(0).cast("float").alias("score"), F.lit(0).alias("later"), F.lit(0).alias("start"), F.lit(-2).alias("id")
     ))
 
     def step(best, end):
-        reached = F.transform(end["edges"], lambda e: F.struct(
+        reached = F.transform(F.filter("edges", lambda e: e["end"] == end), lambda e: F.struct(
             (F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("later"),
             e["start"].alias("start"), e["id"].alias("id"),
         ))
@@ -155,8 +159,10 @@ def viterbi(edges: DataFrame) -> DataFrame:
     tail = F.get("best", last)
     seed = F.array(F.struct(tail["id"].alias("id"), tail["start"].alias("start"), last.alias("end")))
     return (
-        ends.select("atom", F.explode(F.array(F.aggregate("ends", origin, step))).alias("best"))
-        .select("atom", F.aggregate("best", seed, back).alias("steps"))
+        edges.select("atom", "n", F.explode(F.array(
+            F.aggregate(F.sequence(F.lit(1), F.length("atom")), origin, step)
+        )).alias("best"))
+        .select("atom", "n", F.aggregate("best", seed, back).alias("steps"))
     )
 
 
@@ -186,8 +192,15 @@ def best_path(atom: str, vocabulary: Vocabulary) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
-def dictionary(words: DataFrame, vocabulary: Vocabulary, long_atom: int = LONG_ATOM) -> DataFrame:
-    """(atom, n, ids): the encoding of each atom; uncovered characters are spelt in bytes."""
+def dictionary(
+    words: DataFrame, vocabulary: Vocabulary, long_atom: int = LONG_ATOM, task_atoms: int = TASK_ATOMS
+) -> DataFrame:
+    """(atom, n, ids): the encoding of each atom; uncovered characters are spelt in bytes.
+
+    Atoms are dealt to tasks of about ``task_atoms`` first, so that only atoms are shuffled and a task
+    groups its edges in memory.
+    """
+    words = words.repartition(max(1, -(-words.count() // task_atoms)), "atom")
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +213,7 @@ def dictionary(words: DataFrame, vocabulary: Vocabulary, long_atom: int = LONG_A
     words = words.where(F.length("atom") <= long_atom)
     by_byte = F.array(*[F.lit(vocabulary.bytes.get(b, vocabulary.unknown)) for b in range(256)])
     byte_fallback = bool(vocabulary.bytes)
-    found = viterbi(lattice(words.select("atom"), vocabulary))
+    found = viterbi(lattice(words, vocabulary))
 
     def spelt(s):
         letter = F.hex(F.encode(F.col("atom").substr(s["start"] + 1, s["end"] - s["start"]), "UTF-8"))
@@ -210,7 +223,7 @@ def dictionary(words: DataFrame, vocabulary: Vocabulary, long_atom: int = LONG_A
         return F.when(s["id"] >= 0, F.array(s["id"])).otherwise(cells if byte_fallback else F.array(F.lit(vocabulary.unknown)))
 
     ids = F.flatten(F.transform("steps", spelt))
-    return found.select("atom", ids.alias("ids")).join(words, "atom").select("atom", "ids", "n").unionByName(long)
+    return found.select("atom", ids.alias("ids"), "n").unionByName(long)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS) -> DataFrame:
@@ -240,9 +253,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS
                 rare += own
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rare, pa.string())], ["row", "atom"])
 
-    lists = (
+    lists = land(
         rows.mapInArrow(wanted, "row long, atom string").join(tail, "atom")
-        .groupBy("row").agg(F.collect_list(F.struct("atom", "ids")).alias("rare"))
+        .groupBy("row").agg(F.collect_list(F.struct("atom", "ids")).alias("rare")),
+        "rare-atoms",
     )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +271,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS
                     out.append(b"".join([known[a] if a in known else own[a] for a in found]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return rows.join(lists, "row", "left").select("doc_id", "text", "rare").mapInArrow(coded, f"doc_id {kind}, ids binary")
+    # whole texts are shuffled only where the rare atoms are too many to travel
+    return lookup(rows, lists, "row", "left", RARE_BYTES).select("doc_id", "text", "rare").mapInArrow(coded, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
