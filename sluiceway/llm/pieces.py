@@ -49,6 +49,7 @@ class Vocabulary:
         every = range(model.vocab_size())
         odd = {i for i in every if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         self.pieces = [(model.id_to_piece(i), i, float(model.get_score(i))) for i in every if i not in odd]
+        self.known = {p: (i, np.float32(s)) for p, i, s in self.pieces}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in every if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.longest = max(len(p) for p, _, _ in self.pieces)
@@ -168,7 +169,7 @@ def viterbi(edges: DataFrame) -> DataFrame:
 
 def best_path(atom: str, vocabulary: Vocabulary) -> list[int]:
     """The ids of one atom in one pass, by the rules of the fold: 32-bit scores, the longer piece in a tie."""
-    known = {p: (i, np.float32(s)) for p, i, s in vocabulary.pieces}
+    known = vocabulary.known
     fallback = np.float32(vocabulary.lowest - UNKNOWN_PENALTY)
     best = [np.float32(0)] + [None] * len(atom)
     back: list[tuple[int, int]] = [(0, -2)] * (len(atom) + 1)
