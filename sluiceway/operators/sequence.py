@@ -1,8 +1,8 @@
 """Ordered work per key that survives a key holding a third of all rows.
 
 A window partitioned by the key alone puts a key's whole history into one task.
-Here only keys above ``hot_rows`` rows are cut, along their order column, into
-chunks of about ``hot_rows`` rows; windows run per (key, chunk) and what a chunk
+Here only keys above ``hot_rows`` rows are cut, along all their order columns, into
+chunks below ``hot_rows`` rows; windows run per (key, chunk) and what a chunk
 needs from its past is carried over by small summary tables. Without a hot key
 the plan is the plain window.
 """
@@ -10,7 +10,7 @@ the plan is the plain window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +21,6 @@ from sluiceway.session import pin
 
 HOT_ROWS = 20_000_000
 BROADCAST_BYTES = 64 << 20
-SEGMENTS = 64
-STRIDE = 8
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -77,7 +75,12 @@ def chunked(
     hot_rows: int = HOT_ROWS,
     sizes: DataFrame | None = None,
 ) -> Chunked:
-    """Cut hot keys along ``order[0]``, which must be numeric; ties stay together.
+    """Cut hot keys into ranges of the whole order tuple.
+
+    A range partitioning by keys and order samples the rows, so bursts are cut like calm times, any
+    sortable columns will do, and only rows that agree in all of them stay together. A chunk is a
+    partition, a third of ``hot_rows`` on average, so that sampling keeps it below ``hot_rows``. Rows
+    with a missing key are never cut.
 
     Rows are counted per key to find the hot ones. Where that would run a costly
     plan twice, give ``sizes``: (keys, rows) from something cheaper, such as the
@@ -88,43 +91,21 @@ def chunked(
         counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     else:
         counts = sizes.select(*keys, F.col("rows").alias("_n"))
-    counts = counts.where(F.col("_n") > hot_rows)
+    counts = counts.where(F.col("_n") > hot_rows).dropna(subset=list(keys))
     if counts.isEmpty():
         return Chunked(df.withColumn("_chunk", F.lit(-1).cast("bigint")), keys, order, False)
 
-    # at most rows/hot_rows keys; pinned, as the cuts below come from a sketch
-    # and both the rows and their summaries must be cut at the same places
+    # at most rows / hot_rows keys
     counts = pin(counts)
-    fractions = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    cuts = pin(
-        lookup(df.select(*keys, order[0]), counts, list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(F.col(order[0]).cast("double"), fractions, 10_000).alias("_cuts"),
-            F.greatest(F.lit(1), F.ceil(F.first("_n") / (SEGMENTS * hot_rows))).alias("_pieces"),
-        )
-        .withColumn("_coarse", F.array(*[F.get("_cuts", F.lit(i)) for i in range(0, SEGMENTS + 1, STRIDE)]))
-    )
-    at = F.col(order[0]).cast("double")
-
-    def let(value: Column, body: Callable[[Column], Column]) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def place(segment: Column) -> Column:
-        low, high = F.get("_cuts", segment - 1), F.get("_cuts", segment)
-        inner = F.coalesce(F.floor((at - low) / (high - low) * F.col("_pieces")), F.lit(0))
-        return segment * F.col("_pieces") + F.least(inner, F.col("_pieces") - 1)
-
-    # how many cuts lie at or below the row: first among every eighth, then between two
-    base = F.greatest(F.size(F.filter("_coarse", lambda c: c <= at)) - 1, F.lit(0)) * STRIDE
-    segment = let(base, lambda b: b + F.size(F.filter(F.slice("_cuts", b + 1, F.lit(STRIDE)), lambda c: c <= at)))
-    chunk = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(let(segment, place))
-    rows = (
-        lookup(df, cuts, list(keys), "left")
-        .withColumn("_chunk", chunk.cast("bigint"))
-        .drop("_cuts", "_coarse", "_pieces")
+    parts = math.ceil(3 * counts.agg(F.sum("_n")).first()[0] / hot_rows)
+    hot_keys = counts.select(*keys)
+    # pinned: the bounds come from a sample, and rows and their summaries must be cut at the same places
+    hot = pin(
+        lookup(df, hot_keys, list(keys), "left_semi").repartitionByRange(parts, *keys, *order)
+        .withColumn("_chunk", F.spark_partition_id().cast("bigint"))
     )
-    return Chunked(rows, keys, order, True)
+    cold = lookup(df, hot_keys, list(keys), "left_anti").withColumn("_chunk", F.lit(-1).cast("bigint"))
+    return Chunked(cold.unionByName(hot), keys, order, True)
 
 
 def with_position(

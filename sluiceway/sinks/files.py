@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.operators.sequence import with_position
@@ -51,7 +51,8 @@ def write_batches(
     """Store items under ``<root>/<batch>``; names are unique within a batch.
 
     A name that is already stored fails, is ignored (counts as success, keeps the
-    old content) or is replaced. Items past ``max_files`` per batch, in
+    old content) or is replaced; a name that repeats within ``df`` is treated as if its
+    rows came one after the other. Items past ``max_files`` per batch, in
     the order of the numeric column ``order``, fail.
     """
     if conflict not in ("fail", "ignore", "replace"):
@@ -59,7 +60,12 @@ def write_batches(
     spark = df.sparkSession
     stored = existing(spark, root)
     keys = [batch, name]
-    routed = df.withColumn("_route", F.lit("write"))
+    # of rows that share a name the first is stored; where names are replaced, the last
+    place = F.col(order) if order else F.xxhash64(*df.columns)
+    own = Window.partitionBy(*keys).orderBy(place.desc() if conflict == "replace" else place)
+    df = df.withColumn("_again", F.row_number().over(own) > 1)
+    repeated = F.when(F.col("_again"), F.lit(conflict)).otherwise(F.lit("write"))
+    routed = df.withColumn("_route", repeated).drop("_again")
     if stored is not None:
         kind = df.schema[batch].dataType
         # only directories that receive rows are read
@@ -68,8 +74,8 @@ def write_batches(
             known = stored.select(*keys, F.lit(True).alias("_known")).dropDuplicates(keys)
             routed = (
                 df.join(known, keys, "left")
-                .withColumn("_route", F.when(F.col("_known"), F.lit(conflict)).otherwise(F.lit("write")))
-                .drop("_known")
+                .withColumn("_route", F.when(F.col("_known"), F.lit(conflict)).otherwise(repeated))
+                .drop("_known", "_again")
             )
     if max_files is not None:
         waiting = routed.where("_route = 'write'").withColumn(

@@ -120,6 +120,8 @@ def impute_mean(
     State is at most ``window`` readings per sensor; with ``event_time`` it is
     dropped once the watermark is ``idle_ms`` past the sensor's last reading.
     """
+    if window < 1:
+        return readings.withColumn(output, F.col(field).cast("double"))
     schema = T.StructType([*readings.schema.fields, T.StructField(output, T.DoubleType())])
     names = schema.names
     readings, timeout = _expiring(readings, event_time, delay)

@@ -49,6 +49,23 @@ def test_chunks_follow_the_order(readings):
     assert cut.rows.count() == readings.count()
 
 
+@pytest.mark.parametrize("order", [["t", "n"], ["word", "n"], ["at", "n"]])
+def test_chunks_stay_bounded_in_bursts_and_ties(spark, order):
+    """Nine rows of ten lie in one burst, and a third of all share one first order value."""
+    n, limit = 20_000, 400
+    df = spark.range(n).select(
+        F.lit("k").alias("sensor"), F.col("id").alias("n"),
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 > 0, F.col("id") % 5000).otherwise(F.col("id") * 10**6).alias("t"),
+    ).withColumn("word", F.concat(F.lit("w"), F.col("t"))).withColumn("at", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    cut = sequence.chunked(df, ["sensor"], order, limit)
+    sizes = cut.hot_rows.groupBy("_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * limit
+    assert sizes.agg(F.sum("count")).first()[0] == n
+    spans = cut.hot_rows.groupBy("_chunk").agg(F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high"))
+    spans = spans.orderBy("_chunk").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:]))
+
+
 def test_no_hot_key_means_the_plain_plan(readings):
     cut = sequence.chunked(readings, ["sensor"], ["t"], PLAIN)
     assert not cut.hot and cut.by == ["sensor"]
