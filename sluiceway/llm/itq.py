@@ -5,9 +5,10 @@ Rotations are learned on a bounded sample so that the signs of rotated vectors a
 into substrings; each substring indexes one Hamming table, every vector stands in all tables, and
 vectors that share a substring are compared by their original components in double precision.
 
-Substrings get longer with the logarithm of the number of vectors, so buckets stay small; the number
-of tables follows from the length so that a pair at the threshold is found with probability
-``recall`` or more, closer pairs more often.
+Codes are taken about the mean, so the plan of tables is measured: pairs at the threshold are made of the
+sample and found in it, and the length of substrings and number of tables are the cheapest that find
+``recall`` of them or more, closer pairs more often. Few vectors, and vectors so crowded about their mean that codes tell
+little, get one table without bits, which compares all pairs in blocks.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths do not link; equal vectors are one node that carries its number; rows
@@ -33,6 +34,8 @@ RECALL = 0.97
 SAMPLE = 8192
 ITERATIONS = 25
 BLOCK = 1024
+PAIRS = 2048
+TRIAL_BITS = 1024
 
 
 def learn_rotation(sample: np.ndarray, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
@@ -46,20 +49,103 @@ def learn_rotation(sample: np.ndarray, seed: int, iterations: int = ITERATIONS)
     return rotation
 
 
-def plan_tables(n: int, d: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a substring, number of tables) for n vectors of d components."""
-    bits = int(min(48, max(6, math.ceil(math.log2(max(n, 2))) - 2)))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+def near_pairs(sample: np.ndarray, threshold: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sets of pairs at the threshold or just above: vectors of the sample turned towards another vector of it,
+    turned in any direction, and, if it has enough, pairs of the sample itself."""
+    n, d = sample.shape
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(n, size=PAIRS)]
+    sets = []
+    for towards in (sample[rng.integers(n, size=PAIRS)], rng.standard_normal((PAIRS, d))):
+        across = towards - (towards * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(across, axis=1)
+        able = size > 1e-6
+        across = across[able] / size[able, None]
+        if len(across):
+            sets.append((x[able], threshold * x[able] + math.sqrt(max(0.0, 1 - threshold**2)) * across))
+    left, right = [], []
+    for at in range(0, n, 256):
+        cosine = sample[at:at + 256] @ sample.T
+        i, j = np.nonzero((cosine >= threshold) & (cosine < threshold + (1 - threshold) / 5))
+        i += at
+        left.append(i[i < j])
+        right.append(j[i < j])
+    left, right = np.concatenate(left), np.concatenate(right)
+    if len(left) >= 100:
+        drawn = rng.permutation(len(left))[:PAIRS]
+        sets.append((sample[left[drawn]], sample[right[drawn]]))
+    return sets
+
+
+def plan_tables(n: int, d: int, agreements: list[np.ndarray], crowd: list[float], recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a substring, number of tables) of least cost for n vectors of d components.
+
+    ``agreements`` holds, for sets of pairs at the threshold, each pair's share of equal bits; ``crowd`` the share of all
+    pairs that agree in 0, 1, 2, ... bits of a substring. A copy costs its bytes, a comparison one. No bits
+    and one table compare all pairs.
+    """
+    best = (math.inf, 0, 1)
+    for bits in range(len(crowd)):
+        met = max(1.0, n * max(crowd[bits], 2.0**-bits))  # vectors of a bucket
+
+        def cost(tables: int) -> float:
+            return tables * ((4 * d + 8 * tables) * max(1.0, met / BLOCK) + met)
+
+        def found(tables: int) -> float:
+            return min((float(np.mean(1 - (1 - q**bits) ** tables)) for q in agreements), default=1.0)
+
+        low, high = 0, 1
+        while found(high) < recall and cost(high) < best[0]:
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if found(middle) >= recall else (middle, high)
+        if found(high) >= recall and cost(high) < best[0]:
+            best = (cost(high), bits, high)
+    return best[1:]
 
 
 def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> dict:
-    """Mean, rotations and table plan for unit vectors; ``sample`` is bounded."""
+    """Mean, rotations and table plan for unit vectors; ``sample`` is bounded.
+
+    Codes are signs about the mean, where the angle of a pair is wider than its own, so the plan follows from the bits
+    in which pairs at the threshold do agree, and tables are added until the fitted codes find enough of them.
+    """
     d = sample.shape[1]
-    bits, tables = plan_tables(n, d, threshold, recall)
     mean = sample.mean(axis=0)
-    rotations = [learn_rotation(sample - mean, seed) for seed in range(math.ceil(bits * tables / d))]
-    return {"mean": mean, "rotation": np.hstack(rotations)[:, : bits * tables], "bits": bits, "tables": tables}
+    rotations: list[np.ndarray] = []
+
+    def turned(bits: int) -> np.ndarray:
+        while d * len(rotations) < bits:
+            rotations.append(learn_rotation(sample - mean, len(rotations)))
+        return np.hstack(rotations)[:, :bits] if bits else np.empty((d, 0))
+
+    def signs(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+        return (vectors - mean) @ rotation >= 0
+
+    pairs = near_pairs(sample, threshold)
+    trial = turned(TRIAL_BITS)
+    agreements = [(signs(x, trial) == signs(y, trial)).mean(axis=1) for x, y in pairs]
+    most = int(min(48, max(6, math.ceil(math.log2(max(n, 2))) - 2)))
+    code, crowd = signs(sample, trial), [1.0]
+    for bits in range(1, most + 1):
+        shares = []
+        for at in range(0, min(TRIAL_BITS // bits, 8) * bits, bits):
+            counts = np.unique(code[:, at:at + bits] @ (1 << np.arange(bits, dtype=np.int64)), return_counts=True)[1]
+            shares.append((counts * (counts - 1)).sum() / max(1, len(sample) * (len(sample) - 1)))
+        crowd.append(float(np.mean(shares)))
+    bits, tables = plan_tables(n, d, agreements, crowd, recall)
+    # equal bits of one rotation are not independent: count what is really found
+    while bits:
+        rotation = turned(bits * tables)
+        found = [
+            (signs(x, rotation) == signs(y, rotation)).reshape(len(x), tables, bits).all(axis=2).any(axis=1).mean()
+            for x, y in pairs
+        ]
+        if min(found, default=1.0) >= recall:
+            break
+        tables += max(1, tables // 10)
+    return {"mean": mean, "rotation": turned(bits * tables), "bits": bits, "tables": tables}
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

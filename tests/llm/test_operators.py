@@ -246,6 +246,46 @@ def test_vectors(spark, block):
     assert itq.near_vectors(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("norm", [0.0, 0.7, 0.8, 0.95])
+def test_vectors_with_a_common_mean(norm):
+    """Pairs just above the threshold, among vectors that share a large mean: as many found as are required."""
+    rng = np.random.default_rng(6)
+    n, d = 20_000, 64
+    mean = np.zeros(d)
+    mean[0] = norm
+    x = rng.standard_normal((n, d))
+    x[:, 0] = 0
+    x = mean + x * np.sqrt(1 - norm**2) / np.linalg.norm(x, axis=1, keepdims=True)
+    # partners at cosine 0.905 that have the same mean, where that is possible
+    inner = (0.905 - norm**2) / (1 - norm**2)
+    r, other = x[:2000] - mean, rng.standard_normal((2000, d))
+    other[:, 0] = 0
+    other -= (other * r).sum(axis=1, keepdims=True) * r / (r * r).sum(axis=1, keepdims=True)
+    other *= np.sqrt(1 - norm**2) / np.linalg.norm(other, axis=1, keepdims=True)
+    y = mean + inner * r + np.sqrt(1 - inner**2) * other
+    assert np.allclose((x[:2000] * y).sum(axis=1), 0.905)
+    every = np.vstack([x, y])
+    model = itq.fit(every[rng.permutation(len(every))[:2048]], 1_000_000)
+    same = itq.substrings(x[:2000], model) == itq.substrings(y, model)
+    assert same.any(axis=1).mean() >= 0.95
+
+
+def test_vectors_by_brute_force_with_a_common_mean(spark):
+    rng = np.random.default_rng(7)
+    mean, n = np.eye(32)[0] * 0.8, 3000
+    r = rng.standard_normal((n, 32)) * np.r_[0, np.ones(31)]
+    r *= 0.6 / np.linalg.norm(r, axis=1, keepdims=True)
+    r[1::2] = r[::2] + 0.72 * rng.uniform(0.2, 1.0, (n // 2, 1)) * np.roll(r[::2], 1, axis=0)
+    r *= 0.6 / np.linalg.norm(r, axis=1, keepdims=True)
+    x = (mean + r).astype(np.float32)
+    got = {v.vec_id: v.n_links for v in itq.near_vectors(
+        spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")).collect()}
+    unit = itq.unit(x)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert sum(got.values()) >= 0.95 * near.sum() > 0
+
+
 # pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
