@@ -59,29 +59,15 @@ def utf8(column: str):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def keep_ids(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among the kept ones of ``decided`` (doc_id, kept).
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, landed so that it stays the same, and the column's name."""
+    row = fresh(docs, "_row")
+    return land(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
-    A doc_id that several rows carry is kept once for each row of ``decided`` that says so: such
-    ids are rare, so only their rows are numbered. Null ids count as one id.
-    """
-    counts = land(
-        decided.groupBy("doc_id").agg(
-            F.count("*").alias("n_rows"), F.sum(F.col("kept").cast("long")).alias("n_kept")
-        ),
-        "kept-ids",
-    ).withColumnRenamed("doc_id", "kept_id")
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id"))
-    whole = lookup(docs, counts.where("n_kept = n_rows").select("kept_id"), same, "left_semi")
-    part = counts.where("n_kept > 0 and n_kept < n_rows")
-    if part.isEmpty():
-        return whole
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    rank = fresh(docs, "rank")
-    some = lookup(docs, part.select("kept_id", "n_kept"), same).withColumn(rank, F.row_number().over(order))
-    return whole.unionByName(some.where(F.col(rank) <= F.col("n_kept")).select(*docs.columns))
+
+def keep_rows(docs: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows of numbered ``docs`` whose number is in column ``row`` of ``kept``; the number is dropped."""
+    return lookup(docs, kept.select(F.col("row").alias(row)), row, "left_semi").drop(row)
 
 
 def groups_of(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import WHITE, blobs, keep_ids, land, table, utf8
+from sluiceway.llm.common import WHITE, blobs, keep_rows, land, numbered, table, utf8
 from sluiceway.operators.sequence import lookup
 
 CHUNK = 1 << 16
@@ -55,8 +55,10 @@ def _chunks(data: bytes, chunk: int) -> list[bytes]:
     return [data[i:i + chunk] for i in range(0, len(data), chunk)] or [b""]
 
 
-def fingerprints(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES) -> DataFrame:
-    """One row per document: row, doc_id, n_points, sha, n_bytes, f0, f1, f2."""
+def fingerprints(
+    docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES, row: str | None = None
+) -> DataFrame:
+    """One row per document: row, doc_id, n_points, sha, n_bytes, f0, f1, f2. Column ``row`` numbers the rows if given."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         falling = powers(primes, chunk)
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] =
 
     kind = dict(docs.dtypes)["doc_id"]
     cells = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id",
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), utf8("text").alias("data"),
     ).mapInArrow(
         hashed,
@@ -131,12 +133,19 @@ def _torn(docs: DataFrame, repeated: DataFrame, chunk: int, primes: tuple[int, .
 
 
 def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return decided(docs, chunk, primes).drop("row")
+
+
+def decided(
+    docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES, row: str | None = None
+) -> DataFrame:
+    """Per row of ``docs``: its number, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the most code points stays, then the smallest id. Fingerprints that
     the comparison finds torn are split by SHA-256.
     """
-    prints = land(fingerprints(docs, chunk, primes), "fingerprints")
+    prints = land(fingerprints(docs, chunk, primes, row), "fingerprints")
     key = [*PRINT, "part"]
     prints = prints.withColumn("part", F.lit(""))
     best = F.min(F.struct(
@@ -155,14 +164,15 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, ...] = P
         ).drop("is_torn")
         groups = grouped(prints)
     return prints.join(groups, key).select(
-        "doc_id", F.col("best.id").alias("keep_id"), "group_size",
+        "row", "doc_id", F.col("best.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.at")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact deduplication drops."""
-    return keep_ids(docs, exact_dedup(docs))
+    docs, row = numbered(docs)
+    return keep_rows(docs, row, decided(docs, row=row).where("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import block_pairs, blobs, groups_of, keep_ids, land, table, utf8
+from sluiceway.llm.common import block_pairs, blobs, groups_of, keep_rows, land, numbered, table, utf8
 from sluiceway.llm.components import components
 
 SHINGLE = 3
@@ -51,19 +51,20 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, print): the fingerprint as a signed long; with the number of the row in column ``row``, also that as row."""
+    kept = ["doc_id", *([F.col(row).alias("row")] if row else [])]
+    schema = docs.select(*kept).schema.add("print", "long")
+    names = schema.names[:-1]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(b, shingle) for b in blobs(batch["data"])), np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "print"]
+                [*(batch[c] for c in names), pa.array(prints.view(np.int64), pa.int64())], [*names, "print"]
             )
 
-    return docs.select("doc_id", utf8("text").alias("data")).mapInArrow(
-        hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, print long"
-    )
+    return docs.select(*kept, utf8("text").alias("data")).mapInArrow(hashed, schema)
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -179,16 +180,21 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, blo
     )
 
 
+def _homes(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """``nodes``, one for each fingerprint, with their component."""
+    linked = components(links(nodes.select("print"), radius, segments, block))
+    return nodes.join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn(
+        "component", F.coalesce("component", "print")
+    )
+
+
 def simhash_dedup(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
     prints = land(fingerprints(docs, shingle), "simhash")
     nodes = land(prints.groupBy("print").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    linked = components(links(nodes.select("print"), radius, segments, block))
-    home = nodes.join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn(
-        "component", F.coalesce("component", "print")
-    )
+    home = _homes(nodes, radius, segments, block)
     named = home.join(home.groupBy("component").agg(F.min("least_id").alias("component_id")), "component")
     return prints.join(named.select("print", "component_id"), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
@@ -196,12 +202,12 @@ def simhash_dedup(
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with its least id.
-
-    A component whose ids are all null keeps its rows.
-    """
-    decided = simhash_dedup(docs)
-    return keep_ids(docs, decided.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """``docs`` with one row of each component: that with its least id, null ids last, then the first."""
+    docs, row = numbered(docs)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    prints = fingerprints(docs, row=row).groupBy("print").agg(F.min(first).alias("first"))
+    homes = _homes(land(prints, "simhash-nodes"))
+    return keep_rows(docs, row, homes.groupBy("component").agg(F.min("first").alias("first")).select("first.row"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

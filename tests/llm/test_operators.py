@@ -135,6 +135,21 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and simhash.drop_near_copies(none).count() == 0
 
 
+def test_stages_keep_the_rows_they_decide(spark):
+    """Rows that share an id, or have none, are kept or dropped one by one."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    alone = [" ".join(words[i:i + 12]) for i in range(0, 60, 12)]
+    rows = [(None, t) for t in alone] + [(None, "a copy of three"), (3, "a copy of three"), (None, "a  copy of three")]
+    rows += [(7, "one text of seven here"), (7, "the other text of it"), (8, "the other text of it"), (7, "THE OTHER TEXT OF IT")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    first = [(None, t) for t in alone] + [(7, "one text of seven here"), (7, "the other text of it")]
+    key = lambda r: (str(r[0]), r[1])
+    exact = sorted(map(tuple, exact_dedup.drop_copies(frame).collect()), key=key)
+    assert exact == sorted([*first, (None, "a  copy of three"), (7, "THE OTHER TEXT OF IT")], key=key)
+    near = sorted(map(tuple, simhash.drop_near_copies(frame).collect()), key=key)
+    assert near in [sorted([*first[:-1], (3, "a copy of three"), (7, t)], key=key) for t in ("the other text of it", "THE OTHER TEXT OF IT")]
+
+
 # packing
 
 @pytest.mark.parametrize("length", [4096, 50])
