@@ -4,7 +4,7 @@ Detected entities are replaced by made-up ones of the same type: mail addresses,
 card and account numbers, telephone numbers, secrets, and names that follow a title. A surrogate comes
 from a keyed hash of the entity's canonical form, so the same entity in any format gets the same
 surrogate in each mention's own format (digits stay digits, letters keep case and script, separators
-stay; a card number that satisfies its check digit still does; a name keeps the gender of its title). Two
+and the country code of a telephone number stay; a card number that satisfies its check digit still does; a name keeps the gender of its title). Two
 checks over the table of distinct entities make surrogates distinct from each other and from every
 entity of their type: losers are hashed again with the next attempt until there are none.
 
@@ -42,6 +42,8 @@ PATTERNS = {
     + r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\d{2,4}[ .-]?\d{4,9}" + END,
     "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {NAME_WORD}(?: {NAME_WORD})?",
 }
+#: The country code that begins an international number: no code begins another, so digits alone tell it.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: Every entity holds a digit, an @, an underscore (some keys), one of these strings, or 32 hex letters.
@@ -91,7 +93,10 @@ def _parts(raws: DataFrame) -> DataFrame:
     gender = F.when(_is(title, MALE), "m").when(_is(title, FEMALE), "f").otherwise("n")
     # kinds are evaluated once for each distinct mention
     typed = raws.select("raw", F.explode(F.array(kind)).alias("kind"))
-    canon = F.when(F.col("kind") == "ip", raw).when(F.col("kind") == "email", F.lower(raw)).otherwise(_plain(raw))
+    # octets without leading zeros; international numbers keep their plus sign
+    canon = F.when(F.col("kind") == "ip", F.regexp_replace(raw, r"(?<!\d)0+(?=\d)", "")).when(
+        (F.col("kind") == "phone") & raw.startswith("+"), F.concat(F.lit("+"), _plain(raw))
+    ).when(F.col("kind") == "email", F.lower(raw)).otherwise(_plain(raw))
     single = typed.where("kind <> 'name'").select("raw", F.lit(0).alias("place"), "kind", canon.alias("canon"), raw.alias("cell"))
     named = (
         typed.where("kind = 'name'").select("raw", gender.alias("gender"), F.posexplode(words).alias("place", "cell"))
@@ -147,7 +152,7 @@ def _candidate(key: str) -> Column:
     email = F.concat(shaped(local, F.lit(0), F.lit(False)), F.lit("@"), host, F.lit(".example."), top)
 
     byte = lambda at: F.conv(F.substring(stream, at, 2), 16, 10)
-    ip = F.concat_ws(".", F.lit("10"), byte(1), byte(3), F.greatest(byte(5).cast("int"), F.lit(1)).cast("string"))
+    ip = F.concat_ws(".", byte(1), byte(3), byte(5), byte(7))
 
     drawn = shaped(canon, F.lit(0), F.lit(False))
     check = F.pmod(-_luhn(drawn, True), F.lit(10))
@@ -170,23 +175,30 @@ def _candidate(key: str) -> Column:
         F.when(kind == "title", canon).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
         .when(kind.isin("family", "given_m", "given_f", "given_n"), name)
         .when(kind == "iban", shaped(canon, F.lit(2), F.lit(False)))
+        .when(kind == "phone", shaped(canon, F.length(F.regexp_extract(canon, COUNTRY, 0)), F.lit(False)))
         .when(kind == "secret", shaped(canon, F.lit(0), canon.rlike("^[0-9a-f]+$")))
         .otherwise(shaped(canon, F.lit(0), F.lit(False)))
     )
 
 
+def _digits(canon: Column) -> Column:
+    """The form in which telephone numbers are compared: with or without a plus sign, only digits count."""
+    return F.when(F.col("kind") == "phone", F.regexp_replace(canon, r"^\+", "")).otherwise(canon)
+
+
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): one to one within a kind, and no surrogate
     is itself an entity of the kind."""
     space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     now = land(entities.withColumn("attempt", F.lit(0)).withColumn("space", space).withColumn("surrogate", _candidate(key)), "surrogates")
     for _ in range(ATTEMPTS):
-        shared = now.where("kind <> 'title'").groupBy("space", "surrogate").agg(
+        now = now.withColumn("form", _digits(F.col("surrogate")))
+        shared = now.where("kind <> 'title'").groupBy("space", "form").agg(
             F.count("*").alias("n"), F.min(F.struct("canon", "kind")).alias("first")
         ).where("n > 1")
-        real = now.where("kind <> 'title'").select("space", F.col("canon").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+        real = now.where("kind <> 'title'").select("space", _digits(F.col("canon")).alias("form")).distinct().withColumn("real", F.lit(True))
         lost = (
-            now.where("kind <> 'title'").join(shared, ["space", "surrogate"], "left").join(real, ["space", "surrogate"], "left")
+            now.where("kind <> 'title'").join(shared, ["space", "form"], "left").join(real, ["space", "form"], "left")
             .where(F.col("real") | F.col("n").isNotNull() & (F.struct("canon", "kind") != F.col("first")))
             .select("kind", "canon")
         )
@@ -195,7 +207,7 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
             return now.select("kind", "canon", "surrogate")
         now = land(
             now.join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
-            .withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "surrogate")
+            .withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "surrogate", "form")
             .withColumn("surrogate", _candidate(key)),
             "surrogates",
         )
@@ -204,7 +216,8 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def _rendered() -> Column:
     """The canonical surrogate in the format of the mention's ``cell``."""
-    cell, surrogate, kind = F.col("cell"), F.col("surrogate"), F.col("kind")
+    cell, kind = F.col("cell"), F.col("kind")
+    surrogate = _digits(F.col("surrogate"))
 
     def cased(i: Column) -> Column:
         c = F.substring(cell, i, F.lit(1))
@@ -214,13 +227,11 @@ def _rendered() -> Column:
 
     shaped = F.array_join(F.transform(F.sequence(F.lit(1), F.length(cell)), cased), "")
     upper = (cell == F.upper(cell)) & (cell != F.lower(cell))
-    code = F.regexp_extract(cell, r"^\+\d{1,3}(?=\D)", 0)
-    phone = F.concat(code, shaped.substr(F.length(code) + 1, F.length(cell)))
     return (
         F.when(kind == "title", cell).when(kind == "ip", surrogate)
         .when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
         .when(kind.isin("family", "given_m", "given_f", "given_n"), F.initcap(surrogate))
-        .when(kind == "phone", phone).otherwise(shaped)
+        .otherwise(shaped)
     )
 
 

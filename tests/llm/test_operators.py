@@ -411,6 +411,25 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in made}) == 300 and not {r.surrogate for r in made} & {r.canon for r in made}
 
 
+def test_written_numbers_stay_distinct(spark):
+    """Country codes stay, so what is written, not only what was drawn, must be distinct and not real."""
+    raws = [f"+49 {i * 331 % 1_000_000:06d}"[:6] + f" {i * 331 % 10_000:04d}" for i in range(3000)]
+    raws = sorted(set(raws)) + ["+49-00-0000", "+49000000"]
+    made = {r.raw: r.replacement for r in surrogates.replacements(spark.createDataFrame([(r,) for r in raws], "raw string")).collect()}
+    plain = lambda t: re.sub(r"\D", "", t)
+    assert all(n.startswith("+49") for n in made.values())
+    entities = {plain(r): plain(n) for r, n in made.items()}
+    assert all(plain(made[r]) == entities[plain(r)] for r in raws)
+    assert len(set(entities.values())) == len(entities) and not set(entities.values()) & set(entities)
+
+
+def test_addresses_come_from_the_whole_space(spark):
+    raws = [f"172.16.{i}.1" for i in range(64)] + ["172.16.0.01"]
+    made = {r.raw: r.replacement for r in surrogates.replacements(spark.createDataFrame([(r,) for r in raws], "raw string")).collect()}
+    assert made["172.16.0.01"] == made["172.16.0.1"] and len(set(made.values())) == 64
+    assert len({n.split(".")[0] for n in made.values()}) > 30 and all(all(0 <= int(b) < 256 for b in n.split(".")) for n in made.values())
+
+
 # pipeline
 
 def test_pipeline(spark, docs):
