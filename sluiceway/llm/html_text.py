@@ -37,6 +37,7 @@ SILENT = frozenset(
     "audio video map datalist dialog".split()
 )
 ASIDE = frozenset("nav footer aside form menu fieldset".split())
+METADATA = frozenset("html head base link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|"
@@ -65,6 +66,23 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.linked = self.in_link = 0
+        self.link_at = self.link_depth = 0  # number of blocks and of open elements when the link began
+
+    def _end_link(self, closed: bool) -> None:
+        """A link that nobody closes ends with the block in which it began."""
+        if self.in_link and not closed and len(self.blocks) > self.link_at:
+            at = self.link_at + 1
+            self.blocks[at:] = [(text, 0, *rest) for text, _, *rest in self.blocks[at:]]
+            self.linked = 0
+        self.in_link = 0
+
+    def _end_head(self) -> None:
+        """The end tag of head may be missing."""
+        self.open = self.open[:next((i for i, e in enumerate(self.open) if e[0] == "head"), len(self.open))]
+
+    def _left(self) -> None:
+        if self.in_link and len(self.open) < self.link_depth:
+            self._end_link(False)
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -76,14 +94,19 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
+        if tag == "body" or tag not in METADATA and self.open and self.open[-1][0] in ("head", "title"):
+            self._end_head()
         if tag == "a":
-            self.in_link = 1
+            self._end_link(False)
+            if any(name == "href" for name, _ in attrs):
+                self.in_link, self.link_at, self.link_depth = 1, len(self.blocks), len(self.open)
         if tag in BLOCKS:
             self._end_block()
             # a new block closes an open paragraph; a list item or cell closes its elder
             closes = {"p"} | ({tag} if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else set())
             while self.open and self.open[-1][0] in closes:
                 self.open.pop()
+            self._left()
         if tag in VOID or tag not in BLOCKS and tag not in SILENT:
             return
         _, aside, article, silent = self.open[-1] if self.open else ("", False, False, False)
@@ -99,15 +122,18 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
-            self.in_link = 0
+            self._end_link(True)
         if tag in BLOCKS:
             self._end_block()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
                 break
+        self._left()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.open and self.open[-1][3]:
             return
         self.parts.append(data)
@@ -117,6 +143,7 @@ class Blocks(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_block()
+        self._end_link(False)
 
 
 EDGES = re.compile(r"^\W+|\W+$")

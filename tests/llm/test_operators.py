@@ -322,6 +322,16 @@ def test_pages(spark):
     assert [(r.page_id, r.n_chars) for r in sorted(got, key=lambda r: (r.page_id, r.n_chars))][:3] == [(1, len(want)), (2, 0), (2, 0)]
 
 
+def test_pages_that_leave_tags_open():
+    first, last = "This is the text of a page that is in the head of no one.", "And so it is for the rest of the text of this page."
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title>", "<head><script>x</script>"):
+        assert html_text.main_text(f"{start}<article><p>{first}<p>{last}") == f"{first}\n{last}"
+    for link in ("<p><a href=x>Home</p>", "<div><a href=x>Home</div>", "<a href=x>Home", "<a name=top>"):
+        got = html_text.main_text(f"<body>{link}<div><p>{first}</p><p>{last}</p></div>")
+        assert got.endswith(f"{first}\n{last}"), link
+    assert html_text.main_text(f"<body><a href=x><div><p>{first}</p><p>{last}</p></div></a>") == ""
+
+
 def test_open_blocks_take_after_neighbours():
     assert html_text.second_pass(["good", "open", "bad", "open", "open", "good"], False) == [True, False, False, False, True, True]
     assert html_text.second_pass(["open", "open"], True) == [True, True]
