@@ -1,7 +1,8 @@
 """Operator 8: main text of pages by two-pass block rules.
 
 First pass: blocks of a page are decided by their place (menus, footers, forms, ... are never text),
-by the share of their characters inside links, and, if long enough, by the density of stop words.
+by the share of their characters inside links, and, if long enough, by the density of stop words (by length
+alone where no block of the page shows stop words of a known language).
 Second pass: blocks that the first leaves open (short, or of middling density) inherit the label of the
 nearest decided block of the same region. A region is the inside or the outside of article and main
 elements; blocks outside are not text where a page has such an element.
@@ -39,13 +40,18 @@ SILENT = frozenset(
 ASIDE = frozenset("nav footer aside form menu fieldset".split())
 METADATA = frozenset("html head base link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|"
+ASIDE_WORD = re.compile(
+    r"ads?|adverts?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|"
     r"modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|topbar|header|comments?|"
     r"replies|reply|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|"
-    r"signup|login|search|widget\w*|pagination|pager|toolbar|disclaimer|copyright)(?:$|[\s_-])",
+    r"signup|login|search|widget\w*|pagination|pager|toolbar|disclaimer|copyright",
     re.IGNORECASE,
 )
+#: Words that say nothing beside such a word in one name; any other word makes it another name ("has-sidebar").
+BESIDE = frozenset(
+    "site page global main top bottom left right primary secondary inner outer box bar list links link buttons button "
+    "block container wrapper wrap area section form item items panel unit slot text user post my the and".split()
+)
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 STOP_WORDS = frozenset(
@@ -57,13 +63,29 @@ STOP_WORDS = frozenset(
 )
 
 
+def aside_name(names: str, article: bool) -> bool:
+    """Whether a class or id among ``names`` is as a whole one of something aside; a header in an article is not."""
+    for name in names.split():
+        words = [w for w in re.split(r"[_-]+", name.lower()) if w and not w.isdigit()]
+        told = [w for w in words if w not in BESIDE]
+        if told and all(ASIDE_WORD.fullmatch(w) for w in told) and not ("header" in told and (article or "post" in words)):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
-    """The text blocks of a page, in order: (text, link characters, aside, inside an article)."""
+    """The text blocks of a page, in order: (text, link characters, aside, inside an article).
+
+    While a page is read, aside is the set of containers that may be aside; 0 stands for places that are for certain,
+    by their tag. ``place`` decides about the others once the page is known.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, aside, article, silent
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.open: list[tuple[str, frozenset, bool, bool]] = []  # tag, aside, article, silent
+        self.blocks: list[tuple[str, int, frozenset | bool, bool]] = []
+        self.containers = 0
+        self.with_main: set[int] = set()
         self.parts: list[str] = []
         self.linked = self.in_link = 0
         self.link_at = self.link_depth = 0  # number of blocks and of open elements when the link began
@@ -87,7 +109,7 @@ class Blocks(HTMLParser):
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, aside, article, _ = self.open[-1] if self.open else ("", False, False, False)
+            _, aside, article, _ = self.open[-1] if self.open else ("", frozenset(), False, False)
             self.blocks.append((text, self.linked, aside, article))
         self.parts, self.linked = [], 0
 
@@ -109,15 +131,20 @@ class Blocks(HTMLParser):
             self._left()
         if tag in VOID or tag not in BLOCKS and tag not in SILENT:
             return
-        _, aside, article, silent = self.open[-1] if self.open else ("", False, False, False)
+        _, aside, article, silent = self.open[-1] if self.open else ("", frozenset(), False, False)
         named = dict(attrs)
         name = " ".join(v for v in (named.get("class"), named.get("id")) if v)
         style = (named.get("style") or "").replace(" ", "").lower()
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style
         is_article = tag in ("article", "main") or named.get("role") == "main"
-        if tag not in ("html", "body") and not (is_article and not aside):
-            aside = aside or tag in ASIDE or bool(ASIDE_NAME.search(name)) or named.get("role") in ASIDE_ROLE
-            aside = aside or tag == "header" and not article
+        if tag == "main" or named.get("role") == "main":
+            self.with_main |= aside
+        if tag not in ("html", "body") and not is_article:
+            if tag in ASIDE - {"form", "fieldset"} or tag == "header" and not article:
+                aside = aside | {0}
+            elif tag in ASIDE or aside_name(name, article) or named.get("role") in ASIDE_ROLE:
+                self.containers += 1
+                aside = aside | {self.containers}
         self.open.append((tag, aside, article or is_article, silent or tag in SILENT or hidden))
 
     def handle_endtag(self, tag: str) -> None:
@@ -144,20 +171,50 @@ class Blocks(HTMLParser):
         super().close()
         self._end_block()
         self._end_link(False)
+        self.place()
+
+    def place(self) -> None:
+        """A container is not aside if it holds main or, where no article stands outside, an article or most of the
+        page's text."""
+        free = set(self.with_main) - {0}
+        if not any(article and not aside - free for _, _, aside, article in self.blocks):
+            held, total = {}, 0
+            for text, linked, aside, article in self.blocks:
+                if 0 in aside:
+                    continue
+                size = max(0, len(text) - text.count(" ") - linked)
+                total += size
+                for container in aside:
+                    held[container] = held.get(container, 0) + size
+                    if article:
+                        free.add(container)
+            free |= {c for c, size in held.items() if 2 * size > total}
+        self.blocks = [(text, linked, bool(aside - free), article) for text, linked, aside, article in self.blocks]
 
 
 EDGES = re.compile(r"^\W+|\W+$")
 
 
-def first_pass(text: str, linked: int, aside: bool, article: bool) -> str:
-    """good, bad or open"""
+#: Scripts that write words without spaces; one character is worth several letters.
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LONG_LETTERS = 50
+
+
+def stop_density(words: list[str]) -> float:
+    return sum(EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(text: str, linked: int, aside: bool, article: bool, known: bool = True) -> str:
+    """good, bad or open; in a language that is not ``known`` by length instead of stop words"""
     letters = len(text) - text.count(" ")
     if aside or linked > LINK_DENSITY * letters or text.startswith("©"):
         return "bad"
+    if not known:
+        return "good" if letters + 2 * len(DENSE.findall(text)) >= LONG_LETTERS else "open"
     words = text.lower().split()
     if len(words) < LONG_WORDS:
         return "open"
-    density = sum(EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
+    density = stop_density(words)
     if density >= STOP_HIGH:
         return "good"
     return "bad" if density < STOP_LOW and not article else "open"
@@ -187,13 +244,15 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     has_article = any(article and not aside for _, _, aside, article in page.blocks)
+    long = (b[0].lower().split() for b in page.blocks if not b[2])
+    known = any(len(words) >= LONG_WORDS and stop_density(words) >= STOP_LOW for words in long)
     chosen = [False] * len(page.blocks)
     for region in (True, False):
         if has_article and not region:
             continue
         # what stands aside is decided by its place and says nothing of its neighbours
         at = [i for i, (_, _, aside, article) in enumerate(page.blocks) if article == region and not aside]
-        for i, keep in zip(at, second_pass([first_pass(*page.blocks[i]) for i in at], region)):
+        for i, keep in zip(at, second_pass([first_pass(*page.blocks[i], known) for i in at], region)):
             chosen[i] = keep
     return "\n".join(b[0] for b, keep in zip(page.blocks, chosen) if keep)
 

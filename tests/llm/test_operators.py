@@ -332,6 +332,26 @@ def test_pages_that_leave_tags_open():
     assert html_text.main_text(f"<body><a href=x><div><p>{first}</p><p>{last}</p></div></a>") == ""
 
 
+def test_pages_in_wrappers():
+    one, two = "This is the text of a page that is in a wrapper of the site.", "And so it is for the rest of the text of this page."
+    for name in ("layout has-sidebar", "content-sidebar-wrap", "sidebar", "page-header-fixed"):
+        assert html_text.main_text(f"<body><div class='{name}'><article><p>{one}<p>{two}</article></div>") == f"{one}\n{two}", name
+    assert html_text.main_text(f"<form id=form1><main><p>{one}<p>{two}</main></form>") == f"{one}\n{two}"
+    assert html_text.main_text(f"<div class=banner><p>{one}<p>{two}</div>") == f"{one}\n{two}"
+    assert html_text.main_text(f"<article><div class=entry-header><h1>Title</h1></div><p>{one}<div class='related-links'><p>{two}</div>") == f"Title\n{one}"
+    assert html_text.main_text(f"<main><p>{one}</main><section id=comments><article><p>{two}</article></section>") == one
+
+
+@pytest.mark.parametrize("words", [
+    "Tämä on pitkä kappale, jossa kerrotaan kaupungin historiasta ja sen asukkaista hyvin laajasti",
+    "これは日本語で書かれた長い段落であり、町の歴史とその住民について詳しく説明しています。",
+    "Эта длинная страница рассказывает об истории города и его жителях очень подробно и интересно",
+])
+def test_pages_in_other_languages(words):
+    menu = "<ul><li><a href=1>One long link of a menu</a><li><a href=2>Two</a></ul>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{words}</p><p>{words}</p></div>") == f"{words}\n{words}"
+
+
 def test_open_blocks_take_after_neighbours():
     assert html_text.second_pass(["good", "open", "bad", "open", "open", "good"], False) == [True, False, False, False, True, True]
     assert html_text.second_pass(["open", "open"], True) == [True, True]
