@@ -16,13 +16,23 @@ from sluiceway.streaming import runs, stateful
 from sluiceway.streaming.files import stream_files
 
 SLOTS = 3
+# no row lies at the very epoch, where an unset watermark would take it for late
+START = 1_704_067_200
+DELAY, HEARTBEAT = "400 days", "1200 days"
 
 
-def slotted(spark: SparkSession, sf: str, name: str, rows: DataFrame, slot) -> str:
-    """Write rows in ``SLOTS`` goes, so that files of a later slot are younger."""
+def slotted(spark: SparkSession, sf: str, name: str, rows: DataFrame, slot, heartbeat: bool = False) -> str:
+    """Write rows in ``SLOTS`` goes, so that files of a later slot are younger. A ``heartbeat`` is a last row with
+    nothing but an event time, far behind all others, as an idle source sends it."""
     def write(path):
         for i in range(SLOTS):
             rows.where(slot == i).write.mode("append").parquet(path)
+        if heartbeat:
+            last = rows.agg(F.max("event_time").alias("event_time"))
+            last.select(*[
+                (F.col(f.name) + F.expr(f"INTERVAL {HEARTBEAT}") if f.name == "event_time" else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in rows.schema
+            ]).write.mode("append").parquet(path)
 
     return landed(spark, sf, name, write)
 
@@ -84,46 +94,63 @@ def q_stream_etl(spark, sf):
     )
 
 
-def q_stream_message_join(spark, sf):
+def _messages(spark, sf):
     parts = stage_queries.pieces(spark, sf).select(
-        "msg_id", F.timestamp_millis("bt").alias("event_time"), "obs_type", "obs_val", "seq"
+        "msg_id", F.timestamp_millis(F.col("bt") + 700 * F.col("seq")).alias("event_time"), "obs_type", "obs_val", "seq"
     )
-    # the pieces of a message lie in different slots
-    path = slotted(spark, sf, "pieces", parts, F.col("seq") % SLOTS)
-    stream = stateful.message_join(stream_of(spark, path, 8), stage_queries.PIECE_FIELDS, delay="400 days")
-    return _updated(spark, stream, "message-join").select("msg_id", "joined_value")
+    # each piece has a time of its own, and the pieces of a message lie in different slots
+    path = slotted(spark, sf, "pieces", parts, F.col("seq") % SLOTS, heartbeat=True)
+    stream = stateful.message_join(stream_of(spark, path, 8), stage_queries.PIECE_FIELDS, delay=DELAY)
+    # both queries read what one run of the stream left
+    return landed(spark, sf, "messages", lambda out: _appended(spark, stream, "message-join").write.parquet(out))
+
+
+def q_stream_message_join(spark, sf):
+    return spark.read.parquet(_messages(spark, sf)).where("complete").select("msg_id", "joined_value")
+
+
+def q_stream_late_messages(spark, sf):
+    """Messages whose timer ran out while a piece was missing."""
+    return spark.read.parquet(_messages(spark, sf)).where("not complete").select("msg_id", "joined_value")
 
 
 def q_stream_batch_gate(spark, sf):
-    items = table(spark, sf, "batch_items").select("batch_id", "item_id", "arrival")
+    items = table(spark, sf, "batch_items").select(
+        "batch_id", "item_id", "arrival", F.timestamp_seconds(F.col("arrival") + START).alias("event_time")
+    )
     path = slotted(spark, sf, "items", items, F.floor(F.col("arrival") % 10 / 4))
-    return _appended(spark, stateful.batch_gate(stream_of(spark, path, 8), 10), "batch-gate").select("batch_id", "item_id")
+    gate = stateful.batch_gate(stream_of(spark, path, 8), 10, delay=DELAY)
+    return _appended(spark, gate, "batch-gate").select("batch_id", "item_id")
 
 
 def q_stream_impute(spark, sf):
-    rows = table(spark, sf, "trips").select("msg_id", "taxi_identifier", "surcharge")
-    third = rows.agg(F.floor(F.max("msg_id") / SLOTS + 1)).first()[0]
-    path = slotted(spark, sf, "readings", rows, F.floor(F.col("msg_id") / third))
-    filled = _appended(spark, stateful.impute_mean(stream_of(spark, path, 8), "surcharge", 5), "impute")
-    return filled.select("msg_id", "taxi_identifier", F.round("imputed", 6).alias("imputed"))
+    rows = table(spark, sf, "trips").select(
+        "msg_id", "taxi_identifier", "surcharge", F.timestamp_millis("bt").alias("event_time")
+    )
+    # readings of all times in every slot: the order of triggers is not that of the readings
+    path = slotted(spark, sf, "readings", rows, F.pmod(F.xxhash64("msg_id"), F.lit(SLOTS)), heartbeat=True)
+    filled = stateful.impute_mean(stream_of(spark, path, 8), "surcharge", 5, delay=DELAY, slot_ms=86_400_000)
+    return _appended(spark, filled, "impute").select("msg_id", "taxi_identifier", F.round("imputed", 6).alias("imputed"))
 
 
-def q_stream_semi_join(spark, sf):
+def _timed_items(spark, sf):
     items = table(spark, sf, "batch_items").select(
-        "batch_id", "item_id", F.timestamp_seconds("arrival").alias("event_time")
+        "batch_id", "item_id", F.timestamp_seconds(F.col("arrival") + START).alias("event_time")
     )
-    path = slotted(spark, sf, "timed-items", items, F.floor(F.col("item_id") / 77) % SLOTS)
+    return slotted(spark, sf, "timed-items", items, F.floor(F.col("item_id") / 77) % SLOTS, heartbeat=True)
+
+
+def q_stream_semi_join(spark, sf):
+    """Every item that another item of its batch came before."""
+    path = _timed_items(spark, sf)
     left, right = (stream_of(spark, path, 1000) for _ in range(2))
-    joined = stateful.semi_join(left.where("item_id % 2 = 0"), right.where("item_id % 5 = 1"), delay="60 days", within="1 hour")
+    joined = stateful.semi_join(left, right, delay=DELAY, within="1 hour")
     return _appended(spark, joined, "semi-join").select("batch_id", "item_id")
 
 
 def q_stream_dedup_batch(spark, sf):
-    items = table(spark, sf, "batch_items").select(
-        "batch_id", "item_id", F.timestamp_seconds("arrival").alias("event_time")
-    )
-    path = slotted(spark, sf, "timed-items", items, F.floor(F.col("item_id") / 77) % SLOTS)
-    return _appended(spark, stateful.dedup_batch(stream_of(spark, path, 1000), delay="60 days"), "dedup").select("batch_id")
+    first = stateful.dedup_batch(stream_of(spark, _timed_items(spark, sf), 8), delay=DELAY)
+    return _appended(spark, first, "dedup").select("batch_id", "item_id", (F.unix_seconds("event_time") - START).alias("arrival"))
 
 
 def q_stream_window(spark, sf):
@@ -147,6 +174,7 @@ def q_stream_upsert(spark, sf):
 
 
 _RANGES = record_queries._RANGES
+_PARTIAL = " || '@' || ".join(f"coalesce(CAST({f} AS VARCHAR), 'null')" for f in stage_queries.PIECE_FIELDS)
 ORACLES = {
     "q_stream_files": "SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang",
     "q_stream_trigger": with_views("trips") + "SELECT msg_id, fare_amount FROM trips",
@@ -157,9 +185,11 @@ ORACLES = {
     "q_stream_message_join": stage_queries.ORACLES["q_assemble_message"],
     "q_stream_batch_gate": stage_queries.ORACLES["q_batch_gate"],
     "q_stream_impute": stage_queries.ORACLES["q_impute_mean"],
-    "q_stream_semi_join": with_views("batch_items") + """SELECT l.batch_id, l.item_id FROM batch_items l WHERE l.item_id % 2 = 0
-        AND EXISTS (SELECT 1 FROM batch_items r WHERE r.item_id % 5 = 1 AND r.batch_id = l.batch_id AND r.arrival < l.arrival)""",
-    "q_stream_dedup_batch": with_views("batch_items") + "SELECT DISTINCT batch_id FROM batch_items",
+    "q_stream_late_messages": with_views("trips") + f"""SELECT msg_id, {_PARTIAL} AS joined_value FROM trips WHERE surcharge IS NULL""",
+    "q_stream_semi_join": with_views("batch_items") + """SELECT l.batch_id, l.item_id FROM batch_items l
+        WHERE EXISTS (SELECT 1 FROM batch_items r WHERE r.batch_id = l.batch_id AND r.arrival < l.arrival)""",
+    "q_stream_dedup_batch": with_views("batch_items") + """SELECT batch_id, arg_min(item_id, arrival) AS item_id, min(arrival) AS arrival
+        FROM batch_items GROUP BY batch_id""",
     "q_stream_window": with_views("trips") + """SELECT CAST(bt // 3600000 * 3600 AS BIGINT) AS window_start, payment_type,
         count(*) AS readings, round(avg(fare_amount), 6) AS mean FROM trips GROUP BY ALL""",
     "q_stream_upsert": with_views("trips") + """SELECT max(msg_id) AS msg_id, max(bt) AS bt, hack_license, taxi_identifier,

@@ -9,7 +9,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 SETTINGS = {
+    **STATE_STORE,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -8,19 +8,21 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sluiceway.session import query_id
+from sluiceway.session import STATE_STORE, query_id
 
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
-    """Shuffle partitions for the stateful queries started inside; default one per core."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n or spark.sparkContext.defaultParallelism))
+    """Shuffle partitions (default one per core) and the state store for the stateful queries started inside."""
+    wanted = {"spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism), **STATE_STORE}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def to_files(

@@ -1,4 +1,7 @@
-"""Keyed state on streams: message assembly, batch gate, imputation, semi join."""
+"""Keyed state on streams: message assembly, batch gate, imputation, semi join, first arrivals.
+
+All state leaves by event time.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluiceway.operators.joins import field_aggregates, joined_text
 from sluiceway.schemas import TRIP_FIELDS
+from sluiceway.streaming.timers import Imputation
+
+
+def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """Watermarked rows with their event time in milliseconds; rows without a time count as the oldest."""
+    ms = F.coalesce(F.unix_millis(F.col(event_time).cast("timestamp")), F.lit(0))
+    return rows.withColumn("_ms", ms).withWatermark(event_time, delay)
+
+
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the key as text in ``_key``: a null among whole numbers would turn all of a frame to floats."""
+    return rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+
+
+def _reduced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str) -> DataFrame:
+    """One row for each key and Arrow batch, before the shuffle: a hot key ships a few rows per task."""
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.sort_values(list(order), kind="stable").drop_duplicates(list(keys), keep=keep)
+
+    return rows.mapInPandas(reduce, rows.schema)
 
 
 def message_join(
@@ -22,40 +46,107 @@ def message_join(
     expected: int | None = None,
     event_time: str = "event_time",
     delay: str = "10 minutes",
+    within: str = "1 hour",
     msg_id: str = "msg_id",
     name: str = "obs_type",
     value: str = "obs_val",
     seq: str = "seq",
-    late: bool = False,
     meta: Sequence[str] = (),
 ) -> DataFrame:
-    """Assemble messages from a stream of pieces that share an event time.
+    """Assemble messages from a stream of pieces, each with a time of its own.
 
-    Run it in update mode to get a message as soon as it is complete. With
-    ``late``, in append mode, it gives what is still incomplete when the
-    watermark passes. State is one fixed-size row per open message.
+    Pieces of a message meet while each follows another of them ``within`` that time. The message leaves once,
+    when the watermark has passed that long without a piece: with ``complete`` if ``expected`` fields came,
+    else without. Of a field the piece with the largest ``seq`` counts. State is one fixed-size row per open
+    message, folded in the tasks that read the pieces.
     """
     expected = len(fields) if expected is None else expected
     gathered = (
         pieces.withWatermark(event_time, delay)
-        .groupBy(msg_id, event_time)
+        .groupBy(msg_id, F.session_window(event_time, within).alias("_open"))
         .agg(*field_aggregates(fields, name, value, seq, meta))
     )
-    test = F.col("_seen") < expected if late else F.col("_seen") >= expected
-    return gathered.where(test).drop("_seen").withColumn("joined_value", joined_text(fields))
+    return gathered.select(
+        msg_id, *fields, (F.col("_seen") >= expected).alias("complete"), joined_text(fields).alias("joined_value")
+    )
 
 
-def _expiring(
-    rows: DataFrame, event_time: str | None, delay: str
-) -> tuple[DataFrame, str]:
-    """Watermarked rows and the timeout that goes with them; none without event time."""
-    if event_time is None:
-        return rows, GroupStateTimeout.NoTimeout
-    return rows.withWatermark(event_time, delay), GroupStateTimeout.EventTimeTimeout
+def early_messages(
+    pieces: DataFrame,
+    fields: Sequence[str] = TRIP_FIELDS,
+    expected: int | None = None,
+    event_time: str = "event_time",
+    delay: str = "10 minutes",
+    within_ms: int = 3_600_000,
+    msg_id: str = "msg_id",
+    name: str = "obs_type",
+    value: str = "obs_val",
+    seq: str = "seq",
+    meta: Sequence[str] = (),
+) -> DataFrame:
+    """``message_join`` for those who cannot wait: a message leaves in the trigger that completes it.
+
+    It leaves with ``complete`` as soon as ``expected`` fields have come, or without it
+    ``within_ms`` after the time of the pieces that came first. Of a field the piece with the largest ``seq``
+    counts. What is sent again to a message that has left is swallowed until its timer has passed. Each
+    message is a call of Python in each trigger that touches it; ``message_join`` stays in the JVM.
+    """
+    expected = len(fields) if expected is None else expected
+    columns = [msg_id, event_time, name, value, seq, *meta]
+    parts = pieces.select(*columns).withColumn(value, F.col(value).cast("string")).withColumn(seq, F.col(seq).cast("bigint"))
+    parts = _reduced(_keyed(parts, msg_id).drop(msg_id), ["_key", name, *meta], [seq, value], "last")
+    parts = _timed(parts, event_time, delay)
+    out = T.StructType([T.StructField("_key", T.StringType())] + [T.StructField(f, T.StringType()) for f in fields])
+    out = out.add("complete", "boolean").add("joined_value", "string")
+
+    def row(key: str, pieces: dict, complete: bool) -> pd.DataFrame:
+        values = {f: pieces[f][1] if f in pieces else None for f in fields}
+        text = "@".join("null" if v is None else v for v in values.values())
+        return pd.DataFrame({"_key": [key], **{f: [v] for f, v in values.items()}, "complete": [complete], "joined_value": [text]})
+
+    def gather(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, values, seqs, until, left = state.get if state.exists else ((), (), (), None, False)
+        found = {n: (s, v) for n, v, s in zip(names, values, seqs)}
+        if state.hasTimedOut:
+            state.remove()
+            if not left:
+                yield row(key[0], found, False)
+            return
+        was_left, earliest = left, None
+        for frame in frames:
+            if was_left:
+                continue
+            for column in meta:
+                for own in frame[column].dropna().astype(str):
+                    if column not in found or own > found[column][1]:
+                        found[column] = (0, own)
+            for field, own, n, ms in zip(*(frame[c].tolist() for c in (name, value, seq, "_ms"))):
+                earliest = ms if earliest is None else min(earliest, ms)
+                if field in wanted:
+                    piece = (-1 if pd.isna(n) else int(n), None if pd.isna(own) else own)
+                    if field not in found or (piece[0], piece[1] or "") > (found[field][0], found[field][1] or ""):
+                        found[field] = piece
+        watermark = state.getCurrentWatermarkMs()
+        if until is None:
+            until = max(int(earliest), watermark) + within_ms
+        left = was_left or len(found) >= expected
+        kept = [] if left else list(found)
+        state.update((kept, [found[n][1] for n in kept], [found[n][0] for n in kept], until, left))
+        state.setTimeoutTimestamp(max(until, watermark + 1))
+        if left and not was_left:
+            yield row(key[0], found, True)
+
+    wanted = frozenset(fields) - frozenset(meta)
+    found = parts.groupBy("_key").applyInPandasWithState(
+        gather, out, "names array<string>, vals array<string>, seqs array<bigint>, until bigint, left boolean",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    ids = F.when(F.col("_key") != "", F.expr("substr(_key, 2)")).cast(pieces.schema[msg_id].dataType)
+    return found.select(ids.alias(msg_id), *found.columns[1:])
 
 
 def _keep_until(state: GroupState, newest: pd.Timestamp | None, idle_ms: int) -> None:
-    if newest is not None:
+    if newest is not None and not pd.isna(newest):
         since = max(state.getCurrentWatermarkMs(), int(newest.timestamp() * 1000))
         state.setTimeoutTimestamp(since + idle_ms)
 
@@ -65,18 +156,18 @@ def batch_gate(
     size: int = 10,
     batch: str = "batch_id",
     order: str = "arrival",
-    event_time: str | None = None,
+    event_time: str = "event_time",
     delay: str = "10 minutes",
     idle_ms: int = 86_400_000,
 ) -> DataFrame:
     """The item that brings its batch to ``size``; later items are swallowed.
 
-    State is a count per batch. With ``event_time`` it is dropped once the
-    watermark is ``idle_ms`` past the batch's last item.
+    State is a count per batch; it is dropped once the watermark is ``idle_ms`` past the batch's
+    last item.
     """
     schema = items.schema
     names = schema.names
-    items, timeout = _expiring(items, event_time, delay)
+    items = items.withWatermark(event_time, delay)
 
     def gate(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,7 +180,7 @@ def batch_gate(
         arrived = 0
         for frame in frames:
             arrived += len(frame)
-            if event_time and len(frame):
+            if len(frame):
                 latest = frame[event_time].max()
                 newest = latest if newest is None else max(newest, latest)
             if need > 0 and len(frame):
@@ -100,7 +191,7 @@ def batch_gate(
         if need > 0 and seen + arrived >= size:
             yield first.iloc[[-1]][names]
 
-    return items.groupBy(batch).applyInPandasWithState(gate, schema, "seen bigint", "append", timeout)
+    return items.groupBy(batch).applyInPandasWithState(gate, schema, "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def impute_mean(
@@ -108,41 +199,25 @@ def impute_mean(
     field: str,
     window: int,
     sensor: str = "taxi_identifier",
-    order: str = "msg_id",
+    order: Sequence[str] = ("msg_id",),
     output: str = "imputed",
-    event_time: str | None = None,
+    event_time: str = "event_time",
     delay: str = "10 minutes",
+    slot_ms: int = 60_000,
     idle_ms: int = 86_400_000,
 ) -> DataFrame:
-    """Fill missing readings from the sensor's last ``window`` readings.
+    """Fill missing readings from the sensor's last ``window`` readings in event time.
 
-    Rows are put in order within a trigger and follow the triggers before it.
-    State is at most ``window`` readings per sensor; with ``event_time`` it is
-    dropped once the watermark is ``idle_ms`` past the sensor's last reading.
+    Rows wait until the watermark has passed their time slot and are then taken in the order of
+    (event time, ``order``), whatever trigger they came in. Slots of ``slot_ms`` bound what is sorted at once.
+    A sensor's history is forgotten ``idle_ms`` after its last slot.
     """
     if window < 1:
         return readings.withColumn(output, F.col(field).cast("double"))
     schema = T.StructType([*readings.schema.fields, T.StructField(output, T.DoubleType())])
-    names = schema.names
-    readings, timeout = _expiring(readings, event_time, delay)
-
-    def fill(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        history = list(state.get[0]) if state.exists else []
-        # one sensor's share of one trigger, which the source's rate limit bounds
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(order, kind="stable")
-        values = pd.Series([*history, *rows[field].astype("float64")], dtype="float64")
-        known = values.dropna()
-        means = known.rolling(window, min_periods=1).mean().reindex(values.index).ffill()
-        filled = values.fillna(means).iloc[len(history):]
-        state.update(([float(v) for v in known.tail(window)],))
-        _keep_until(state, rows[event_time].max() if event_time else None, idle_ms)
-        yield rows.assign(**{output: filled.to_numpy()})[names]
-
-    return readings.groupBy(sensor).applyInPandasWithState(
-        fill, schema, "history array<double>", "append", timeout
+    timed = _timed(_keyed(readings, sensor), event_time, delay)
+    return timed.groupBy("_key").transformWithStateInPandas(
+        Imputation(field, window, order, output, timed.columns, slot_ms, idle_ms), schema, "Append", "eventTime"
     )
 
 
@@ -164,10 +239,21 @@ def semi_join(
 
 
 def dedup_batch(
-    items: DataFrame, batch: str = "batch_id", event_time: str = "event_time", delay: str = "1 hour"
+    items: DataFrame,
+    batch: str = "batch_id",
+    event_time: str = "event_time",
+    delay: str = "1 hour",
+    order: Sequence[str] = (),
+    within: str = "1 day",
 ) -> DataFrame:
-    """One item per batch among those within the watermark."""
-    return items.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([batch])
+    """The first item of each batch by (event time, ``order``), whole; it leaves when the watermark has passed
+    ``within`` without an item of the batch, and the batch is forgotten."""
+    first = F.min_by(F.struct(*items.columns), F.struct(event_time, *order))
+    return (
+        items.withWatermark(event_time, delay)
+        .groupBy(F.col(batch).alias("_batch"), F.session_window(event_time, within).alias("_open"))
+        .agg(first.alias("_first")).select("_first.*")
+    )
 
 
 def windowed(

@@ -1,5 +1,7 @@
 """Streams over several runs of one checkpoint, late data and expiry."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,59 +30,117 @@ def feed(spark, tmp_path):
     return Feed()
 
 
-def test_message_join_over_restarts(feed, rows):
-    schema = "msg_id int, event_time timestamp, obs_type string, obs_val string, seq int"
-    t = "2024-01-01 00:00:00"
-    import datetime as dt
+PIECE = "msg_id int, event_time timestamp, obs_type string, obs_val string, seq int"
+
+
+def clock(hour, minute=0, day=1):
+    return dt.datetime(2024, 1, day, hour, minute)
+
+
+def test_early_messages_over_restarts(feed, rows):
+    join = lambda: stateful.early_messages(feed.stream(), ["a", "b"], within_ms=86_400_000)
+    feed.add([(1, clock(0), "a", "x", 1), (2, clock(0, 9), "b", "y", 2)], PIECE)
+    assert feed.run(join()).count() == 0
+    feed.add([(1, clock(3), "b", "z", 2)], PIECE)  # a piece with a time of its own, in a later run
+    assert rows(feed.run(join()), "msg_id", "joined_value", "complete") == [(1, "x@z", True)]
+    # what is sent again to a message that has left is swallowed; an older piece does not replace a newer one
+    feed.add([(1, clock(3), "b", "again", 9), (2, clock(3), "b", "stale", 1), (2, clock(3), "a", "w", 1)], PIECE)
+    assert rows(feed.run(join()), "msg_id", "joined_value") == [(1, "x@z"), (2, "w@y")]
 
-    t = dt.datetime(2024, 1, 1)
-    join = lambda: stateful.message_join(feed.stream(), ["a", "b"])
-    feed.add([(1, t, "a", "x", 1), (2, t, "b", "y", 2)], schema)
-    assert feed.run(join(), update=True).count() == 0
-    feed.add([(1, t, "b", "z", 2)], schema)
-    got = feed.run(join(), update=True)
-    assert rows(got, "msg_id", "joined_value") == [(1, "x@z")]
-    feed.add([(2, t, "a", "w", 1)], schema)
-    assert rows(feed.run(join(), update=True), "msg_id", "joined_value") == [(1, "x@z"), (2, "w@y")]
 
+def test_incomplete_messages_leave_by_their_timer(feed, rows):
+    join = lambda: stateful.early_messages(feed.stream(), ["a", "b"], within_ms=3_600_000)
+    feed.add([(1, clock(0), "a", "x", 1), (2, clock(0), "a", "x", 1), (2, clock(0), "b", "y", 2)], PIECE)
+    feed.run(join())
+    feed.add([(3, clock(0, day=2), "a", "q", 1), (None, clock(0, day=2), "a", "q", 1)], PIECE)
+    got = rows(feed.run(join()), "msg_id", "joined_value", "complete")
+    assert got == [(1, "x@null", False), (2, "x@y", True)]
+    # both messages were forgotten with their timers, so the id can be used again
+    feed.add([(2, clock(1, day=2), "a", "new", 1), (2, clock(1, day=2), "b", "new", 1)], PIECE)
+    assert (2, "new@new", True) in rows(feed.run(join()), "msg_id", "joined_value", "complete")
 
-def test_incomplete_messages_come_out_late(feed, rows):
-    import datetime as dt
 
-    schema = "msg_id int, event_time timestamp, obs_type string, obs_val string, seq int"
-    early, later = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
-    late = lambda: stateful.message_join(feed.stream(), ["a", "b"], late=True)
-    feed.add([(1, early, "a", "x", 1), (2, early, "a", "x", 1), (2, early, "b", "y", 2)], schema)
-    feed.run(late())
-    feed.add([(3, later, "a", "q", 1)], schema)
-    assert rows(feed.run(late()), "msg_id", "joined_value") == [(1, "x@null")]
+def test_message_join_over_restarts(feed, rows):
+    join = lambda: stateful.message_join(feed.stream(), ["a", "b"], within="1 day")
+    got = lambda: rows(feed.run(join()), "msg_id", "joined_value", "complete")
+    feed.add([(1, clock(0), "a", "x", 1), (2, clock(0, 9), "b", "y", 2), (3, clock(1), "a", "q", 1)], PIECE)
+    assert got() == []
+    # pieces with times of their own, in a later run, some sent again
+    feed.add([(1, clock(3), "b", "z", 2), (1, clock(3), "b", "stale", 1), (2, clock(3), "a", "w", 1), (2, clock(9), "a", "v", 2)], PIECE)
+    assert got() == []
+    feed.add([(9, clock(0, day=5), "a", "q", 1), (None, clock(0, day=5), "a", "q", 1)], PIECE)
+    assert got() == [(1, "x@z", True), (2, "v@y", True), (3, "q@null", False)]
+    # the messages were forgotten, so an id can be used again
+    feed.add([(2, clock(1, day=5), "a", "new", 1), (2, clock(1, day=5), "b", "new", 1), (8, clock(0, day=9), "a", "q", 1)], PIECE)
+    assert (2, "new@new", True) in got()
+
+
+def test_meta_fields_and_repeated_pieces(feed, rows):
+    schema = PIECE + ", kind string"
+    feed.add([(1, clock(0), "a", "old", 1, None), (1, clock(0), "a", None, 2, "k"), (1, clock(0), "z", "unknown", 1, "j")], schema)
+    got = feed.run(stateful.early_messages(feed.stream(), ["kind", "a"], meta=["kind"]))
+    assert rows(got, "kind", "a", "joined_value") == [("k", None, "k@null")]
 
 
 def test_gate_over_restarts(feed, rows):
-    schema = "batch_id int, arrival int"
+    schema = "batch_id int, arrival int, event_time timestamp"
+    at = lambda b, n: (b, n, clock(0, n))
     gate = lambda: stateful.batch_gate(feed.stream(), 4)
-    feed.add([(1, 0), (1, 1), (1, 2), (2, 3)], schema)
+    feed.add([at(1, 0), at(1, 1), at(1, 2), at(2, 3)], schema)
     assert feed.run(gate()).count() == 0
-    feed.add([(1, 9), (1, 8), (2, 7)], schema)
-    assert rows(feed.run(gate())) == [(1, 8)]
-    feed.add([(1, 10), (2, 11), (2, 12), (2, 13)], schema)
-    assert rows(feed.run(gate())) == [(1, 8), (2, 12)] or rows(feed.run(gate())) == [(1, 8), (2, 12)]
-
-
-def test_impute_equals_batch(spark, feed, rows):
-    schema = "msg_id int, taxi_identifier string, v double"
-    data = [(i, f"t{i % 3}", None if i % 4 == 0 else float(i * i % 17)) for i in range(60)]
-    for part in (data[:7], data[7:31], data[31:]):
+    feed.add([at(1, 9), at(1, 8), at(2, 7)], schema)
+    assert rows(feed.run(gate()), "batch_id", "arrival") == [(1, 8)]
+    feed.add([at(1, 10), at(2, 11), at(2, 12), at(2, 13)], schema)
+    for _ in range(2):
+        assert rows(feed.run(gate()), "batch_id", "arrival") == [(1, 8), (2, 12)]
+
+
+def test_impute_in_event_order_equals_batch(spark, feed, rows):
+    schema = "msg_id int, taxi_identifier string, v double, event_time timestamp"
+    data = [(i, f"t{i % 3}", None if i % 4 == 0 else float(i * i % 17), clock(0, i)) for i in range(60)]
+    shuffled = [data[i * 37 % 60] for i in range(60)]
+    fill = lambda: stateful.impute_mean(feed.stream(), "v", 3, output="o", delay="2 hours", slot_ms=600_000)
+    for part in (shuffled[:7], shuffled[7:31], shuffled[31:]):
         feed.add(part, schema)
-        got = feed.run(stateful.impute_mean(feed.stream(), "v", 3, output="o"))
+        assert feed.run(fill()).count() == 0
+    feed.add([(99, "heartbeat", None, clock(4))], schema)
+    got = feed.run(fill())
     batch = impute_mean(spark.createDataFrame(data, schema), "v", 3, output="o")
     rounded = lambda df: rows(df.select("msg_id", F.round("o", 9).alias("o")))
     assert rounded(got) == rounded(batch)
+    # later readings go on from the history kept
+    more = [(60 + i, f"t{i % 3}", None, clock(4, i)) for i in range(6)]
+    feed.add(more, schema)
+    feed.run(fill())
+    feed.add([(999, "heartbeat", None, clock(12))], schema)
+    batch = impute_mean(spark.createDataFrame(data + more, schema), "v", 3, output="o")
+    assert rounded(feed.run(fill()).where("taxi_identifier <> 'heartbeat'")) == rounded(batch)
+
+
+def test_imputation_forgets_idle_sensors(feed, rows):
+    schema = "msg_id int, taxi_identifier string, v double, event_time timestamp"
+    fill = lambda: stateful.impute_mean(feed.stream(), "v", 3, delay="1 minute", idle_ms=3_600_000)
+    feed.add([(1, "t", 4.0, clock(0)), (2, "h", None, clock(0, 30))], schema)
+    feed.run(fill())
+    feed.add([(3, "t", None, clock(0, 40)), (4, "h", None, clock(5))], schema)
+    feed.run(fill())
+    feed.add([(5, "t", None, clock(6)), (6, "h", None, clock(9))], schema)
+    got = {r.msg_id: r.imputed for r in feed.run(fill()).collect()}
+    assert got[3] == 4.0 and got[5] is None
+
+
+def test_first_arrival_whatever_the_trigger(feed, rows):
+    schema = "batch_id int, item_id int, event_time timestamp, note string"
+    first = lambda: stateful.dedup_batch(feed.stream(), delay="1 hour", order=["item_id"], within="6 hours")
+    feed.add([(1, 5, clock(1), "later"), (2, 3, clock(1), "x"), (2, 2, clock(1), "tie")], schema)
+    feed.run(first())
+    feed.add([(1, 9, clock(0, 30), "first"), (1, 10, clock(0, 45), "y")], schema)
+    assert feed.run(first()).count() == 0
+    feed.add([(1, 11, clock(4), "swallowed"), (3, 1, clock(18), "heartbeat")], schema)
+    assert rows(feed.run(first()), "batch_id", "item_id", "note") == [(1, 9, "first"), (2, 2, "tie")]
 
 
 def test_idle_state_expires(feed, rows):
-    import datetime as dt
-
     schema = "batch_id int, arrival int, event_time timestamp"
     day = lambda n: dt.datetime(2024, 1, n)
     gate = lambda: stateful.batch_gate(feed.stream(), 2, event_time="event_time", delay="1 minute", idle_ms=3_600_000)
@@ -96,8 +156,6 @@ def test_idle_state_expires(feed, rows):
 
 
 def test_window_drops_late_rows(feed, rows):
-    import datetime as dt
-
     schema = "event_time timestamp, v double"
     at = lambda h: dt.datetime(2024, 1, 1, h)
     win = lambda: stateful.windowed(feed.stream(), "v", "1 hour", delay="30 minutes")
