@@ -12,7 +12,7 @@ from sluiceway.session import scratch
 from sluiceway.sinks import files as file_sinks
 from sluiceway.sinks import topics as topic_sinks
 from sluiceway.sinks import upsert
-from sluiceway.sources import dataflow, files, sidecar, topics
+from sluiceway.sources import dataflow, files, sidecar
 
 def documents_by_lang(spark: SparkSession, sf: str) -> str:
     """Text files ``lang=…/part-*.txt``."""
@@ -132,37 +132,37 @@ def q_read_dag(spark, sf):
     return nodes.union(edges).union(rels).union(props).union(bad)
 
 
-def _half(spark, sf, remainder, version):
-    return trips(spark, sf).where(f"msg_id % {remainder} = 0").select(
+def _files(spark, sf, condition, version):
+    return trips(spark, sf).where(condition).select(
         F.floor(F.col("msg_id") / 500).alias("batch_id"),
         F.concat(F.lit("f"), F.col("msg_id").cast("string")).alias("filename"),
         F.lit(version).alias("content"),
     )
 
 
-def _stored(spark, path):
-    return spark.read.parquet(path).select(F.col("batch_id").cast("bigint").alias("batch_id"), "filename", "content")
+# two sides that hold every trip between them and a third of the even ones twice
+FIRST, SECOND = "msg_id % 2 = 0", "msg_id % 2 = 1 OR msg_id % 3 = 0"
 
 
 def q_write_batches(spark, sf):
     path = scratch(spark, "write-batches")
-    file_sinks.write_batches(_half(spark, sf, 2, "v1"), path)
-    file_sinks.write_batches(_half(spark, sf, 3, "v2"), path, conflict="ignore")
-    return _stored(spark, path)
+    file_sinks.write_batches(_files(spark, sf, FIRST, "v1"), path)
+    file_sinks.write_batches(_files(spark, sf, SECOND, "v2"), path, conflict="ignore")
+    return file_sinks.read_batches(spark, path)
 
 
 def q_write_batches_fail(spark, sf):
     path = scratch(spark, "write-batches")
-    file_sinks.write_batches(_half(spark, sf, 2, "v1"), path)
-    return file_sinks.write_batches(_half(spark, sf, 3, "v2"), path, conflict="fail").failure.select("batch_id", "filename")
+    file_sinks.write_batches(_files(spark, sf, FIRST, "v1"), path)
+    return file_sinks.write_batches(_files(spark, sf, SECOND, "v2"), path, conflict="fail").failure.select("batch_id", "filename")
 
 
 def q_write_batches_url(spark, sf):
     path = scratch(spark, "write-url")
-    file_sinks.write_batches(_half(spark, sf, 2, "v1"), path)
-    done = file_sinks.write_batches_url(_half(spark, sf, 3, "v2"), path)
+    file_sinks.write_batches(_files(spark, sf, FIRST, "v1"), path)
+    done = file_sinks.write_batches_url(_files(spark, sf, SECOND, "v2"), path)
     last = done.select("batch_id", "filename", F.regexp_extract("url", r"/(\d+)$", 1).alias("url_end"))
-    return _stored(spark, path).join(last, ["batch_id", "filename"], "left")
+    return file_sinks.read_batches(spark, path).join(last, ["batch_id", "filename"], "left")
 
 
 UPSERT_KEYS, UPSERT_ORDER = ("hack_license", "taxi_identifier"), ("bt", "msg_id")
@@ -187,21 +187,13 @@ def q_append_batch_table(spark, sf):
     return stored.join(batch_gate(items, 10).select("batch_id", "arrival"), "batch_id")
 
 
-def q_publish(spark, sf):
-    rows = trips(spark, sf).select("msg_id", "payment_type", "taxi_identifier")
-    sent = topic_sinks.messages(rows, "trips/{payment_type}/{taxi_identifier}", "taxi_identifier")
-    return topic_sinks.retained(sent.withColumn("payload", F.col("msg_id").cast("string")), "msg_id")
-
-
-def q_mqtt_subscribe(spark, sf):
-    rows = trips(spark, sf).select("msg_id", "payment_type", "taxi_identifier")
-    sent = topic_sinks.messages(rows, "trips/{payment_type}/{taxi_identifier}", "taxi_identifier")
-    return topics.subscribe(sent, "trips/+/T1").unionByName(topics.subscribe(sent, "trips/CSH/#")).select("msg_id", "topic")
-
-
 def q_log_rows(spark, sf):
-    logged, _ = topic_sinks.log_rows(trips(spark, sf), "trips", F.max("fare_amount").alias("top"))
-    return logged.groupBy("payment_type").agg(F.count("*").alias("n"))
+    """What was counted on the way, beside the rows."""
+    logged, seen = topic_sinks.log_rows(trips(spark, sf), "trips", F.max("fare_amount").alias("top"))
+    counts = logged.groupBy("payment_type").agg(F.count("*").alias("n")).cache()
+    counts.count()
+    found = seen.get
+    return counts.withColumn("rows", F.lit(found["rows"])).withColumn("top", F.lit(found["top"]))
 
 
 def q_coerced_csv_files(spark, sf):
@@ -241,17 +233,15 @@ ORACLES = {
         UNION ALL SELECT dataflow, 'property', 'Batch Size', '10' FROM good
         UNION ALL SELECT dataflow, 'property', 'Input Directory', '/in/' || dataflow FROM good
         UNION ALL SELECT c_custkey, 'rejected', NULL, NULL FROM customer WHERE c_custkey % 50 = 4""",
-    "q_write_batches": _T + f"SELECT {_STORED}, CASE WHEN msg_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS content FROM trips WHERE msg_id % 2 = 0 OR msg_id % 3 = 0",
+    "q_write_batches": _T + f"SELECT {_STORED}, CASE WHEN msg_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS content FROM trips",
     "q_write_batches_fail": _T + f"SELECT {_STORED} FROM trips WHERE msg_id % 6 = 0",
-    "q_write_batches_url": _T + f"""SELECT {_STORED}, CASE WHEN msg_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS content,
-        CASE WHEN msg_id % 3 = 0 THEN CAST(msg_id // 500 AS VARCHAR) END AS url_end FROM trips WHERE msg_id % 2 = 0 OR msg_id % 3 = 0""",
+    "q_write_batches_url": _T + f"""SELECT {_STORED}, CASE WHEN {SECOND} THEN 'v2' ELSE 'v1' END AS content,
+        CASE WHEN {SECOND} THEN CAST(msg_id // 500 AS VARCHAR) END AS url_end FROM trips""",
     "q_upsert_trips": _T + """SELECT max(msg_id) AS msg_id, max(bt) AS bt, hack_license, taxi_identifier, arg_max(fare_amount, msg_id) AS fare_amount
         FROM trips GROUP BY hack_license, taxi_identifier""",
     "q_append_batch_table": _B + """SELECT batch_id, count(*) AS images, max(arrival) AS arrival FROM batch_items GROUP BY batch_id HAVING count(*) >= 10""",
-    "q_publish": _T + "SELECT 'trips/' || payment_type || '/' || taxi_identifier AS topic, CAST(max(msg_id) AS VARCHAR) AS payload FROM trips GROUP BY ALL",
-    "q_mqtt_subscribe": _T + """, m AS (SELECT msg_id, payment_type, taxi_identifier, 'trips/' || payment_type || '/' || taxi_identifier AS topic FROM trips)
-        SELECT msg_id, topic FROM m WHERE taxi_identifier = 'T1' UNION ALL SELECT msg_id, topic FROM m WHERE payment_type = 'CSH'""",
-    "q_log_rows": _T + "SELECT payment_type, count(*) AS n FROM trips GROUP BY ALL",
+    "q_log_rows": _T + """SELECT payment_type, count(*) AS n, (SELECT count(*) FROM trips) AS rows,
+        (SELECT max(fare_amount) FROM trips) AS top FROM trips GROUP BY payment_type""",
     "q_coerced_csv_files": _T + """SELECT payment_type, CASE WHEN msg_id % 2 = 0 THEN 'acme' END AS taxi_company, count(*) AS n,
         CAST(sum(trip_time_in_secs) AS BIGINT) AS seconds FROM trips GROUP BY ALL""",
 }

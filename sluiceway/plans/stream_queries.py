@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from sluiceway.plans.file_queries import UPSERT_KEYS, UPSERT_ORDER, documents_by
 from sluiceway.plans.flows import clean_trips
 from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.session import scratch
+from sluiceway.sinks import files as file_sinks
+from sluiceway.sinks import topics as topic_sinks
 from sluiceway.sinks import upsert
+from sluiceway.sources import topics
 from sluiceway.streaming import runs, stateful
 from sluiceway.streaming.files import stream_files
 
@@ -173,6 +178,49 @@ def q_stream_upsert(spark, sf):
     return upsert.read_current(spark, root, UPSERT_KEYS, UPSERT_ORDER)
 
 
+def _published(spark, sf):
+    """The outbox that a stream of trips was published to."""
+    def write(root):
+        rows = stream_of(spark, _trip_slots(spark, sf), 8).select("msg_id", "payment_type", "taxi_identifier")
+        sent = topic_sinks.messages(
+            rows.withColumn("id", F.col("msg_id").cast("string")), "trips/{payment_type}/{taxi_identifier}", "id"
+        )
+        sink = topic_sinks.topic_sink(spark, partial(topic_sinks.FileOutbox, root), "trips-out")
+        runs.drain(
+            sent.select("topic", "payload", "qos", "retain").writeStream.format(sink)
+            .option("checkpointLocation", scratch(spark, "publish-log")).trigger(availableNow=True).start()
+        )
+
+    return landed(spark, sf, "published", write)
+
+
+def q_publish(spark, sf):
+    """The retained message of each topic, from what was published."""
+    sent = spark.read.schema("topic string, payload string, retain boolean").json(_published(spark, sf))
+    return topic_sinks.retained(sent.withColumn("n", F.col("payload").cast("bigint")), "n")
+
+
+def q_mqtt_subscribe(spark, sf):
+    """Two subscriptions to what was published, as streams."""
+    source = topics.topic_source(spark, partial(topics.FileLog, _published(spark, sf)), "trips-in")
+    heard = [
+        _appended(spark, spark.readStream.format(source).option("topicFilter", f).option("sliceSize", 1 << 20).load(), "subscribed")
+        for f in ("trips/+/T1", "trips/CSH/#")
+    ]
+    return heard[0].unionByName(heard[1]).select(F.col("payload").cast("bigint").alias("msg_id"), "topic")
+
+
+def q_stream_write_batches(spark, sf):
+    """Trips as files of batches; each trigger's share is one commit."""
+    root, log = scratch(spark, "stream-batches"), scratch(spark, "stream-batches-log")
+    rows = stream_of(spark, _trip_slots(spark, sf), 8).select(
+        F.floor(F.col("msg_id") / 500).alias("batch_id"),
+        F.concat(F.lit("f"), F.col("msg_id").cast("string")).alias("filename"), "fare_amount",
+    )
+    runs.drain(runs.to_sinks(rows, [file_sinks.batch_sink(root, conflict="replace", unique=True)], log))
+    return file_sinks.read_batches(spark, root)
+
+
 _RANGES = record_queries._RANGES
 _PARTIAL = " || '@' || ".join(f"coalesce(CAST({f} AS VARCHAR), 'null')" for f in stage_queries.PIECE_FIELDS)
 ORACLES = {
@@ -192,6 +240,11 @@ ORACLES = {
         FROM batch_items GROUP BY batch_id""",
     "q_stream_window": with_views("trips") + """SELECT CAST(bt // 3600000 * 3600 AS BIGINT) AS window_start, payment_type,
         count(*) AS readings, round(avg(fare_amount), 6) AS mean FROM trips GROUP BY ALL""",
+    "q_publish": with_views("trips") + "SELECT 'trips/' || payment_type || '/' || taxi_identifier AS topic, CAST(max(msg_id) AS VARCHAR) AS payload FROM trips GROUP BY ALL",
+    "q_mqtt_subscribe": with_views("trips") + """, m AS (SELECT msg_id, payment_type, taxi_identifier, 'trips/' || payment_type || '/' || taxi_identifier AS topic FROM trips)
+        SELECT msg_id, topic FROM m WHERE taxi_identifier = 'T1' UNION ALL SELECT msg_id, topic FROM m WHERE payment_type = 'CSH'""",
+    "q_stream_write_batches": with_views("trips") + """SELECT CAST(msg_id // 500 AS BIGINT) AS batch_id, 'f' || msg_id AS filename,
+        fare_amount FROM trips""",
     "q_stream_upsert": with_views("trips") + """SELECT max(msg_id) AS msg_id, max(bt) AS bt, hack_license, taxi_identifier,
         arg_max(fare_amount, msg_id) AS fare_amount FROM trips GROUP BY hack_license, taxi_identifier""",
 }

@@ -1,12 +1,21 @@
-"""Publish rows to a broker, or log them."""
+"""Publish rows to a broker, or log them.
+
+``topic_sink`` makes a streaming sink of an outbox: tasks put messages into it, and an epoch's messages are
+released together when all its tasks are done. ``FileOutbox`` releases files that ``sources.topics.FileLog`` reads.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Observation
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
 
 
 class Client(Protocol):
@@ -15,6 +24,111 @@ class Client(Protocol):
     def close(self) -> object: ...
 
 
+class Outbox(Protocol):
+    def put(self, messages: Iterator[tuple[str, str, int, bool]]) -> str:
+        """Take a task's messages (topic, payload, qos, retain); a token for them."""
+
+    def release(self, epoch: int, tokens: list[str]) -> None: ...
+
+    def discard(self, tokens: list[str]) -> None: ...
+
+
+class Direct:
+    """An outbox before a broker without transactions: messages leave at once, so a repeated task sends them again."""
+
+    def __init__(self, connect: Callable[[], Client]):
+        self.connect = connect
+
+    def put(self, messages: Iterator[tuple[str, str, int, bool]]) -> str:
+        client = self.connect()
+        try:
+            for message in messages:
+                client.publish(*message)
+        finally:
+            client.close()
+        return ""
+
+    def release(self, epoch: int, tokens: list[str]) -> None:
+        pass
+
+    def discard(self, tokens: list[str]) -> None:
+        pass
+
+
+class FileOutbox:
+    """Messages as files of JSON lines. A task writes a hidden file; the release moves an epoch's files to names
+    made of the epoch and their number, and does nothing for an epoch that is out already."""
+
+    def __init__(self, root: str):
+        self.fs, self.root = pafs.FileSystem.from_uri(root)
+        self.fs.create_dir(f"{self.root}/_open", recursive=True)
+
+    def put(self, messages: Iterator[tuple[str, str, int, bool]]) -> str:
+        name = f"_open/{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(f"{self.root}/{name}") as out:
+            for topic, payload, qos, retain in messages:
+                line = {"topic": topic, "payload": payload, "qos": qos, "retain": retain}
+                out.write(json.dumps(line).encode() + b"\n")
+        return name
+
+    def _there(self, name: str) -> bool:
+        return self.fs.get_file_info(f"{self.root}/{name}").type != pafs.FileType.NotFound
+
+    def release(self, epoch: int, tokens: list[str]) -> None:
+        # the list is written first, so that a release cut short goes on with the same files
+        plan = f"_open/epoch-{epoch}"
+        if self._there(plan):
+            with self.fs.open_input_stream(f"{self.root}/{plan}") as file:
+                first = json.loads(file.read())
+            self.discard([t for t in tokens if t not in first])
+            tokens = first
+        else:
+            with self.fs.open_output_stream(f"{self.root}/{plan}.draft") as out:
+                out.write(json.dumps(tokens).encode())
+            self.fs.move(f"{self.root}/{plan}.draft", f"{self.root}/{plan}")
+        for i, token in enumerate(tokens):
+            if self._there(token):
+                self.fs.move(f"{self.root}/{token}", f"{self.root}/{epoch:010d}-{i:06d}.json")
+
+    def discard(self, tokens: list[str]) -> None:
+        for token in tokens:
+            if self._there(token):
+                self.fs.delete_file(f"{self.root}/{token}")
+
+
+@dataclass
+class Sent(WriterCommitMessage):
+    token: str
+
+
+class _Publisher(DataSourceStreamWriter):
+    def __init__(self, outbox: Callable[[], Outbox]):
+        self.outbox = outbox
+
+    def write(self, iterator) -> Sent:
+        return Sent(self.outbox().put((r["topic"], r["payload"], r["qos"], r["retain"]) for r in iterator))
+
+    def commit(self, messages, batchId: int) -> None:
+        self.outbox().release(batchId, [m.token for m in messages if m is not None])
+
+    def abort(self, messages, batchId: int) -> None:
+        self.outbox().discard([m.token for m in messages if m is not None])
+
+
+def topic_sink(spark: SparkSession, outbox: Callable[[], Outbox], name: str = "publish") -> str:
+    """Register an outbox as a format for ``writeStream`` of message rows."""
+    class Publish(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+            return _Publisher(outbox)
+
+    spark.dataSource.register(Publish)
+    return name
+
+
 def messages(
     df: DataFrame, topic: str, payload: str, qos: int = 1, retain: bool = True
 ) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Insert-or-replace by key on plain parquet.
+"""Insert-or-replace by key on layers of parquet (``sinks.commits``).
 
-Every micro-batch appends one delta directory named after its run (the id kept in the query's
-checkpoint) and its epoch; a replayed epoch overwrites its own directory only, and a new checkpoint,
-which counts its epochs from zero again, never meets the old directories. Readers fold deltas over the
-last complete base, and compaction writes a new base beside the old one. A base's commit lists the
-last epoch of each run that it holds.
+Every micro-batch adds a layer to the buckets its keys fall into, under the id of its query and its epoch, so
+a replayed epoch changes nothing and a new checkpoint, which counts from zero again, does not meet the old.
+Readers fold by key only the buckets that have several layers; ``compact`` rewrites only those.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.session import query_id
-from sluiceway.sinks.files import existing
+from sluiceway.sinks.commits import BUCKETS, Change, CommitLog
 
 #: The run of updates that no streaming query hands over.
 BY_HAND = "by-hand"
@@ -33,50 +31,59 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def upsert(
-    updates: DataFrame, root: str, epoch: int, keys: Sequence[str], order: Sequence[str], run: str = BY_HAND
+    updates: DataFrame, root: str, epoch: int, keys: Sequence[str], order: Sequence[str], run: str = BY_HAND,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Record one batch of updates under its run and epoch; epochs of a run grow."""
-    latest_per_key(updates, keys, order).write.mode("overwrite").parquet(f"{root}/delta/run={run}/epoch={epoch}")
+    """Record one batch of updates under its run and epoch; epochs of a run grow. ``buckets`` is fixed by the
+    first batch."""
+    log = CommitLog(updates.sparkSession, root, buckets)
 
+    def build(seen) -> Change | None:
+        if seen.runs.get(run, -1) >= epoch:
+            return None
+        rows = log.bucketed(latest_per_key(updates, keys, order), keys, seen)
+        _, layers = log.stage(rows, seen, over=True)
+        return Change(tuple(layers.values()), touched=frozenset(), schema=updates.schema.json(), run=run, epoch=epoch)
 
-def upsert_sink(root: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``."""
-    return lambda rows, epoch: upsert(rows, root, epoch, keys, order, query_id(rows))
-
+    log.write(build)
 
-def _covered(spark: SparkSession, root: str) -> tuple[int, dict[str, int]]:
-    """The last complete base (-1: none) and the last epoch it holds of each run.
 
-    One entry for each checkpoint the table was ever fed from.
-    """
-    commits = existing(spark, f"{root}/commits")
-    if commits is None:
-        return -1, {}
-    last = commits.agg(F.max("base")).first()[0]
-    return last, {r["run"]: r["upto"] for r in commits.where(F.col("base") == last).collect()}
+def upsert_sink(
+    root: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``."""
+    return lambda rows, epoch: upsert(rows, root, epoch, keys, order, query_id(rows), buckets)
 
 
 def read_current(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The table as of the last recorded epoch."""
-    deltas = spark.read.parquet(f"{root}/delta")
-    last, covered = _covered(spark, root)
-    # conditions on partition columns: folded deltas are listed, not read
-    for run, upto in covered.items():
-        deltas = deltas.where((F.col("run") != run) | (F.col("epoch") > upto))
-    newer = deltas.drop("run", "epoch")
-    if last < 0:
-        return latest_per_key(newer, keys, order)
-    return latest_per_key(spark.read.parquet(f"{root}/base/id={last}").unionByName(newer), keys, order)
+    log = CommitLog(spark, root)
+    seen = log.latest()
+    if seen.schema is None:
+        raise ValueError(f"nothing was ever written to {root}")
+    return log.read(seen, seen.layers, keys, order)
 
 
 def compact(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> int:
-    """Fold all deltas into a new base; returns the last epoch it covers."""
-    # listed before the fold, so a delta that comes meanwhile is not taken for folded
-    ends = spark.read.parquet(f"{root}/delta").groupBy("run").agg(F.max("epoch").cast("long").alias("upto")).collect()
-    covered = {r["run"]: r["upto"] for r in ends}
-    last, before = _covered(spark, root)
-    read_current(spark, root, keys, order).write.mode("overwrite").parquet(f"{root}/base/id={last + 1}")
-    # the base counts only once these rows say it is complete
-    rows = [(last + 1, run, upto) for run, upto in {**before, **covered}.items()]
-    spark.createDataFrame(rows, "base long, run string, upto long").coalesce(1).write.mode("append").parquet(f"{root}/commits")
-    return max(covered.values())
+    """Fold the buckets that have several layers into one layer each; returns how many buckets were rewritten.
+
+    The layers it replaced stay for readers of older commits until ``CommitLog.vacuum``.
+    """
+    log = CommitLog(spark, root)
+    rewritten: set[int] = set()
+
+    def build(seen) -> Change | None:
+        counts: dict[int, int] = {}
+        for layer in seen.layers:
+            counts[layer.bucket] = counts.get(layer.bucket, 0) + 1
+        stacked = {b for b, n in counts.items() if n > 1}
+        rewritten.clear()
+        rewritten.update(stacked)
+        if not stacked:
+            return None
+        old = seen.of(stacked)
+        _, layers = log.stage(log.bucketed(log.read(seen, old, keys, order), keys, seen), seen)
+        return Change(tuple(layers.values()), tuple(old), frozenset(stacked))
+
+    log.write(build)
+    return len(rewritten)
