@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel, Pipeline
@@ -115,8 +116,24 @@ class _Gains:
         return self.settled is not None and step >= len(self.steps)
 
 
+def _averaged(values, step: int, x: float | None, gains: _Gains) -> list[float]:
+    """The same without process noise: with gains 1 / (k + 1 + r / p0), (k + 1 + r / p0) times the estimate is a
+    running sum of the readings."""
+    values = np.asarray(values, dtype="float64")
+    if not len(values):
+        return []
+    if not gains.p0:  # no doubt about the first reading
+        return [float(values[0]) if x is None else x] * len(values)
+    prior = gains.r / gains.p0
+    sums = values.copy()
+    sums[0] = (step + 1 + prior) * values[0] if x is None else (step + prior) * x + values[0]
+    return (np.cumsum(sums) / (np.arange(step, step + len(values)) + 1 + prior)).tolist()
+
+
 def _smooth(values, step: int, x: float | None, gains: _Gains) -> list[float]:
     """Estimates for consecutive readings, of which ``step`` came before."""
+    if gains.q == 0:
+        return _averaged(values, step, x, gains)
     out: list[float] = []
     n = len(values)
     i = 0
@@ -145,12 +162,12 @@ def kalman(
 ) -> DataFrame:
     """Scalar Kalman filter per sensor in time order, starting at its first reading.
 
-    Partitions are streamed in sorted order. A chunk of a hot sensor is an affine
+    A row without a reading has the estimate of the row before it, NULL before the first reading. Partitions are streamed in sorted order. A chunk of a hot sensor is an affine
     map of the estimate it starts from, so chunks run in parallel: their maps are
     found first, chained per sensor, and each chunk then starts from its own.
     """
     gains = _Gains(process_noise, sensor_noise, initial_error)
-    cut = chunked(df.where(F.col(field).isNotNull()), [sensor], order, hot_rows)
+    cut = chunked(df, [sensor], order, hot_rows)
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())])
     columns = df.columns
     rows = cut.rows.withColumn("_step", F.lit(0).cast("bigint")).withColumn(
@@ -172,9 +189,13 @@ def kalman(
                 if not same_key(key, open_key):
                     open_key, step = key, int(part["_step"].iloc[0])
                     x = None if pd.isna(part["_x"].iloc[0]) else float(part["_x"].iloc[0])
-                smooth = _smooth(part[field].to_numpy(), step, x, gains)
-                step, x = step + len(smooth), smooth[-1]
-                estimates.extend(smooth)
+                values = part[field].astype("float64")
+                there = values.notna().to_numpy()
+                smooth = _smooth(values.to_numpy()[there], step, x, gains)
+                carried = np.array([np.nan if x is None else x, *smooth])[np.cumsum(there)]
+                estimates.extend(None if np.isnan(c) else c for c in carried.tolist())
+                if smooth:
+                    step, x = step + len(smooth), smooth[-1]
             out = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(
                 [*out, pa.array(estimates, pa.float64())], names=[*columns, output]
@@ -189,7 +210,7 @@ def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
     sensor, order = cut.keys[0], list(cut.order)
     kind = cut.rows.schema[sensor].dataType.simpleString()
     earlier = Window.partitionBy(sensor).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    steps = cut.hot_rows.groupBy(sensor, "_chunk").agg(F.count("*").alias("_n")).select(
+    steps = cut.hot_rows.groupBy(sensor, "_chunk").agg(F.count(field).alias("_n")).select(
         sensor, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_step")
     )
 
@@ -204,12 +225,17 @@ def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
                         done.append((*open_key, keep, add))
                     open_key, step = key, int(part["_step"].iloc[0])
                     keep, add = (0.0, None) if step == 0 else (1.0, 0.0)
-                values = part[field].to_numpy()
-                for i in range(len(values)):
-                    if keep == 0.0:
-                        break
-                    keep *= 1 - gains.at(step + i)
-                add = _smooth(values, step, add, gains)[-1]
+                values = part[field].dropna().to_numpy("float64")
+                if gains.q == 0 and gains.p0:
+                    prior = gains.r / gains.p0
+                    keep *= (step + prior) / (step + len(values) + prior) if keep else 0.0
+                else:
+                    for i in range(len(values)):
+                        if keep == 0.0:
+                            break
+                        keep *= 1 - gains.at(step + i)
+                if len(values):
+                    add = _smooth(values, step, add, gains)[-1]
                 step += len(values)
             if done:
                 yield pd.DataFrame(done, columns=[sensor, "_chunk", "keep", "add"])
@@ -228,7 +254,8 @@ def _chunk_starts(cut, field: str, gains: _Gains) -> DataFrame:
         x, starts = None, []
         for keep, add in zip(frame["keep"], frame["add"]):
             starts.append(x)
-            x = add if x is None else keep * x + add
+            # a chunk before the first reading says nothing
+            x = x if pd.isna(add) else add if x is None else keep * x + add
         return frame[[sensor, "_chunk"]].assign(_x=pd.Series(starts, index=frame.index, dtype="float64"))
 
     starts = maps.groupBy(sensor).applyInPandas(chain, f"{sensor} {kind}, _chunk bigint, _x double")
@@ -246,8 +273,9 @@ def sliding_regression(
 ) -> DataFrame:
     """Line through a sensor's last ``train`` readings and its value ``ahead`` steps on.
 
-    NULL until a sensor has two readings.
+    NULL until a sensor has two readings, and in rows without one.
     """
+    blank = df.where(F.col(field).isNull()).withColumns({c: F.lit(None).cast("double") for c in ("slope", "forecast")})
     rows, by = with_lookback(
         df.where(F.col(field).isNotNull()), [sensor], order, train - 1, hot_rows=hot_rows
     )
@@ -263,6 +291,7 @@ def sliding_regression(
         )
         .where(~F.col("_halo"))
         .drop("_x", "_halo", "_chunk")
+        .unionByName(blank)
     )
 
 
@@ -347,6 +376,100 @@ def train_tree(
     return Pipeline(stages=stages).fit(df)
 
 
+def _binned(df: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
+    """``_bins``: the bin of each feature between the ``_lo`` and ``_hi`` of its block."""
+    def place(i: int, feature: str) -> Column:
+        lo, hi = F.get("_lo", F.lit(i)), F.get("_hi", F.lit(i))
+        at = F.floor((F.col(feature).cast("double") - lo) / (hi - lo) * bins)
+        return F.when(hi > lo, F.least(at, F.lit(bins - 1))).otherwise(F.lit(0)).cast("bigint")
+
+    return df.withColumn("_bins", F.array(*[place(i, f) for i, f in enumerate(features)]))
+
+
+def _descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows one level down, where their node is split."""
+    went = F.when(F.get("_bins", F.col("_feature")) <= F.col("_bin"), 1).otherwise(2)
+    return lookup(rows, splits, ["_block", "_node"], "left").withColumn(
+        "_node", F.when(F.col("_feature").isNotNull(), 2 * F.col("_node") + went).otherwise(F.col("_node"))
+    ).drop("_feature", "_bin")
+
+
+def retrained_tree(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    classes: Sequence[str] = TRIP_CLASSES,
+    position: str = "msg_id",
+    every: int = RETRAIN_EVERY,
+    depth: int = 2,
+    bins: int = 16,
+    output: str = "predicted",
+) -> DataFrame:
+    """Classify each block of ``every`` messages by the decision tree grown from the block before.
+
+    All trees grow at once, a level by a histogram: rows are counted per (block, node, feature, bin) and class, and the
+    cut with the least Gini impurity splits the node (ties: first feature, lowest bin), if it lowers it. Bins divide
+    the range of the block's complete rows evenly; a leaf is its commonest class (ties: first). Rows without a feature,
+    and blocks without a predecessor, get NULL; rows without a known class train nothing.
+    """
+    whole = F.col(label).isin(*classes)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    block = F.floor(F.col(position) / every)
+    # only what the trees read
+    rows = df.where(whole).select(block.alias("_block"), F.lit(0).cast("bigint").alias("_node"), F.col(label).alias("_label"), *features)
+    ranges = rows.groupBy("_block").agg(
+        F.array(*[F.min(F.col(f).cast("double")) for f in features]).alias("_lo"),
+        F.array(*[F.max(F.col(f).cast("double")) for f in features]).alias("_hi"),
+    )
+    rows = _binned(rows.join(ranges, "_block"), features, bins).select("_block", "_node", "_label", "_bins")
+    counts = [F.count_if(F.col("_label") == c).alias(f"_n{i}") for i, c in enumerate(classes)]
+    names = [f"_n{i}" for i in range(len(classes))]
+
+    def purity(cells: Sequence[Column]) -> Column:
+        # the larger, the purer: squares of the counts over their sum
+        squares, total = cells[0] * cells[0], cells[0]
+        for c in cells[1:]:
+            squares, total = squares + c * c, total + c
+        return F.try_divide(squares.cast("double"), total.cast("double"))
+
+    levels = []
+    for _ in range(depth):
+        cells = rows.select("_block", "_node", "_label", F.posexplode("_bins").alias("_feature", "_bin")).groupBy(
+            "_block", "_node", "_feature", "_bin"
+        ).agg(*counts)
+        whole_node = Window.partitionBy("_block", "_node", "_feature")
+        so_far = whole_node.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        left = [F.sum(n).over(so_far).alias(f"_l{i}") for i, n in enumerate(names)]
+        total = [F.sum(n).over(whole_node).alias(f"_t{i}") for i, n in enumerate(names)]
+        cuts = cells.select("_block", "_node", "_feature", "_bin", *left, *total)
+        ls = [F.col(f"_l{i}") for i in range(len(classes))]
+        ts = [F.col(f"_t{i}") for i in range(len(classes))]
+        cuts = cuts.withColumn("_score", purity(ls) + purity([t - x for t, x in zip(ts, ls)])).where(
+            F.col("_score") > purity(ts) + 1e-9
+        )
+        best = cuts.groupBy("_block", "_node").agg(F.max_by(
+            F.struct("_feature", "_bin"), F.struct("_score", -F.col("_feature"), -F.col("_bin"))
+        ).alias("_cut")).select("_block", "_node", "_cut.*")
+        # a level is read by the next level and by the predictions
+        levels.append(pin(best))
+        rows = _descend(rows, levels[-1])
+    most = F.array_max(F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("first")) for i, n in enumerate(names)]))["first"]
+    leaves = rows.groupBy("_block", "_node").agg(*counts).select(
+        "_block", "_node", F.get(F.array(*[F.lit(c) for c in classes]), -most).alias(output)
+    )
+    asked = df.withColumn("_block", block - 1).withColumn("_node", F.lit(0).cast("bigint"))
+    asked = _binned(lookup(asked, ranges, "_block", "left"), features, bins)
+    for level in levels:
+        asked = _descend(asked, level)
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    return lookup(asked, leaves, ["_block", "_node"], "left").withColumn(output, F.when(known, F.col(output))).drop(
+        "_block", "_node", "_lo", "_hi", "_bins"
+    )
+
+
 def table_range(
     df: DataFrame, partition: str, value: object, row_key: str, start: int, end: int
 ) -> DataFrame:

@@ -272,12 +272,25 @@ def q_linear_retrain(spark, sf):
     return out.select("msg_id", F.round("prediction", 4).alias("prediction"))
 
 
-def q_decision_tree(spark, sf):
-    data = trips(spark, sf)
+TREE_FEATURES = ("trip_time_in_secs", "trip_distance", "fare_amount")
+
+
+def _graded(spark, sf):
     fare = F.col("fare_amount")
-    data = data.withColumn("grade", F.when(fare < 50, "BAD").when(fare < 100, "GOOD").when(fare < 200, "VERYGOOD").otherwise("EXCELLENT"))
-    features = ["trip_time_in_secs", "trip_distance", "fare_amount"]
-    out = analytics.predict(data, analytics.train_tree(data, features, "grade"))
+    return trips(spark, sf).withColumn(
+        "grade", F.when(fare < 50, "BAD").when(fare < 100, "GOOD").when(fare < 200, "VERYGOOD").otherwise("EXCELLENT")
+    )
+
+
+def q_decision_tree(spark, sf):
+    """Each 300 trips graded by the tree of the 300 before."""
+    return analytics.retrained_tree(_graded(spark, sf), TREE_FEATURES, "grade").select("msg_id", "predicted")
+
+
+def q_tree_model(spark, sf):
+    """One tree for all trips, by the machine learning library."""
+    data = _graded(spark, sf)
+    out = analytics.predict(data, analytics.train_tree(data, list(TREE_FEATURES), "grade"))
     return out.groupBy("grade", "class_index").agg(F.count("*").alias("n"))
 
 
@@ -353,6 +366,50 @@ def q_matrix_edges(spark, sf):
     return catalog.matrix_edges(lines).withColumn("dst", F.col("dst").cast("bigint"))
 
 
+def _tree_sql() -> str:
+    """The tree of depth 2 in SQL: per level a histogram, its running sums, the best cut, and the rows one level down."""
+    classes = ("BAD", "GOOD", "VERYGOOD", "EXCELLENT")
+    spans = ", ".join(f"min({f}) AS lo{i}, max({f}) AS hi{i}" for i, f in enumerate(TREE_FEATURES))
+    bins = "[" + ", ".join(
+        f"CASE WHEN hi{i} > lo{i} THEN least(CAST(floor(({f} - lo{i}) / (hi{i} - lo{i}) * 16) AS BIGINT), 15) ELSE 0 END"
+        for i, f in enumerate(TREE_FEATURES)
+    ) + "]"
+    counts = ", ".join(f"count(*) FILTER (grade = '{c}') AS n{i}" for i, c in enumerate(classes))
+    left = ", ".join(f"sum(n{i}) OVER (PARTITION BY block, node, feature ORDER BY bin) AS l{i}" for i in range(4))
+    total = ", ".join(f"sum(n{i}) OVER (PARTITION BY block, node, feature) AS t{i}" for i in range(4))
+
+    def purity(cell: str) -> str:
+        cells = [cell.format(i=i) for i in range(4)]
+        return f"CAST({' + '.join(f'{c} * {c}' for c in cells)} AS DOUBLE) / nullif(CAST({' + '.join(cells)} AS DOUBLE), 0)"
+
+    def descend(rows: str, level: int) -> str:
+        return f"""SELECT r.* REPLACE (CASE WHEN s.feature IS NULL THEN r.node
+            WHEN r.bins[s.feature] <= s.bin THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node)
+            FROM {rows} r LEFT JOIN s{level} s ON s.block = r.block AND s.node = r.node"""
+
+    parts = [f"""g AS (SELECT *, msg_id // 300 AS block, CASE WHEN fare_amount < 50 THEN 'BAD' WHEN fare_amount < 100 THEN 'GOOD'
+            WHEN fare_amount < 200 THEN 'VERYGOOD' ELSE 'EXCELLENT' END AS grade FROM trips)""",
+        f"spans AS (SELECT block, {spans} FROM g GROUP BY block)",
+        f"r0 AS (SELECT block, CAST(0 AS BIGINT) AS node, grade, {bins} AS bins FROM g JOIN spans USING (block))",
+        f"p0 AS (SELECT msg_id, g.block - 1 AS block, CAST(0 AS BIGINT) AS node, {bins} AS bins FROM g LEFT JOIN spans ON spans.block = g.block - 1)"]
+    for level in range(2):
+        parts += [
+            f"h{level} AS (SELECT block, node, feature, bins[feature] AS bin, {counts} FROM r{level}, range(1, 4) f(feature) GROUP BY ALL)",
+            f"c{level} AS (SELECT block, node, feature, bin, {left}, {total} FROM h{level})",
+            f"v{level} AS (SELECT block, node, feature, bin, {purity('l{i}')} + {purity('(t{i} - l{i})')} AS score, {purity('t{i}')} AS before FROM c{level})",
+            f"""s{level} AS (SELECT block, node, feature, bin FROM v{level} WHERE score > before + 1e-9
+                QUALIFY row_number() OVER (PARTITION BY block, node ORDER BY score DESC, feature, bin) = 1)""",
+            f"r{level + 1} AS ({descend(f'r{level}', level)})",
+            f"p{level + 1} AS ({descend(f'p{level}', level)})",
+        ]
+    best = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'n{i} >= n{j}' for j in range(4))} THEN '{c}'" for i, c in enumerate(classes)
+    ) + " END"
+    parts.append(f"leaves AS (SELECT block, node, {best} AS predicted FROM (SELECT block, node, {counts} FROM r2 GROUP BY ALL))")
+    return with_views("trips") + ", " + ",\n".join(parts) + """
+        SELECT msg_id, predicted FROM p2 LEFT JOIN leaves ON leaves.block = p2.block AND leaves.node = p2.node"""
+
+
 _T, _B, _S = with_views("trips"), with_views("batch_items"), with_views("stages")
 _JOINED = " || '@' || ".join(f"CAST({f} AS VARCHAR)" for f in PIECE_FIELDS)
 _LOG = with_views("oplog_lines") + """,
@@ -467,6 +524,7 @@ ORACLES = {
     "q_linear_retrain": _T + f""", d AS (SELECT *, fare_amount + tip_amount AS paid, msg_id // 300 AS block FROM trips),
         f AS (SELECT block + 1 AS block, {_FIT} FROM d GROUP BY block)
         SELECT msg_id, round({_GUESS}, 4) AS prediction FROM d LEFT JOIN f USING (block)""",
+    "q_decision_tree": _tree_sql(),
     "q_catalog_exact": with_views("device_items") + "SELECT href, body FROM device_items WHERE href = '/device/cpu/7'",
     "q_catalog_prefix": with_views("device_items") + "SELECT href FROM device_items WHERE starts_with(href, '/device/containers/1')",
     "q_catalog_contains": with_views("device_items") + "SELECT href FROM device_items WHERE contains(href, '/1')",
