@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,11 @@ def q_file_attributes(spark, sf):
 
 
 def q_scan_dirs_from_table(spark, sf):
-    found = files.scan_files(spark, documents_by_lang(spark, sf))
     asked = table(spark, sf, "documents").where("source = 'src3' and lang <> 'en'").select(
         F.concat(F.lit("lang="), "lang").alias("directory")
     )
-    return files.scan_dirs_from_table(found, asked).groupBy("relative_dir").agg(F.sum("length").alias("bytes"))
+    found = files.scan_dirs_from_table(documents_by_lang(spark, sf), asked, file_filter=r".*\.txt")
+    return found.groupBy(F.col("directory").alias("relative_dir")).agg(F.sum("length").alias("bytes"))
 
 
 def q_scan_batch_dir(spark, sf):
@@ -69,11 +70,30 @@ def q_read_batch_table(spark, sf):
     return files.read_batch_table(table(spark, sf, "batch_items"), asked).select("batch_id", "item_id")
 
 
+def blobs(spark: SparkSession, sf: str) -> str:
+    """The detections as one file each."""
+    def write(root):
+        def put(batches):
+            fs, base = pafs.FileSystem.from_uri(root)
+            fs.create_dir(base, recursive=True)
+            for batch in batches:
+                for item, content in zip(batch["item_id"].to_pylist(), batch["content"].to_pylist()):
+                    with fs.open_output_stream(f"{base}/img_{item}.json") as out:
+                        out.write(content.encode())
+                yield batch.select(["item_id"])
+
+        rows = table(spark, sf, "detections").select("item_id", "content")
+        rows.mapInArrow(put, "item_id bigint").write.format("noop").mode("overwrite").save()
+
+    return landed(spark, sf, "blobs", write)
+
+
 def q_blob_download(spark, sf):
-    names = table(spark, sf, "detections").select(
-        F.concat(F.lit("img_"), F.col("item_id").cast("string"), F.lit(".json")).alias("filename")
+    """The content of the files that batch items name; most names have no file."""
+    found = files.blob_download(blobs(spark, sf), table(spark, sf, "batch_items"))
+    return found.groupBy("filename").agg(
+        F.sum(F.octet_length("content")).cast("bigint").alias("bytes"), F.md5(F.max("content")).alias("digest")
     )
-    return files.blob_download(table(spark, sf, "batch_items"), names).select("item_id", "filename")
 
 
 def q_read_dir_pairs(spark, sf):
@@ -220,8 +240,8 @@ ORACLES = {
         WHERE batch_id // 50 IN (SELECT batch_id // 50 FROM batch_items WHERE batch_id % 150 = 7)""",
     "q_read_batch_table": with_views("batch_items", "detections") + "SELECT batch_id, item_id FROM batch_items "
         "WHERE batch_id IN (SELECT batch_id FROM detections WHERE is_person)",
-    "q_blob_download": with_views("batch_items", "detections") + "SELECT item_id, filename FROM batch_items "
-        "WHERE filename IN (SELECT 'img_' || item_id || '.json' FROM detections)",
+    "q_blob_download": with_views("batch_items", "detections") + "SELECT filename, strlen(content) AS bytes, md5(content) AS digest "
+        "FROM detections d JOIN batch_items b ON filename = 'img_' || d.item_id || '.json'",
     "q_read_dir_pairs": "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS named FROM documents",
     "q_read_sidecar_schema": _T + """SELECT CAST(0 AS BIGINT) AS position, 'taxi_identifier' AS name, 'string' AS unit, 'sv' AS kind, false AS is_time, count(*) AS readings FROM trips
         UNION ALL SELECT 1, 'timestamp', 'timestamp', 'sv', true, count(*) FROM trips

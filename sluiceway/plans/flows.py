@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from sluiceway.operators.clean import as_columns, batch_has_label, range_filter,
 from sluiceway.operators.impute import impute_mean
 from sluiceway.operators.joins import annotate, join_batch_exists
 from sluiceway.schemas import TRIP_RANGES
+from sluiceway.session import query_id
+from sluiceway.sinks.files import write_batches
+from sluiceway.sinks.topics import FileOutbox, messages, put_messages
+from sluiceway.sinks.upsert import upsert
 
 TRIP_COLUMNS = (
     "msg_id", "taxi_identifier", "hack_license", "trip_time_in_secs", "trip_distance",
@@ -24,6 +32,13 @@ def clean_trips(
     """SenML lines to valid, known, annotated trips; each step is stateless, so it
     serves a stream as well as a table."""
     good, _ = split_bad(senml_parse(lines))
+    return clean_parsed(good, metadata, model, spec)
+
+
+def clean_parsed(
+    good: DataFrame, metadata: DataFrame, model: BloomModel | None = None, spec: str = TRIP_RANGES
+) -> DataFrame:
+    """The same from lines that are parsed."""
     trips = as_columns(good.select("timestamp", "observations"), TRIP_COLUMNS)
     trips = range_filter(trips, spec)
     if model is not None:
@@ -31,6 +46,52 @@ def clean_trips(
     return annotate(trips, metadata)
 
 
+class FlowSinks(NamedTuple):
+    """Where a flow leaves its results: the current trip of each key, trips as files of batches, lines
+    that did not parse, and messages. The outbox belongs to one checkpoint."""
+
+    table: str
+    files: str
+    dead: str
+    outbox: str
+
+
+FLOW_KEYS, FLOW_ORDER = ("hack_license", "taxi_identifier"), ("timestamp", "msg_id")
+
+
+def into_sinks(
+    sinks: FlowSinks, metadata: DataFrame, model: BloomModel | None = None, spec: str = TRIP_RANGES, batch_rows: int = 500
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over parsed lines: clean them once, and give them to every sink.
+
+    Each sink takes an epoch once, so an epoch that is replayed because one of them failed is completed,
+    and the query's checkpoint is the commit they share.
+    """
+    def write(rows: DataFrame, epoch: int) -> None:
+        run, outbox = query_id(rows), FileOutbox(sinks.outbox)
+        rows.persist()
+        good, bad = split_bad(rows)
+        trips = clean_parsed(good, metadata, model, spec).withColumn("msg_id", F.col("msg_id").cast("bigint")).persist()
+        try:
+            upsert(trips, sinks.table, epoch, FLOW_KEYS, FLOW_ORDER, run)
+            files = trips.select(
+                F.floor(F.col("msg_id") / batch_rows).alias("batch_id"),
+                F.concat(F.lit("f"), F.col("msg_id").cast("string")).alias("filename"), "fare_amount", "taxi_company",
+            )
+            write_batches(files, sinks.files, conflict="replace", run=run, epoch=epoch)
+            letters = bad.select(
+                F.lit(epoch).cast("bigint").alias("batch_id"), F.expr("uuid()").alias("filename"), F.col("bad_line").alias("line")
+            )
+            write_batches(letters, sinks.dead, unique=True, run=run, epoch=epoch)
+            sent = messages(trips.withColumn("id", F.col("msg_id").cast("string")), "trips/{payment_type}", "id")
+            outbox.release(epoch, put_messages(sent, partial(FileOutbox, sinks.outbox)))
+        finally:
+            trips.unpersist()
+            rows.unpersist()
+
+    return write
+
+
 def clean_and_impute(
     lines: DataFrame, metadata: DataFrame, model: BloomModel, window: int, spec: str
 ) -> DataFrame:

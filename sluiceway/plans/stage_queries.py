@@ -9,8 +9,9 @@ from sluiceway.operators.impute import impute_mean
 from sluiceway.plans.compose import compose
 from sluiceway.operators.clean import range_filter
 from sluiceway.plans.record_queries import _RANGES, trips
-from sluiceway.plans.tables import table, with_views
+from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.schemas import SENSOR_FIELDS
+from sluiceway.sources import files
 
 PIECE_FIELDS = ("taxi_identifier", *SENSOR_FIELDS)
 
@@ -35,7 +36,9 @@ def q_assemble_message(spark, sf):
 
 def q_annotate(spark, sf):
     whole = joins.assemble_message(pieces(spark, sf), PIECE_FIELDS)
-    notes = joins.read_annotations(table(spark, sf, "annotation_lines"))
+    # the lines as text files: their numbers come from reading
+    path = landed(spark, sf, "annotations", lambda p: table(spark, sf, "annotation_lines").orderBy("line_no").select("value").write.text(p))
+    notes = joins.read_annotations(files.numbered_lines(spark, path))
     return joins.annotate_text(whole, notes, line_no="line_no").select("msg_id", F.col("joined_value").alias("line"))
 
 
@@ -46,9 +49,9 @@ def q_annotate_columns(spark, sf):
 
 
 def q_join_batch_exists(spark, sf):
-    items = table(spark, sf, "batch_items")
-    left = items.where("item_id % 2 = 0").select("batch_id", "item_id", "arrival")
-    return joins.join_batch_exists(left, items.where("item_id % 5 = 1"))
+    """Every item that another item of its batch came before."""
+    items = table(spark, sf, "batch_items").select("batch_id", "item_id", "arrival")
+    return joins.join_batch_exists(items, items)
 
 
 def q_join_batch_complete(spark, sf):
@@ -362,8 +365,10 @@ def q_affected_neighbours(spark, sf):
 def q_matrix_edges(spark, sf):
     row = F.col("c_custkey") + 1
     cells = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda j: F.when((row * 7 + j * 3) % 4 == 0, "1").otherwise("0"))
-    lines = table(spark, sf, "customer").select(row.alias("src"), F.array_join(cells, ",").alias("line"))
-    return catalog.matrix_edges(lines).withColumn("dst", F.col("dst").cast("bigint"))
+    lines = table(spark, sf, "customer").orderBy(row).select(F.array_join(cells, ",").alias("line"))
+    path = landed(spark, sf, "matrix", lambda p: lines.write.text(p))
+    numbered = files.numbered_lines(spark, path, "line")
+    return catalog.matrix_edges(numbered, "line_no").withColumn("dst", F.col("dst").cast("bigint"))
 
 
 def _tree_sql() -> str:
@@ -436,8 +441,8 @@ ORACLES = {
         FROM trips LEFT JOIN last ON k = taxi_identifier WHERE surcharge IS NOT NULL""",
     "q_annotate_columns": with_views("trips", "metadata") + "SELECT msg_id, taxi_identifier, taxi_company, drivername, "
         "taxi_city FROM trips LEFT JOIN metadata USING (taxi_identifier)",
-    "q_join_batch_exists": _B + """SELECT l.batch_id, l.item_id, l.arrival FROM batch_items l WHERE l.item_id % 2 = 0
-        AND EXISTS (SELECT 1 FROM batch_items r WHERE r.item_id % 5 = 1 AND r.batch_id = l.batch_id AND r.arrival < l.arrival)""",
+    "q_join_batch_exists": _B + """SELECT l.batch_id, l.item_id, l.arrival FROM batch_items l
+        WHERE EXISTS (SELECT 1 FROM batch_items r WHERE r.batch_id = l.batch_id AND r.arrival < l.arrival)""",
     "q_join_batch_complete": _B + """SELECT batch_id, item_id, filename FROM batch_items
         WHERE batch_id % 3 <> 0 AND batch_id IN (SELECT batch_id FROM batch_items GROUP BY batch_id HAVING count(*) >= 10)""",
     "q_join_batch_lookup": with_views("batch_items", "detections") + """SELECT d.batch_id, d.item_id, d.content FROM detections d

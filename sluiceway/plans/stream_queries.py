@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import bloom
+from sluiceway.operators.clean import senml_parse
 from sluiceway.plans import record_queries, stage_queries
 from sluiceway.plans.file_queries import UPSERT_KEYS, UPSERT_ORDER, documents_by_lang
-from sluiceway.plans.flows import clean_trips
+from sluiceway.plans.flows import FLOW_KEYS, FLOW_ORDER, FlowSinks, clean_trips, into_sinks
 from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.session import scratch
 from sluiceway.sinks import files as file_sinks
@@ -85,15 +86,18 @@ def q_stream_trigger(spark, sf):
     return spark.read.parquet(out)
 
 
-def q_stream_etl(spark, sf):
-    lines = record_queries.senml_lines(spark, sf)
-    path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
+def _odd_taxis(spark, sf):
     known = table(spark, sf, "customer").where("c_custkey % 2 = 1").select(
         F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("taxi_identifier")
     )
-    model = bloom.bloom_train(known, "taxi_identifier", 100_000, 1e-9)
+    return bloom.bloom_train(known, "taxi_identifier", 100_000, 1e-9)
+
+
+def q_stream_etl(spark, sf):
+    lines = record_queries.senml_lines(spark, sf)
+    path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
     stream = stream_files(spark, path).withColumnRenamed("value", "line")
-    done = clean_trips(stream, table(spark, sf, "metadata"), model)
+    done = clean_trips(stream, table(spark, sf, "metadata"), _odd_taxis(spark, sf))
     return _appended(spark, done, "stream-etl").select(
         F.col("msg_id").cast("bigint").alias("msg_id"), "taxi_identifier", "fare_amount", "taxi_company", "taxi_city"
     )
@@ -110,6 +114,46 @@ def _messages(spark, sf):
     return landed(spark, sf, "messages", lambda out: _appended(spark, stream, "message-join").write.parquet(out))
 
 
+def _flow(spark, sf) -> FlowSinks:
+    """Where the whole flow, run as one stream, left the trips."""
+    def write(root):
+        lines = record_queries.senml_lines(spark, sf)
+        path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
+        sink = into_sinks(flow_sinks(root), table(spark, sf, "metadata"), _odd_taxis(spark, sf))
+        query = (
+            senml_parse(stream_files(spark, path).withColumnRenamed("value", "line")).writeStream.foreachBatch(sink)
+            .option("checkpointLocation", scratch(spark, "flow-log")).trigger(availableNow=True).start()
+        )
+        runs.drain(query)
+
+    return flow_sinks(landed(spark, sf, "flow", write))
+
+
+def flow_sinks(root: str) -> FlowSinks:
+    return FlowSinks(*[f"{root}/{n}" for n in FlowSinks._fields])
+
+
+def q_stream_flow(spark, sf):
+    """What each sink of the flow holds of the trips."""
+    at = _flow(spark, sf)
+    current = upsert.read_current(spark, at.table, FLOW_KEYS, FLOW_ORDER).select(
+        F.lit("current").alias("part"), F.concat_ws("/", *FLOW_KEYS).alias("key"), "msg_id", "fare_amount"
+    )
+    stored = file_sinks.read_batches(spark, at.files).select(
+        F.lit("file"), F.concat_ws("/", F.col("batch_id").cast("string"), "filename"), F.lit(None).cast("bigint"), "fare_amount"
+    )
+    sent = spark.read.schema("topic string, payload string, retain boolean").json(at.outbox)
+    heard = topic_sinks.retained(sent.withColumn("n", F.col("payload").cast("bigint")), "n").select(
+        F.lit("retained"), "topic", F.col("payload").cast("bigint"), F.lit(None).cast("double")
+    )
+    return current.union(stored).union(heard)
+
+
+def q_stream_dead_letters(spark, sf):
+    """The lines that did not parse, whole."""
+    return file_sinks.read_batches(spark, _flow(spark, sf).dead).select("line")
+
+
 def q_stream_message_join(spark, sf):
     return spark.read.parquet(_messages(spark, sf)).where("complete").select("msg_id", "joined_value")
 
@@ -230,6 +274,14 @@ ORACLES = {
         FROM trips LEFT JOIN metadata USING (taxi_identifier)
         WHERE {_RANGES} AND msg_id % 97 <> 5
         AND taxi_identifier IN (SELECT 'T' || c_custkey FROM customer WHERE c_custkey % 2 = 1)""",
+    "q_stream_flow": with_views("trips") + f""", v AS (SELECT * FROM trips WHERE {_RANGES} AND msg_id % 97 <> 5
+            AND taxi_identifier IN (SELECT 'T' || c_custkey FROM customer WHERE c_custkey % 2 = 1))
+        SELECT 'current' AS part, hack_license || '/' || taxi_identifier AS key, max(msg_id) AS msg_id,
+               arg_max(fare_amount, msg_id) AS fare_amount FROM v GROUP BY hack_license, taxi_identifier
+        UNION ALL SELECT 'file', msg_id // 500 || '/f' || msg_id, NULL, fare_amount FROM v
+        UNION ALL SELECT 'retained', 'trips/' || payment_type, max(msg_id), NULL FROM v GROUP BY payment_type""",
+    "q_stream_dead_letters": with_views("trips") + """SELECT left(taxi_identifier || ',{"bt":' || bt || ',"e":[{"n":"msg_id","u":"count"', 40)
+        AS line FROM trips WHERE msg_id % 97 = 5""",
     "q_stream_message_join": stage_queries.ORACLES["q_assemble_message"],
     "q_stream_batch_gate": stage_queries.ORACLES["q_batch_gate"],
     "q_stream_impute": stage_queries.ORACLES["q_impute_mean"],

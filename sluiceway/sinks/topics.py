@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ class Direct:
 
 class FileOutbox:
     """Messages as files of JSON lines. A task writes a hidden file; the release moves an epoch's files to names
-    made of the epoch and their number, and does nothing for an epoch that is out already."""
+    made of the epoch and their number, and does nothing for an epoch that is out already. An outbox belongs to one
+    checkpoint, which counts its epochs."""
 
     def __init__(self, root: str):
         self.fs, self.root = pafs.FileSystem.from_uri(root)
@@ -96,6 +98,16 @@ class FileOutbox:
                 self.fs.delete_file(f"{self.root}/{token}")
 
 
+def put_messages(df: DataFrame, outbox: Callable[[], Outbox]) -> list[str]:
+    """Put message rows into an outbox; a token for each task, to be released together."""
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(row.values()) for batch in batches for row in batch.to_pylist())
+        yield pa.RecordBatch.from_pydict({"token": [outbox().put(rows)]})
+
+    sent = df.select("topic", "payload", "qos", "retain").mapInArrow(put, "token string")
+    return [r["token"] for r in sent.collect()]
+
+
 @dataclass
 class Sent(WriterCommitMessage):
     token: str

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.operators.sequence import lookup
@@ -76,17 +80,82 @@ def file_attributes(files: DataFrame) -> DataFrame:
     )
 
 
+LISTED = "directory string, filename string, path string, length bigint, modification_time timestamp"
+
+
 def scan_dirs_from_table(
-    files: DataFrame, directories: DataFrame, column: str = "directory"
+    root: str, directories: DataFrame, column: str = "directory", file_filter: str = DEFAULT_FILE_FILTER
 ) -> DataFrame:
-    """Files that lie directly in a directory named by a row of ``directories``."""
-    wanted = directories.select(F.col(column).alias("relative_dir")).distinct()
-    return files.join(wanted, "relative_dir", "left_semi")
+    """Files that lie directly in a directory below ``root`` that a row of ``directories`` names.
 
-
-def blob_download(files: DataFrame, names: DataFrame, column: str = "filename") -> DataFrame:
-    """Files whose name is on the list; a repeated name counts once."""
-    return lookup(files, names.select(F.col(column).alias("filename")).distinct(), "filename", "left_semi")
+    The tasks list the directories, one at a time; the root is never listed. A directory that does not exist
+    holds no files.
+    """
+    keep = re.compile(rf"(?:{file_filter})\Z").match
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for directory in batch["directory"].to_pylist():
+                where = f"{base}/{directory.strip('/')}".rstrip("/")
+                found = [
+                    i for i in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)) if i.is_file and keep(i.base_name)
+                ]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([directory] * len(found), pa.string()), pa.array([i.base_name for i in found], pa.string()),
+                    pa.array([i.path for i in found], pa.string()), pa.array([i.size for i in found], pa.int64()),
+                    pa.array([i.mtime for i in found], pa.timestamp("us", "UTC")),
+                ], ["directory", "filename", "path", "length", "modification_time"])
+
+    wanted = directories.select(F.col(column).alias("directory")).dropna().distinct()
+    return wanted.mapInArrow(listed, LISTED)
+
+
+def blob_download(root: str, names: DataFrame, column: str = "filename", slice_bytes: int = 8 << 20) -> DataFrame:
+    """(filename, position, content) of the files below ``root`` that a row of ``names`` names, in slices.
+
+    The tasks open the files by name; nothing is listed. A repeated name counts once, a file that does not exist has
+    no row, an empty one has one.
+    """
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch["filename"].to_pylist():
+                info = fs.get_file_info(f"{base}/{name}")
+                if not info.is_file:
+                    continue
+                with fs.open_input_stream(info.path) as file:
+                    at, content = 0, file.read(slice_bytes)
+                    while content or not at:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name]), pa.array([at], pa.int64()), pa.array([content], pa.binary())],
+                            ["filename", "position", "content"],
+                        )
+                        if not content:
+                            break
+                        at, content = at + len(content), file.read(slice_bytes)
+
+    wanted = names.select(F.col(column).alias("filename")).dropna().distinct()
+    return wanted.mapInArrow(opened, "filename string, position bigint, content binary")
+
+
+def numbered_lines(spark: SparkSession, root: str, value: str = "value") -> DataFrame:
+    """(line_no, line) of the text files below ``root``, numbered from 1 through all files in the order of their names.
+
+    Files are read in splits. A line's number is its place in its split after the lines of all splits before it, so
+    only a count for each split is ever summed in one place.
+    """
+    lines = spark.read.text(root).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # ids grow in the order of reading; the same files are planned the same way twice
+    splits = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lookup(lines, splits, ["_file", "_block"]).select(
+        (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), F.col("value").alias(value)
+    )
 
 
 def read_dir_pairs(spark: SparkSession, root: str) -> DataFrame:

@@ -40,8 +40,35 @@ def test_scan(spark, rows, tree):
     got = {r["filename"]: r for r in files.file_attributes(files.scan_files(spark, tree)).collect()}
     assert got["d.txt"]["path"] == "sub/deep/" and got["a.txt"]["path"] == "/"
     assert got["c.txt"]["absolute_path"].endswith("/in/sub/")
-    asked = spark.createDataFrame([("sub",), ("sub",), ("none",)], "directory string")
-    assert rows(files.scan_dirs_from_table(files.scan_files(spark, tree), asked), "filename") == [("c.txt",)]
+    asked = spark.createDataFrame([("sub",), ("sub",), ("none",), (None,), ("sub/deep/",), ("",)], "directory string")
+    got = rows(files.scan_dirs_from_table(tree, asked), "directory", "filename", "length")
+    assert got == [("", "a.txt", 5), ("", "b.csv", 50), ("sub", "c.txt", 5), ("sub", "none.txt", 0), ("sub/deep/", "d.txt", 1)]
+    got = rows(files.scan_dirs_from_table(tree, asked, file_filter=r".*\.csv"), "filename")
+    assert got == [("b.csv",)]
+
+
+def test_blobs_come_in_slices(spark, rows, tree):
+    names = spark.createDataFrame([("a.txt",), ("b.csv",), ("b.csv",), ("missing",), (None,), ("sub/none.txt",), ("sub",)], "filename string")
+    got = rows(files.blob_download(tree, names, slice_bytes=20), "filename", "position", "content")
+    assert got == [
+        ("a.txt", 0, b"xxxxx"), ("b.csv", 0, b"x" * 20), ("b.csv", 20, b"x" * 20), ("b.csv", 40, b"x" * 10), ("sub/none.txt", 0, b""),
+    ]
+
+
+def test_lines_are_numbered_through_splits(spark, tmp_path):
+    want = []
+    for name in ("b.txt", "a.txt", "c.txt"):
+        lines = [f"{name} {i} {'y' * (i % 13)}" for i in range(400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want.append((name, lines))
+    want = [line for _, lines in sorted(want) for line in lines]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.line_no: r.value for r in files.numbered_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [got[i + 1] for i in range(1200)] == want
 
 
 def test_listing_reads_no_content(spark, tree):

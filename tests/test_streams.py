@@ -205,3 +205,44 @@ def test_upsert_after_a_new_checkpoint(spark, feed, tmp_path):
     feed.add([(6, 3)], "k int, t int")
     runs.drain(runs.to_sinks(feed.stream(), [sink], str(tmp_path / "log-two")))
     assert read() == [*expected, (6, 3)]
+
+
+def test_flow_goes_on_after_a_sink_failed(spark, tmp_path, monkeypatch):
+    """An epoch that failed between two sinks is replayed: what was written stays, the rest is completed."""
+    from sluiceway.operators.clean import senml_emit, senml_parse
+    from sluiceway.plans import flows
+    from sluiceway.plans.record_queries import TRIP_VIEW_FIELDS
+    from sluiceway.sinks import upsert
+    from sluiceway.sinks.files import read_batches
+    from sluiceway.sinks.topics import FileOutbox
+
+    good = [(i, "T1", f"H{i % 2}", 1000 * i, 200.0, 2.0, 10.0 + i, 0.5, 1.0, 3.0, "CSH") for i in range(6)]
+    names = [n for n, _, _ in TRIP_VIEW_FIELDS]
+    schema = "msg_id long, taxi_identifier string, hack_license string, bt long, " + ", ".join(f"{n} double" for n in names[3:-1]) + ", payment_type string"
+    trips = spark.createDataFrame(good, schema)
+    lines = senml_emit(trips, TRIP_VIEW_FIELDS, "bt", key="taxi_identifier").select("line")
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    lines.union(spark.createDataFrame([("T1,{broken",)], "line string")).coalesce(1).write.text(source)
+    metadata = spark.createDataFrame([("T1", "acme")], "taxi_identifier string, taxi_company string")
+    at = flows.FlowSinks(*[str(tmp_path / n) for n in flows.FlowSinks._fields])
+
+    def run():
+        stream = senml_parse(stream_files(spark, source).withColumnRenamed("value", "line"))
+        sink = flows.into_sinks(at, metadata)
+        runs.drain(stream.writeStream.foreachBatch(sink).option("checkpointLocation", log).trigger(availableNow=True).start())
+
+    def full(self, epoch, tokens):
+        raise OSError("no room")
+
+    with monkeypatch.context() as m:
+        m.setattr(FileOutbox, "release", full)
+        with pytest.raises(Exception, match="no room"):
+            run()
+    assert read_batches(spark, at.files).count() == 6
+    run()
+    run()
+    current = upsert.read_current(spark, at.table, flows.FLOW_KEYS, flows.FLOW_ORDER)
+    assert sorted((r.hack_license, r.msg_id, r.taxi_company) for r in current.collect()) == [("H0", 4, "acme"), ("H1", 5, "acme")]
+    assert read_batches(spark, at.files).count() == 6
+    assert [r.line for r in read_batches(spark, at.dead).collect()] == ["T1,{broken"]
+    assert sorted(int(r.payload) for r in spark.read.json(at.outbox).collect()) == list(range(6))
