@@ -131,22 +131,20 @@ def apply_batch(
     df: DataFrame,
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
+    merge: Sequence[Column],
     batch: str = "batch_id",
-    merge: Sequence[Column] = (),
     slice_on: Sequence[str] = (),
     slice_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Run a user function over each batch.
+    """Run a user function over slices of each batch and fold what it returns.
 
-    A batch above ``slice_rows`` rows reaches ``fn`` in slices that fit a task;
-    ``merge`` (aggregate columns over the output) folds the slices of a batch.
+    ``fn`` sees rows of one batch, about ``slice_rows`` of them at most; ``merge`` (aggregate columns over its
+    output) makes one row of all slices of a batch, however many there are.
     """
     counts = df.groupBy(batch).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
     if counts.isEmpty():
         parts = df.withColumn("_slice", F.lit(0).cast("bigint"))
     else:
-        if not merge:
-            raise ValueError("a batch exceeds slice_rows: give merge columns to fold its slices")
         on = [F.col(c) for c in (slice_on or df.columns)]
         slices = F.ceil(F.col("_n") / slice_rows)
         parts = (
@@ -176,7 +174,7 @@ def apply_batch(
     # a fixed number of partitions: user code is worth a task even where rows are few
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = side_by_side(parts, group, partitions=width).mapInPandas(run, schema)
-    return out.groupBy(batch).agg(*merge) if merge else out
+    return out.groupBy(batch).agg(*merge)
 
 
 def run_per_batch(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.sequence import lookup
+from sluiceway.operators.sequence import HOT_ROWS, lookup, with_position
 from sluiceway.schemas import CATALOG_ITEM, CATALOGUE_METADATA
 
 META = "item-metadata"
@@ -15,7 +15,8 @@ def parse_items(df: DataFrame, body: str = "body") -> DataFrame:
     """JSON bodies to (href, item-metadata)."""
     item = F.from_json(body, CATALOG_ITEM)
     kept = [c for c in df.columns if c not in (body, "href")]
-    return df.withColumn("_item", item).select(*kept, "_item.href", f"_item.`{META}`")
+    # generated rather than projected, so that filters on the parts do not copy the parser below themselves
+    return df.select(*kept, F.inline(F.array(item))).select(*kept, "href", f"`{META}`")
 
 
 def _href_part(at: int) -> Column:
@@ -71,27 +72,17 @@ def device_children(items: DataFrame) -> DataFrame:
     )
 
 
-def children_per_device(children: DataFrame, page_rows: int = 10_000) -> DataFrame:
-    """Children as sorted arrays per device, in pages of about ``page_rows``.
+def children_per_device(children: DataFrame, page_rows: int = 10_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Children as sorted arrays per device, in pages: page k holds the children from place k * ``page_rows`` on.
 
-    An ordinary device has one page; one with very many children has several, so
-    no row ever holds them all.
+    No row holds more than a page, and a device with very many children is put in order in ranges.
     """
-    pages = children.groupBy("device_id", "child_kind").agg(
-        F.ceil(F.count("*") / page_rows).alias("_pages")
-    ).where("_pages > 1")
-    if pages.isEmpty():
-        paged = children.withColumn("page", F.lit(0).cast("bigint"))
-    else:
-        paged = (
-            children.join(pages, ["device_id", "child_kind"], "left")
-            .withColumn("page", F.coalesce(F.pmod(F.xxhash64("child_id"), "_pages"), F.lit(0)))
-            .drop("_pages")
-        )
-    entry = F.struct("child_id", "port", "type")
+    entry = ["child_id", "port", "type"]
+    placed, _ = with_position(children, ["device_id", "child_kind"], entry, hot_rows)
+    paged = placed.withColumn("page", F.floor((F.col("_pos") - 1) / page_rows))
     return paged.groupBy("device_id", "child_kind", "page").agg(
         F.count("*").alias("children_count"),
-        F.array_sort(F.collect_list(entry)).alias("children"),
+        F.array_sort(F.collect_list(F.struct(*entry))).alias("children"),
     )
 
 

@@ -6,7 +6,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.operators.batches import batch_gate
+from sluiceway.operators.batches import batch_gate, run_per_batch
 from sluiceway.plans.record_queries import trip_csv, trips
 from sluiceway.plans.tables import landed, table, with_views
 from sluiceway.session import scratch
@@ -96,6 +96,35 @@ def q_blob_download(spark, sf):
     )
 
 
+def batch_files(spark: SparkSession, sf: str) -> str:
+    """One text file for each batch, a file name a line."""
+    def write(root):
+        def put(batches):
+            fs, base = pafs.FileSystem.from_uri(root)
+            fs.create_dir(base, recursive=True)
+            for batch in batches:
+                for b, names in zip(batch["batch_id"].to_pylist(), batch["names"].to_pylist()):
+                    with fs.open_output_stream(f"{base}/{b}") as out:
+                        out.write("".join(f"{n}\n" for n in names).encode())
+                yield batch.select(["batch_id"])
+
+        # a batch has ten items at most
+        rows = table(spark, sf, "batch_items").groupBy("batch_id").agg(F.collect_list("filename").alias("names"))
+        rows.mapInArrow(put, "batch_id bigint").write.format("noop").mode("overwrite").save()
+
+    return landed(spark, sf, "batch-files", write)
+
+
+def q_run_per_batch(spark, sf):
+    """``wc -l`` once for each batch."""
+    ids = table(spark, sf, "batch_items").select("batch_id").distinct()
+    done = run_per_batch(ids, ["wc", "-l"], batch_files(spark, sf).removeprefix("file:"))
+    return done.select(
+        "batch_id", F.regexp_extract("content", r"^\s*(\d+)", 1).cast("bigint").alias("lines"),
+        (F.substring_index("source_dir", "/", -1) == F.col("batch_id").cast("string")).alias("placed"),
+    )
+
+
 def q_read_dir_pairs(spark, sf):
     pairs = files.read_dir_pairs(spark, documents_by_lang(spark, sf))
     return pairs.agg(
@@ -242,6 +271,7 @@ ORACLES = {
         "WHERE batch_id IN (SELECT batch_id FROM detections WHERE is_person)",
     "q_blob_download": with_views("batch_items", "detections") + "SELECT filename, strlen(content) AS bytes, md5(content) AS digest "
         "FROM detections d JOIN batch_items b ON filename = 'img_' || d.item_id || '.json'",
+    "q_run_per_batch": _B + "SELECT batch_id, count(*) AS lines, true AS placed FROM batch_items GROUP BY batch_id",
     "q_read_dir_pairs": "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS named FROM documents",
     "q_read_sidecar_schema": _T + """SELECT CAST(0 AS BIGINT) AS position, 'taxi_identifier' AS name, 'string' AS unit, 'sv' AS kind, false AS is_time, count(*) AS readings FROM trips
         UNION ALL SELECT 1, 'timestamp', 'timestamp', 'sv', true, count(*) FROM trips

@@ -30,7 +30,8 @@ def parse_dataflows(df: DataFrame, document: str = "document") -> Dataflow:
         document, f"{DATAFLOW}, _bad string",
         {"allowComments": "true", "columnNameOfCorruptRecord": "_bad"},
     )
-    parsed = df.withColumn("_doc", doc)
+    # generated rather than projected, so that the tables below do not copy the parser
+    parsed = df.select("*", F.inline(F.array(F.struct(doc.alias("_doc")))))
     good = parsed.where("_doc._bad is null and _doc.processors is not null")
     stages = good.select(*kept, F.explode("_doc.processors").alias("p"))
     nodes = stages.select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sluiceway.operators import analytics, batches, clean
+from sluiceway.operators import analytics, batches, catalog, clean
 from sluiceway.operators.impute import impute_mean
 from sluiceway.plans.tables import table
 
@@ -51,8 +51,16 @@ def test_kalman_shuffles_once(spark):
 
 
 def test_stateless_steps_do_not_shuffle(spark):
-    for name in ("q_senml_parse", "q_senml_emit", "q_coerce_trip", "q_split_text", "q_range_filter", "q_label_filter", "q_route", "q_matrix_edges", "q_envelope_frame"):
+    for name in ("q_senml_parse", "q_senml_emit", "q_coerce_trip", "q_split_text", "q_range_filter", "q_label_filter", "q_route", "q_envelope_frame"):
         assert "Exchange" not in plan(entry.queries()[name](spark, SF)), name
+    cells = spark.createDataFrame([(1, "0,1")], "src long, line string")
+    assert "Exchange" not in plan(catalog.matrix_edges(cells))
+
+
+def test_documents_are_parsed_once(spark):
+    for name, tables in (("q_pivot_devices", 1), ("q_read_dag", 5)):
+        text = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("from_json") <= tables, name
 
 
 def test_gate_limits_before_the_shuffle(spark):

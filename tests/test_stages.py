@@ -59,8 +59,8 @@ def test_apply_batch_in_slices(spark, rows):
     out = batches.apply_batch(df, total, "batch_id long, rows long, largest long", merge=merge, slice_rows=100)
     got = {r["batch_id"]: r for r in out.collect()}
     assert got[1]["rows"] == 900 and got[1]["largest"] < 200 and sum(r["rows"] for r in got.values()) == 1000
-    with pytest.raises(ValueError):
-        batches.apply_batch(df, total, "batch_id long, rows long, largest long", slice_rows=100)
+    whole = batches.apply_batch(df, total, "batch_id long, rows long, largest long", merge)
+    assert {r["batch_id"]: r["rows"] for r in whole.collect()} == {b: r["rows"] for b, r in got.items()}
 
 
 def test_commands(spark, rows):
