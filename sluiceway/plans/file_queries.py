@@ -96,6 +96,10 @@ def q_blob_download(spark, sf):
     )
 
 
+def _coarse(spark, sf):
+    return table(spark, sf, "batch_items").withColumn("batch_id", F.floor(F.col("batch_id") / 50))
+
+
 def batch_files(spark: SparkSession, sf: str) -> str:
     """One text file for each batch, a file name a line."""
     def write(root):
@@ -108,8 +112,8 @@ def batch_files(spark: SparkSession, sf: str) -> str:
                         out.write("".join(f"{n}\n" for n in names).encode())
                 yield batch.select(["batch_id"])
 
-        # a batch has ten items at most
-        rows = table(spark, sf, "batch_items").groupBy("batch_id").agg(F.collect_list("filename").alias("names"))
+        # a batch has 500 items at most
+        rows = _coarse(spark, sf).groupBy("batch_id").agg(F.collect_list("filename").alias("names"))
         rows.mapInArrow(put, "batch_id bigint").write.format("noop").mode("overwrite").save()
 
     return landed(spark, sf, "batch-files", write)
@@ -117,7 +121,7 @@ def batch_files(spark: SparkSession, sf: str) -> str:
 
 def q_run_per_batch(spark, sf):
     """``wc -l`` once for each batch."""
-    ids = table(spark, sf, "batch_items").select("batch_id").distinct()
+    ids = _coarse(spark, sf).select("batch_id").distinct()
     done = run_per_batch(ids, ["wc", "-l"], batch_files(spark, sf).removeprefix("file:"))
     return done.select(
         "batch_id", F.regexp_extract("content", r"^\s*(\d+)", 1).cast("bigint").alias("lines"),
@@ -271,7 +275,7 @@ ORACLES = {
         "WHERE batch_id IN (SELECT batch_id FROM detections WHERE is_person)",
     "q_blob_download": with_views("batch_items", "detections") + "SELECT filename, strlen(content) AS bytes, md5(content) AS digest "
         "FROM detections d JOIN batch_items b ON filename = 'img_' || d.item_id || '.json'",
-    "q_run_per_batch": _B + "SELECT batch_id, count(*) AS lines, true AS placed FROM batch_items GROUP BY batch_id",
+    "q_run_per_batch": _B + "SELECT batch_id // 50 AS batch_id, count(*) AS lines, true AS placed FROM batch_items GROUP BY ALL",
     "q_read_dir_pairs": "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS named FROM documents",
     "q_read_sidecar_schema": _T + """SELECT CAST(0 AS BIGINT) AS position, 'taxi_identifier' AS name, 'string' AS unit, 'sv' AS kind, false AS is_time, count(*) AS readings FROM trips
         UNION ALL SELECT 1, 'timestamp', 'timestamp', 'sv', true, count(*) FROM trips
