@@ -34,7 +34,7 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul caption title".split()
 )
 SILENT = frozenset(
-    "script style noscript template textarea select option button svg math iframe object canvas head title "
+    "script style noscript template textarea select option button svg iframe object canvas head title "
     "audio video map datalist dialog".split()
 )
 ASIDE = frozenset("nav footer aside form menu fieldset".split())
@@ -189,6 +189,8 @@ class Blocks(HTMLParser):
                     if article:
                         free.add(container)
             free |= {c for c, size in held.items() if 2 * size > total}
+        #: whether a container of the block is named as something aside, whatever it holds
+        self.named = [bool(aside) for _, _, aside, _ in self.blocks]
         self.blocks = [(text, linked, bool(aside - free), article) for text, linked, aside, article in self.blocks]
 
 
@@ -207,7 +209,10 @@ def stop_density(words: list[str]) -> float:
 def first_pass(text: str, linked: int, aside: bool, article: bool, known: bool = True) -> str:
     """good, bad or open; in a language that is not ``known`` by length instead of stop words"""
     letters = len(text) - text.count(" ")
-    if aside or linked > LINK_DENSITY * letters or text.startswith("©"):
+    if aside:
+        return "bad"
+    # an article may list its sources and name its owner
+    if not article and (linked > LINK_DENSITY * letters or text.startswith("©")):
         return "bad"
     if not known:
         return "good" if letters + 2 * len(DENSE.findall(text)) >= LONG_LETTERS else "open"
@@ -246,15 +251,24 @@ def main_text(html: str | None) -> str:
     has_article = any(article and not aside for _, _, aside, article in page.blocks)
     long = (b[0].lower().split() for b in page.blocks if not b[2])
     known = any(len(words) >= LONG_WORDS and stop_density(words) >= STOP_LOW for words in long)
-    chosen = [False] * len(page.blocks)
+    found: dict[bool, list[int]] = {}
     for region in (True, False):
-        if has_article and not region:
-            continue
         # what stands aside is decided by its place and says nothing of its neighbours
         at = [i for i, (_, _, aside, article) in enumerate(page.blocks) if article == region and not aside]
-        for i, keep in zip(at, second_pass([first_pass(*page.blocks[i], known) for i in at], region)):
-            chosen[i] = keep
-    return "\n".join(b[0] for b, keep in zip(page.blocks, chosen) if keep)
+        kept = second_pass([first_pass(*page.blocks[i], known) for i in at], region)
+        found[region] = [i for i, keep in zip(at, kept) if keep]
+
+    def size(region: bool) -> int:
+        return sum(len(page.blocks[i][0]) for i in found[region])
+
+    # the region that holds most of the text, so that a teaser marked as an article does not hide the text beside it
+    chosen = found[has_article and size(True) >= size(False)]
+    if not chosen:
+        # a page of short blocks alone: nothing was decided, so all that does not stand aside is text
+        chosen = [
+            i for i, block in enumerate(page.blocks) if not page.named[i] and first_pass(*block, known) == "open"
+        ]
+    return "\n".join(page.blocks[i][0] for i in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
