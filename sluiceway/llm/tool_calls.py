@@ -4,9 +4,10 @@ Calls and results are joined by conversation and identifier; a call's place in t
 comes from its chain of ``after`` references by pointer doubling; arguments are parsed, checked against
 the tool's schema and written as canonical JSON (sorted keys, no spaces, no escapes that can be left out).
 
-Cases: of calls with one identifier the first by position (then by name and arguments) counts, the
-others are ``duplicate``; of several results the first counts; results without a call come out as
-``orphan``; a reference to a call that does not exist counts as none; calls on or behind a cycle of
+Every call and every result comes out once. Cases: of calls with one identifier the first by position (then by
+name and arguments) counts, the others are ``duplicate``, with their own arguments; of several results the first
+(by position, then content) counts, the others are ``repeated``; results without a call come out as ``orphan``, those
+with a null key one by one; both keep their content; a reference to a call that does not exist counts as none; calls on or behind a cycle of
 references are ``cyclic`` without a level; null and empty arguments are ``malformed``, as are numbers
 that are not finite and keys that repeat; a tool without schema is ``unknown``; null identifiers
 match nothing, so such calls have no result; other columns are ignored; empty tables give an empty result.
@@ -107,45 +108,62 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per orphan result: conv_id, call_id, level, status, problems, message.
+    """One row per call, and per result that no call takes: conv_id, call_id, level, status, problems, message.
 
     ``calls``: conv_id, call_id, position, name, arguments, after; ``results``: conv_id, call_id,
-    position, content. ``message`` is the call and its result as canonical JSON (null for duplicates
-    and orphans). A conversation's messages in the order of (level, call_id) respect all references.
+    position, content. ``message`` is the call and its result, or the result alone, as canonical JSON. A conversation's messages in the order of (level, call_id) respect all references.
     """
     key = ["conv_id", "call_id"]
-    nameless = calls.where(F.col("call_id").isNull() | F.col("conv_id").isNull())
-    named = calls.where(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull())
-    grouped = named.groupBy(*key).agg(
-        F.min(F.struct("position", "name", "arguments", "after")).alias("c"), F.count("*").alias("copies")
+    # numbered and landed, so that of equal rows one and the same is the first
+    calls = land(calls.select(*key, "position", "name", "arguments", "after").withColumn("row", F.monotonically_increasing_id()), "calls")
+    results = land(results.select(*key, "position", "content").withColumn("row", F.monotonically_increasing_id()), "results")
+    whole = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
+    first = land(
+        calls.where(whole).groupBy(*key).agg(F.min(F.struct("position", "name", "arguments", "after", "row")).alias("c"))
+        .select(*key, "c.*"), "first-calls",
     )
-    first = land(grouped.select(*key, "c.position", "c.name", "c.arguments", "c.after", "copies"), "calls")
-    answer = results.groupBy(*key).agg(F.min(F.struct("position", "content")).alias("r"))
-    answer = answer.select(*key, "r.content", F.lit(True).alias("answered"))
+    answer = land(
+        results.where(whole).groupBy(*key).agg(F.min(F.struct("position", "content", "row")).alias("r"))
+        .select(*key, "r.content", F.col("r.row").alias("answer")), "first-results",
+    )
+    kinds = dict(calls.dtypes)
+    columns = ["conv_id", "call_id", "level", "kind", "name", "arguments", "content", "answered"]
+
+    def shaped(rows: DataFrame, kind, level=F.lit(None), answered=F.lit(False)) -> DataFrame:
+        given = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("name", "arguments", "content")}
+        made = {"kind": kind, "level": level.cast("long"), "answered": answered, **given}
+        return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+
     joined = first.withColumn("called", F.lit(True)).join(levels(first), key).join(answer, key, "full")
-    lone = nameless.select(
-        *key, "position", "name", "arguments", "after", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("called"),
-        F.lit(0).cast("long").alias("level"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("answered"),
+    linked = shaped(joined, F.when(F.col("called"), "call").otherwise("orphan"), F.col("level"), F.col("answer").isNotNull())
+    rows = (
+        linked
+        .unionByName(shaped(calls.where(~whole), F.lit("call"), F.lit(0)))
+        .unionByName(shaped(calls.where(whole).join(first.select("row"), "row", "left_anti"), F.lit("duplicate")))
+        .unionByName(shaped(results.where(~whole), F.lit("orphan")))
+        .unionByName(shaped(
+            results.where(whole).join(answer.select(F.col("answer").alias("row")), "row", "left_anti"), F.lit("repeated")
+        ))
     )
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             status, wrong, messages = [], [], []
-            for row in batch.select(["call_id", "name", "arguments", "content", "called", "answered", "level"]).to_pylist():
-                found, message = [], None
-                if not row["called"]:
-                    state = "orphan"
+            for row in batch.select(columns[1:]).to_pylist():
+                found, state = [], row["kind"]
+                if state in ("orphan", "repeated"):
+                    message = canonical({"id": row["call_id"], "result": row["content"]})
                 else:
                     try:
-                        arguments = parse(row["arguments"])
+                        arguments, fit = parse(row["arguments"]), True
                     except (ValueError, RecursionError):
-                        state, arguments = "malformed", None
-                    else:
+                        arguments, fit = None, False
+                    if state == "call":
                         schema = schemas.get(row["name"])
-                        found = problems(arguments, schema) if schema is not None else []
-                        state = "unknown" if schema is None else "invalid" if found else "ok"
-                    if row["level"] is None:
-                        state = "cyclic"
+                        found = problems(arguments, schema) if fit and schema is not None else []
+                        state = "malformed" if not fit else "unknown" if schema is None else "invalid" if found else "ok"
+                        if row["level"] is None:
+                            state = "cyclic"
                     message = canonical({
                         "arguments": arguments, "id": row["call_id"], "name": row["name"],
                         "result": row["content"] if row["answered"] else None,
@@ -154,24 +172,32 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 wrong.append("; ".join(found))
                 messages.append(message)
             yield pa.RecordBatch.from_arrays(
-                [batch[c] for c in ("conv_id", "call_id", "level", "copies")]
-                + [pa.array(c, pa.string()) for c in (status, wrong, messages)],
-                ["conv_id", "call_id", "level", "copies", "status", "problems", "message"],
+                [batch[c] for c in ("conv_id", "call_id", "level")] + [pa.array(c, pa.string()) for c in (status, wrong, messages)],
+                ["conv_id", "call_id", "level", "status", "problems", "message"],
             )
 
-    columns = ["conv_id", "call_id", "level", "copies", "name", "arguments", "content", "called", "answered"]
-    kinds = dict(calls.dtypes)
-    out = joined.select(*columns).unionByName(lone.select(*columns)).mapInArrow(
+    return rows.mapInArrow(
         written,
-        f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, level long, copies long, status string, "
-        "problems string, message string",
+        f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, level long, status string, problems string, message string",
     )
-    # one more row for each further copy of a call
-    extra = first.where("copies > 1").select(*key, F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("nth")).select(
-        *key, F.lit(None).cast("long").alias("level"), F.lit("duplicate").alias("status"), F.lit("").alias("problems"),
-        F.lit(None).cast("string").alias("message"),
+
+
+def plain_turns(turns: DataFrame) -> DataFrame:
+    """Turns that neither call nor answer, in the same columns: their status is ``turn``."""
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["role", "text"]).to_pylist()
+            n, none = len(rows), pa.nulls(len(rows), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch["conv_id"], none, pa.nulls(n, pa.int64()), pa.array(["turn"] * n, pa.string()), pa.array([""] * n, pa.string()),
+                 pa.array([canonical({"content": r["text"], "role": r["role"]}) for r in rows], pa.string())],
+                ["conv_id", "call_id", "level", "status", "problems", "message"],
+            )
+
+    kind = dict(turns.dtypes)["conv_id"]
+    return turns.select("conv_id", "role", "text").mapInArrow(
+        written, f"conv_id {kind}, call_id string, level long, status string, problems string, message string"
     )
-    return out.drop("copies").unionByName(extra)
 
 
 #: The tools of the query: a short turn looks something up, a long one starts a search.
@@ -189,7 +215,7 @@ SCHEMAS = {
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn calls a tool, the assistant's next turn is its result, and a call builds on that
-    of the user turn before."""
+    of the user turn before. Turns of other roles are kept as they are."""
     turns = table(spark, sf_dir, "conversations")
     call_id = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     short = F.length(F.coalesce("text", F.lit(""))) < 200
@@ -203,7 +229,8 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
-    return link_calls(calls, results, SCHEMAS)
+    others = turns.where("role is null or role not in ('user', 'assistant')")
+    return link_calls(calls, results, SCHEMAS).unionByName(plain_turns(others))
 
 
 QUERIES = {"op9_tool_calls": op9_tool_calls}
@@ -222,8 +249,9 @@ WITH u AS (
 ), levels AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM calls
 ), results AS (
-  SELECT conv_id, turn - 1 AS turn, min(coalesce(text, '')) AS content
-  FROM conversations WHERE role = 'assistant' GROUP BY ALL
+  SELECT conv_id, turn - 1 AS turn, coalesce(text, '') AS content,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(text, '')) AS nth
+  FROM conversations WHERE role = 'assistant'
 )
 SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(l.turn, r.turn) AS call_id, l.level,
        CASE WHEN l.turn IS NULL THEN 'orphan'
@@ -235,9 +263,18 @@ SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, 'call-' || coalesce(l.turn, r.
                  CASE WHEN name = 'lookup' AND l.turn < 0 THEN '$.turn: below minimum' END) END AS problems,
        CASE WHEN l.turn IS NOT NULL THEN
          '{"arguments":{"query":' || to_json(query) || ',"turn":' || l.turn || '},"id":"call-' || l.turn || '","name":"' || name
-         || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' END AS message
-FROM levels l FULL JOIN results r ON l.conv_id = r.conv_id AND l.turn = r.turn
+         || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}'
+         ELSE '{"id":"call-' || r.turn || '","result":' || to_json(content) || '}' END AS message
+FROM levels l FULL JOIN (SELECT * FROM results WHERE nth = 1) r ON l.conv_id = r.conv_id AND l.turn = r.turn
+UNION ALL
+SELECT conv_id, 'call-' || turn, NULL, 'duplicate', '', '{"arguments":{"query":' || to_json(query) || ',"turn":' || turn
+       || '},"id":"call-' || turn || '","name":"' || name || '","result":null}' FROM ranked WHERE nth > 1
+UNION ALL
+SELECT conv_id, 'call-' || turn, NULL, 'repeated', '', '{"id":"call-' || turn || '","result":' || to_json(content) || '}'
+FROM results WHERE nth > 1
 UNION ALL
-SELECT conv_id, 'call-' || turn, NULL, 'duplicate', '', NULL FROM ranked WHERE nth > 1
+SELECT conv_id, NULL, NULL, 'turn', '', '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":'
+       || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """,
 }

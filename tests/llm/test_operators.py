@@ -367,12 +367,20 @@ def test_tool_calls(spark):
         (2, "g", 0, "t", None, None), (2, "h", 0, "t", '{"x":1e999}', None),
     ], "conv_id long, call_id string, position long, name string, arguments string, after string")
     results = spark.createDataFrame(
-        [(1, "a", 1, "ok"), (1, "a", 2, "late"), (1, "z", 3, "who"), (2, "a", 1, None)],
+        [(1, "a", 1, "ok"), (1, "a", 2, "late"), (1, "z", 3, "who"), (2, "a", 1, None), (None, "a", 1, "m"), (None, "a", 2, "m"),
+         (1, None, 1, "n"), (1, None, 1, "n"), (1, None, 2, None)],
         "conv_id long, call_id string, position long, content string",
     )
     schema = {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}
-    got = {(r.conv_id, r.call_id, r.status): r for r in tool_calls.link_calls(calls, results, {"t": schema}).collect()}
-    assert set(got) == {
+    rows = tool_calls.link_calls(calls, results, {"t": schema}).collect()
+    got = {(r.conv_id, r.call_id, r.status): r for r in rows}
+    # eleven calls; of nine results two are taken
+    assert len(rows) == 18 and sum(r.status == "orphan" and r.call_id == "a" for r in rows) == 2
+    assert sorted(r.message for r in rows if r.conv_id == 1 and r.call_id is None) == [
+        '{"id":null,"result":"n"}', '{"id":null,"result":"n"}', '{"id":null,"result":null}']
+    assert got[1, "a", "duplicate"].message == '{"arguments":{"x":5},"id":"a","name":"t","result":null}'
+    assert got[1, "a", "repeated"].message == '{"id":"a","result":"late"}' and got[1, "z", "orphan"].message == '{"id":"z","result":"who"}'
+    assert set(got) == {(1, "a", "repeated"), (1, None, "orphan"), (None, "a", "orphan"),
         (1, "a", "ok"), (1, "b", "invalid"), (1, "c", "unknown"), (1, "d", "malformed"), (1, "e", "cyclic"),
         (1, "f", "cyclic"), (1, "a", "duplicate"), (1, "z", "orphan"), (2, "a", "malformed"), (2, None, "ok"),
         (2, "g", "malformed"), (2, "h", "malformed"),
