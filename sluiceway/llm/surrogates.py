@@ -6,7 +6,14 @@ from a keyed hash of the entity's canonical form, so the same entity in any form
 surrogate in each mention's own format (digits stay digits, letters keep case and script, separators
 and the country code of a telephone number stay; a card number that satisfies its check digit still does; a name keeps the gender of its title). Two
 checks over the table of distinct entities make surrogates distinct from each other and from every
-entity of their type: losers are hashed again with the next attempt until there are none.
+entity of their type: losers are hashed again with the next attempt until there are none. Where a format is
+so crowded that losers remain after ``CROWDED`` attempts (as when over half of its forms are entities), the
+entities of that format take each other's place instead: still one to one, and none keeps its own.
+
+A name word may hold capitals, apostrophes and hyphens (O'Neil, McDonald, Jean-Paul) or be all capitals; a
+possessive 's is not part of it. Initials between title and name stay. Groups of digits count as a telephone number if
+they have a plus sign, an area code in parentheses, a leading zero, hyphens, or ten digits; thousands between dots and
+book numbers are left alone.
 
 Cases: null texts stay null; a text without entities stays as it is; equal texts are rewritten alike;
 rows that repeat an id are all returned; other columns pass through; an empty table gives an empty result.
@@ -17,30 +24,39 @@ the text. Only texts with entities are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import fresh, land, table
 
 KEY = "change me"
 ATTEMPTS = 50
+#: After so many attempts the entities of a crowded format take each other's place.
+CROWDED = 30
+#: About so many entities of a crowded format change places among themselves in one task.
+CIRCLE = 10_000
 
 MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Signor|Don|господин|κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Señorita|Signora|Doña|госпожа|κυρία"
 NEUTRAL = "Dr|Prof|Professor|Mx"
-NAME_WORD = r"\p{Lu}[\p{Ll}'’-]{1,30}+"
+NAME_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L})(?![sS](?!\p{L}))){1,40}+"
+INITIALS = r"(?:\p{Lu}\. ){0,3}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 ALONE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Neither thousands between dots nor the inside of a book number; TEN: at least ten digits in three groups.
+FIGURE = r"(?=\d)(?!\d{1,3}(?:\.\d{3})+(?!\d))(?<!97[89][ -])(?<!97[89][ -]\d{1,5}[ -])"
+TEN = r"\d{2}[ .-]\d{4}[ .-]\d{4}|\d{3}[ .-](?:\d{3}[ .-]\d{4}|\d{4}[ .-]\d{3})|\d{4}[ .-]\d{3,4}[ .-]\d{3}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}+",
     "secret": ALONE + r"(?:[0-9a-fA-F]{32,128}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}+)" + END,
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{OCTET}\.){{3}}{OCTET}" + r"(?!\p{L}|\p{N}|\.\d)",
     "iban": ALONE + r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?" + END,
-    "card": ALONE + r"\d(?:[ -]?\d){12,18}" + END,
+    "card": ALONE + r"(?!97[89][ -]\d{1,5}[ -]\d{1,7}[ -]\d{1,7}[ -]\d(?!\d))" + r"\d(?:[ -]?\d){12,18}" + END,
     "national_id": ALONE + r"\d{3}-\d{2}-\d{4}" + END,
-    "phone": r"(?<![\p{L}\p{N}+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}" + END
+    "phone": r"(?<![\p{L}\p{N}+(])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{2,4}[ .-]\d{3,4}"
+    + rf"|{FIGURE}(?=0|\d{{2,4}}-\d{{3,4}}-|{TEN})\d{{2,4}}[ .-]\d{{3,4}})[ .-]\d{{3,4}}" + END
     + r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\d{2,4}[ .-]?\d{4,9}" + END,
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {NAME_WORD}(?: {NAME_WORD})?",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {INITIALS}{NAME_WORD}(?: {INITIALS}{NAME_WORD})?",
 }
 #: The country code that begins an international number: no code begins another, so digits alone tell it.
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -89,6 +105,7 @@ def _parts(raws: DataFrame) -> DataFrame:
     for name, pattern in reversed(list(PATTERNS.items())[:-1]):
         kind = F.when(_is(raw, pattern), F.lit(name)).otherwise(kind)
     words = F.split(raw, " ")
+    initial = r"^\p{Lu}\.$"
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(_is(title, MALE), "m").when(_is(title, FEMALE), "f").otherwise("n")
     # kinds are evaluated once for each distinct mention
@@ -103,9 +120,9 @@ def _parts(raws: DataFrame) -> DataFrame:
         .withColumn("last", F.col("place") == F.size(F.split("raw", " ")) - 1)
         .select(
             "raw", "place",
-            F.when(F.col("place") == 0, "title").when(F.col("last"), "family")
+            F.when((F.col("place") == 0) | F.col("cell").rlike(initial), "title").when(F.col("last"), "family")
             .otherwise(F.concat(F.lit("given_"), "gender")).alias("kind"),
-            F.lower("cell").alias("canon"), "cell",
+            F.lower(F.translate("cell", "’", "'")).alias("canon"), "cell",
         )
     )
     return single.unionByName(named)
@@ -168,6 +185,10 @@ def _candidate(key: str) -> Column:
             F.sequence(F.lit(1), size), lambda i: F.element_at(cells, F.conv(F.substring(stream, i, F.lit(1)), 16, 10).cast("int") + 1)
         ), "")
         ending = F.when(kind == "given_m", endings["m"]).when(kind == "given_f", endings["f"]).otherwise(endings["n"])
+        second = F.array_join(F.transform(
+            F.sequence(F.lit(101), size + 100), lambda i: F.element_at(cells, F.conv(F.substring(stream, i, F.lit(1)), 16, 10).cast("int") + 1)
+        ), "")
+        built = F.when(canon.contains("-"), F.concat(built, F.lit("-"), second)).otherwise(built)
         made = F.concat(built, F.when(kind == "family", F.lit("")).otherwise(ending))
         name = made if script_name == "Latin" else F.when(script == script_name, made).otherwise(name)
 
@@ -188,30 +209,73 @@ def _digits(canon: Column) -> Column:
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): one to one within a kind, and no surrogate
-    is itself an entity of the kind."""
+    is itself an entity of the kind, but in crowded formats, where entities change places."""
     space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
-    now = land(entities.withColumn("attempt", F.lit(0)).withColumn("space", space).withColumn("surrogate", _candidate(key)), "surrogates")
-    for _ in range(ATTEMPTS):
+    now = land(
+        _spread(entities, "kind", "canon").withColumn("attempt", F.lit(0)).withColumn("space", space)
+        .withColumn("swapped", F.col("kind") == "title").withColumn("surrogate", _candidate(key)),
+        "surrogates",
+    )
+    for attempt in range(1, ATTEMPTS + 1):
         now = now.withColumn("form", _digits(F.col("surrogate")))
-        shared = now.where("kind <> 'title'").groupBy("space", "form").agg(
-            F.count("*").alias("n"), F.min(F.struct("canon", "kind")).alias("first")
-        ).where("n > 1")
+        drawn = now.where(~F.col("swapped"))
+        shared = drawn.groupBy("space", "form").agg(F.count("*").alias("n"), F.min(F.struct("canon", "kind")).alias("first")).where("n > 1")
         real = now.where("kind <> 'title'").select("space", _digits(F.col("canon")).alias("form")).distinct().withColumn("real", F.lit(True))
         lost = (
-            now.where("kind <> 'title'").join(shared, ["space", "form"], "left").join(real, ["space", "form"], "left")
+            drawn.join(shared, ["space", "form"], "left").join(real, ["space", "form"], "left")
             .where(F.col("real") | F.col("n").isNotNull() & (F.struct("canon", "kind") != F.col("first")))
             .select("kind", "canon")
         )
         lost = land(lost, "surrogates-lost")
         if lost.isEmpty():
-            return now.select("kind", "canon", "surrogate")
+            break
+        if attempt == CROWDED:
+            now = land(_swapped(now.drop("form"), lost, key), "surrogates")
+            continue
         now = land(
-            now.join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
-            .withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "surrogate", "form")
-            .withColumn("surrogate", _candidate(key)),
+            now.drop("form").join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
+            .withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+            .withColumn("surrogate", F.when(F.col("again") == 1, _candidate(key)).otherwise(F.col("surrogate"))).drop("again"),
             "surrogates",
         )
-    raise RuntimeError("surrogates run out: too many entities share one short format")
+    else:
+        raise RuntimeError("surrogates run out: names of a script outnumber all that can be made")
+    return now.select("kind", "canon", "surrogate")
+
+
+def _format() -> Column:
+    """What a surrogate of (kind, canon) keeps: places of digits and letters, country, script, a valid check digit."""
+    kind, canon = F.col("kind"), F.col("canon")
+    kept = (
+        F.when(kind == "iban", canon.substr(1, 2)).when(kind == "phone", F.regexp_extract(canon, COUNTRY, 0))
+        .when(kind == "card", (_luhn(canon, False) % 10 == 0).cast("string"))
+        .when(kind == "secret", canon.rlike("^[0-9a-f]+$").cast("string")).otherwise("")
+    )
+    shape = F.when(kind == "ip", "").otherwise(F.regexp_replace(F.regexp_replace(canon, r"\p{N}", "9"), r"\p{L}", "a"))
+    return F.concat_ws("|", kept, _script(canon), shape)
+
+
+def _swapped(now: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``now`` with all entities of each format that holds lost ones in circles, where each takes the next one's
+    canonical form. Names, which grow with the attempt, and addresses of mail are hashed on."""
+    grows = F.col("kind").isin("email", "family", "given_m", "given_f", "given_n", "title")
+    crowded = lost.where(~grows).withColumn("format", _format()).select("kind", "format").distinct().withColumn("crowded", F.lit(True))
+    dealt = now.withColumn("format", _format()).join(crowded, ["kind", "format"], "left")
+    sizes = dealt.where("crowded").groupBy("kind", "format").agg(F.ceil(F.count("*") / CIRCLE).cast("int").alias("circles"))
+    order = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256)
+    circle = (
+        dealt.where("crowded").join(sizes, ["kind", "format"]).withColumn("order", order)
+        .withColumn("circle", F.pmod(F.xxhash64("order"), F.col("circles")))
+    )
+    ring = Window.partitionBy("kind", "format", "circle")
+    moved = circle.withColumn("first", F.first("canon").over(ring.orderBy("order"))).withColumn(
+        "surrogate", F.coalesce(F.lead("canon").over(ring.orderBy("order")), "first")
+    ).withColumn("swapped", F.lit(True))
+    # names and mail that lost are drawn again
+    rest = dealt.where("crowded is null").join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left").withColumn(
+        "attempt", F.col("attempt") + F.coalesce("again", F.lit(0))
+    ).withColumn("surrogate", F.when(F.col("again") == 1, _candidate(key)).otherwise(F.col("surrogate")))
+    return rest.select(now.columns).unionByName(moved.select(now.columns))
 
 
 def _rendered() -> Column:
@@ -230,16 +294,24 @@ def _rendered() -> Column:
     return (
         F.when(kind == "title", cell).when(kind == "ip", surrogate)
         .when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
-        .when(kind.isin("family", "given_m", "given_f", "given_n"), F.initcap(surrogate))
+        .when(
+            kind.isin("family", "given_m", "given_f", "given_n"),
+            F.when(upper, F.upper(surrogate)).otherwise(F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-")),
+        )
         .otherwise(shaped)
     )
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions: few bytes that cost much work are not merged into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def replacements(raws: DataFrame, key: str = KEY) -> DataFrame:
     """(raw, replacement) for distinct mentions."""
-    parts = land(_parts(raws), "mention-parts")
+    parts = land(_parts(_spread(raws, "raw")), "mention-parts")
     made = surrogate_table(parts.select("kind", "canon").distinct(), key)
-    return parts.join(made, ["kind", "canon"]).withColumn("new", _rendered()).groupBy("raw").agg(
+    return _spread(parts.join(made, ["kind", "canon"]), "raw").withColumn("new", _rendered()).groupBy("raw").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda p: p["new"]), " ").alias("replacement")
     )
 
