@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sluiceway.llm.common import blobs, fresh, table, utf8
+from sluiceway.llm.common import blobs, fresh, land, table, utf8
 
 CHUNK = 512
 STEP = 448
@@ -30,11 +30,13 @@ STRIDE = 2
 CELLS = 8
 FILTERS = 40
 HIDDEN = 24
-#: The sample that training sees: so many labelled documents, so many chunks of each, spread over it.
+#: The sample that training sees: so many labelled documents at most, of so many bytes together, each whole.
 MAX_TRAINING_ROWS = 4000
-MAX_TRAINING_CHUNKS = 8
+MAX_TRAINING_BYTES = 16 << 20
 STEPS = 500
+#: Documents of a step: fewer, but four at least, where they are long, so that a step holds about BATCH_CHUNKS chunks.
 BATCH = 48
+BATCH_CHUNKS = 1024
 SLICE = 64
 
 
@@ -106,7 +108,7 @@ def scores(texts: list[bytes], model: dict) -> np.ndarray:
 
 
 def train(chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict:
-    """Fit by Adam on the logistic loss; chunks holds each document's sampled chunks."""
+    """Fit by Adam on the logistic loss; chunks holds all chunks of each document."""
     if len(set(labels.tolist())) < 2:
         return {"share": float(labels.mean()) if len(labels) else 0.5}
     rng = np.random.default_rng(seed)
@@ -120,12 +122,14 @@ def train(chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, steps
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
     by_class = [np.flatnonzero(labels == c) for c in (0, 1)]
+    batch = max(4, min(BATCH, int(BATCH_CHUNKS / np.mean([len(c) for c in chunks]))))
     for step in range(1, steps + 1):
         # a quarter of each batch from class 0 at least, so that a rare class is seen
-        rare = max(BATCH // 4, round(BATCH * len(by_class[0]) / len(labels)))
-        rare = min(rare, BATCH - BATCH // 4)
-        chosen = np.concatenate([rng.choice(by_class[0], rare), rng.choice(by_class[1], BATCH - rare)])
-        grads = _gradients(model, [chunks[i] for i in chosen], sizes[chosen], labels[chosen])
+        rare = max(batch // 4, round(batch * len(by_class[0]) / len(labels)))
+        rare = min(rare, batch - batch // 4)
+        chosen = np.concatenate([rng.choice(by_class[0], rare), rng.choice(by_class[1], batch - rare)])
+        chosen, drawn = np.unique(chosen, return_counts=True)
+        grads = _gradients(model, [chunks[i] for i in chosen], sizes[chosen], labels[chosen], drawn)
         rate = 0.004 * (1 - 0.9 * step / steps)
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -137,32 +141,38 @@ def train(chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, steps
     return model
 
 
-def _gradients(model: dict, chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> dict:
+def _gradients(model: dict, chunks: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, drawn: np.ndarray) -> dict:
+    """Of the mean loss over the documents, each counted as often as it was drawn."""
     counts, flat = np.array([len(c) for c in chunks]), np.concatenate(chunks)
     owner = np.repeat(np.arange(len(chunks)), counts)
-    seen = windows(flat, model["embedding"])
-    n, positions, width = seen.shape
-    response = (seen.reshape(-1, width) @ model["filters"]).reshape(n, positions, -1)
-    best = response.argmax(axis=1)
-    features = np.maximum(np.take_along_axis(response, best[:, None], axis=1)[:, 0] + model["bias"], 0)
+    n = len(flat)
+    best, features = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), model["filters"].dtype)
+    for at in range(0, n, SLICE):
+        seen = windows(flat[at:at + SLICE], model["embedding"])
+        response = (seen.reshape(-1, seen.shape[2]) @ model["filters"]).reshape(len(seen), -1, FILTERS)
+        best[at:at + SLICE] = response.argmax(axis=1)
+        features[at:at + SLICE] = np.take_along_axis(response, best[at:at + SLICE, None], axis=1)[:, 0]
+    features = np.maximum(features + model["bias"], 0)
     rows = combined(features, counts, sizes)
     hidden = np.maximum(rows @ model["w1"] + model["b1"], 0)
     p = 1 / (1 + np.exp(-np.clip(hidden @ model["w2"] + model["b2"], -30, 30)))
-    d = ((p - labels) / len(labels)).astype(np.float32)
+    d = ((p - labels) * drawn / drawn.sum()).astype(np.float32)
     grads = {"w2": hidden.T @ d, "b2": d.sum()}
     d_hidden = np.outer(d, model["w2"]) * (hidden > 0)
     grads |= {"w1": rows.T @ d_hidden, "b1": d_hidden.sum(axis=0)}
     d_rows = d_hidden @ model["w1"].T
-    top = features == rows[owner, FILTERS:2 * FILTERS]
+    top = features.astype(np.float32) == rows[owner, FILTERS:2 * FILTERS]
+    # chunks overlap, so two may hold the maximum; they share its gradient
+    top = top / np.add.reduceat(top, np.cumsum(counts) - counts, axis=0, dtype=np.float32)[owner]
     d_features = (d_rows[owner, :FILTERS] / counts[owner][:, None] + d_rows[owner, FILTERS:2 * FILTERS] * top) * (features > 0)
     grads["bias"] = d_features.sum(axis=0)
-    under = seen[np.arange(n)[:, None], best]  # (chunks, filters, width): the window each filter chose
-    grads["filters"] = np.einsum("nfw,nf->wf", under, d_features)
     spots = best[:, :, None] * STRIDE + np.arange(WIDTH)
-    at_bytes = flat[np.arange(n)[:, None, None], spots].ravel()
+    at_bytes = flat[np.arange(n)[:, None, None], spots]
+    under = model["embedding"][at_bytes].reshape(n, FILTERS, -1)  # the window each filter chose
+    grads["filters"] = np.einsum("nfw,nf->wf", under, d_features)
     d_cells = (d_features[:, :, None] * model["filters"].T[None]).reshape(-1, CELLS)
     grads["embedding"] = np.stack(
-        [np.bincount(at_bytes, weights=d_cells[:, c], minlength=256) for c in range(CELLS)], axis=1
+        [np.bincount(at_bytes.ravel(), weights=d_cells[:, c], minlength=256) for c in range(CELLS)], axis=1
     ).astype(np.float32)
     return grads
 
@@ -172,35 +182,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> dict:
-    """Train on at most ``max_rows`` labelled documents, drawn by a hash of their ids."""
+def training_ids(sizes: list[tuple], most: int = MAX_TRAINING_BYTES) -> list:
+    """Ids of the (id, size) rows, in their order, that fit into ``most`` bytes together."""
+    out, left = [], most
+    for doc_id, size in sizes:
+        if size <= left:
+            out.append(doc_id)
+            left -= size
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES) -> dict:
+    """Train on at most ``max_rows`` labelled documents, drawn by a hash of their ids, that together hold at most
+    ``max_bytes``; each is seen whole. Of rows that repeat an id, the greatest text counts."""
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = blobs(batch["data"])
-            cut = []
-            for text in texts:
-                all_chunks = chunks_of(text)
-                spread = np.linspace(0, len(all_chunks) - 1, min(len(all_chunks), MAX_TRAINING_CHUNKS)).round().astype(int)
-                cut.append(all_chunks[spread].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["quality"], pa.array([len(t) for t in texts], pa.int64()), pa.array(cut, pa.binary())],
-                ["doc_id", "quality", "size", "chunks"],
-            )
-
-    # at most max_rows rows of two numbers
-    rows = docs.select("doc_id", utf8("text").alias("data")).join(F.broadcast(known), "doc_id").mapInArrow(
-        sample, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, size long, chunks binary"
-    ).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["size"], bytes(r["chunks"])))
+    drawn = land(
+        docs.select("doc_id", utf8("text").alias("data")).join(F.broadcast(known), "doc_id")
+        .groupBy("doc_id").agg(F.max("data").alias("data"), F.max("quality").alias("quality"))
+        .withColumn("size", F.octet_length("data").cast("long")).withColumn("draw", F.xxhash64("doc_id")),
+        "quality-sample",
+    )
+    # one row of at most max_rows ids, then their texts, max_bytes at most
+    sizes = sorted((r["draw"], r["doc_id"], r["size"]) for r in drawn.select("draw", "doc_id", "size").collect())
+    chosen = training_ids([(doc_id, size) for _, doc_id, size in sizes], max_bytes)
+    rows = drawn.where(F.col("doc_id").isin(chosen)).select("doc_id", "quality", "data").collect() if chosen else []
+    rows.sort(key=lambda r: r["doc_id"])
+    texts = [bytes(r["data"]) for r in rows]
     return train(
-        [np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows],
-        np.array([r["size"] for r in rows]), np.array([min(1, max(0, r["quality"])) for r in rows]),
+        [chunks_of(t) for t in texts], np.array([len(t) for t in texts]), np.array([min(1, max(0, r["quality"])) for r in rows])
     )
 
 

@@ -224,6 +224,82 @@ def test_quality_cases(docs, none):
     assert quality.keep_good(spark, none, labels).count() == 0
 
 
+def small_network(texts, seed=5):
+    """Random weights in double precision, and the chunks of the texts."""
+    labels = np.arange(len(texts)) % 2
+    sizes = np.array([len(t) for t in texts])
+    model = quality.train([quality.chunks_of(t) for t in texts], sizes, labels, steps=3, seed=seed)
+    return {k: v.astype(np.float64) for k, v in model.items()}, sizes, labels
+
+
+def slow_probability(text, model):
+    """The network written out, position by position."""
+    rows = []
+    for start in range(0, max(1, len(text) - quality.CHUNK + quality.STEP), quality.STEP) if len(text) > quality.CHUNK else [0]:
+        chunk = text[start:start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        rows.append([max(0.0, model["bias"][f] + max(
+            sum(model["embedding"][chunk[p + w]] @ model["filters"][w * quality.CELLS:(w + 1) * quality.CELLS, f] for w in range(quality.WIDTH))
+            for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+        )) for f in range(quality.FILTERS)])
+    row = np.concatenate([np.mean(rows, axis=0), np.max(rows, axis=0), [np.log1p(len(text)) / 10]])
+    hidden = np.maximum(row @ model["w1"] + model["b1"], 0)
+    return 1 / (1 + np.exp(-(hidden @ model["w2"] + model["b2"])))
+
+
+def test_quality_by_brute_force():
+    rng = np.random.default_rng(1)
+    texts = [b"", b"short text", bytes(rng.integers(1, 255, 700).tolist())]
+    model, _, _ = small_network(texts)
+    assert np.allclose(quality.scores(texts, model), [slow_probability(t, model) for t in texts], atol=1e-5)
+
+
+def test_quality_gradients(monkeypatch):
+    """Gradients equal small differences of the loss, over texts of more chunks than a slice holds."""
+    monkeypatch.setattr(quality, "SLICE", 3)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(1, 255, n).tolist()) for n in (40, 600, 3000, 5000)]
+    model, sizes, labels = small_network(texts)
+    chunks = [quality.chunks_of(t) for t in texts]
+
+    def loss():
+        p = quality.scores(texts, model)
+        return -np.mean(np.where(labels == 1, np.log(p), np.log(1 - p)))
+
+    grads = quality._gradients(model, chunks, sizes, labels, np.ones(len(texts)))
+    for name in ("embedding", "filters", "bias", "w1", "b1", "w2"):
+        steepest = np.argsort(-np.abs(grads[name]).ravel())[:4]
+        for at in steepest:
+            cell, eps = model[name].reshape(-1), 2e-3
+            kept = cell[at]
+            cell[at] = kept + eps
+            up = loss()
+            cell[at] = kept - eps
+            down = loss()
+            cell[at] = kept
+            assert np.isclose((up - down) / (2 * eps), grads[name].ravel()[at], rtol=0.1, atol=2e-3), name
+
+
+def test_quality_trains_on_whole_documents(spark, monkeypatch):
+    """All chunks of a long text, one row of a repeated id, and no more bytes than the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda chunks, sizes, labels: seen.append((chunks, sizes, labels)) or {"share": 0.5})
+    ids = [i for i in range(40) if quality_rest(i) != 1][:4]
+    long = "long words " * 4000
+    docs = spark.createDataFrame([(ids[0], long)] + [(ids[1], "b")] * 50 + [(ids[2], None), (ids[3], "x" * 90_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    chunks, sizes, _ = seen[0]
+    assert sorted(sizes) == sorted([len(long), 1, 0, 90_000]) and max(map(len, chunks)) == len(quality.chunk_starts(90_000))
+    quality.fit(docs, labels, max_bytes=50_000)
+    assert sorted(seen[1][1]) == [0, 1, len(long)]
+
+
+def quality_rest(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 3
+
+
 @pytest.mark.parametrize("size", [0, 1, 511, 512, 513, 960, 961, 5000])
 def test_chunks_cover_all(size):
     data = bytes(1 + i % 250 for i in range(size))
@@ -442,6 +518,80 @@ def test_surrogates(docs, none):
     assert surrogates.with_surrogates(docs).columns == docs.columns
 
 
+def rewritten(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.with_surrogates(frame).orderBy("doc_id").collect()]
+
+
+def test_whole_names(spark):
+    texts = [
+        "Mr. O'Neil met Ms McDonald and Dr Jean-Paul Roux there", "Mr JOHN SMITH and Mr John Smith's dog, Mr J. Smith too",
+        "Sir D’Angelo, Sir D'Angelo; Prof MacLeod.",
+    ]
+    got = rewritten(spark, texts)
+    name = r"([A-Z][a-z]+)"
+    first = re.fullmatch(rf"Mr\. {name} met Ms {name} and Dr {name}-{name} {name} there", got[0])
+    assert first and not {"Neil", "Donald", "Jean", "Paul", "Roux"} & set(re.findall(r"[A-Z][a-z]+", got[0]))
+    second = re.fullmatch(rf"Mr ([A-Z]+) ([A-Z]+) and Mr {name} {name}'s dog, Mr J\. {name} too", got[1])
+    assert second and second[1].capitalize() == second[3] and second[2].capitalize() == second[4] == second[5] != "Smith"
+    third = re.fullmatch(rf"Sir {name}, Sir {name}; Prof {name}\.", got[2])
+    assert third and third[1] == third[2] and third[3] != "Macleod"
+
+
+def test_figures_stay(spark):
+    texts = [
+        "a total of 10.000.000 and 1.234.567.890", "12 345 6789 units", "ISBN 978-3-16-148410-0", "ISBN 978-12-345-6789-0",
+        "100 200 300", "version 1.2.3, 3.1415 and 1990-2000",
+    ]
+    assert rewritten(spark, texts) == texts
+    numbers = ["020 7946 0958", "212-555-0123", "212 555 0123", "(020) 7946 0958", "+44 20 7946 0958", "12-345-6789", "030.1234.5678"]
+    for before, after in zip(numbers, rewritten(spark, numbers)):
+        assert before != after and re.sub(r"\d", "9", before) == re.sub(r"\d", "9", after)
+
+
+def test_surrogates_by_brute_force(spark):
+    """Texts put together from known entities and clean words: the words stay, each entity has one surrogate, in the
+    format of the mention, and no two share one."""
+    rng = np.random.default_rng(3)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    people = {
+        "mail": [f"u{digits(5)}@host{digits(2)}.org" for _ in range(20)],
+        "national": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(20)],
+        "phone": [f"+49 {1 + i} {digits(8)}".replace(f" {1 + i} ", f" {30 + i} ") for i in range(20)],
+        "secret": [hashlib.sha256(digits(9).encode()).hexdigest() for _ in range(20)],
+    }
+    clean = "the report of 2024 lists 3 pages, 10.000.000 words and version 2.1 of it".split()
+    shapes = [[(str(k), v) if rng.random() < 0.3 else (None, str(rng.choice(clean))) for k in rng.choice(list(people), 30)
+               for v in [str(rng.choice(people[k]))]] for _ in range(60)]
+    made: dict[tuple[str, str], str] = {}
+    for shape, got in zip(shapes, rewritten(spark, [" ; ".join(v for _, v in s) for s in shapes])):
+        cells = got.split(" ; ")
+        assert len(cells) == len(shape)
+        for (kind, before), after in zip(shape, cells):
+            if kind is None:
+                assert before == after
+            else:
+                assert before != after == made.setdefault((kind, before), after)
+                if kind != "mail":
+                    assert re.sub(r"\d", "9", before if kind != "secret" else "") == re.sub(r"\d", "9", after if kind != "secret" else "")
+    for kind, entities in people.items():
+        own = [n for (k, _), n in made.items() if k == kind]
+        assert len(set(own)) == len(own) and not set(own) & set(entities)
+
+
+def test_crowded_formats_change_places(spark, monkeypatch):
+    """More entities than free forms: still one to one, and none keeps its own."""
+    monkeypatch.setattr(surrogates, "CROWDED", 3)
+    monkeypatch.setattr(surrogates, "CIRCLE", 100)
+    rows = spark.range(800).selectExpr("'national_id' AS kind", "lpad(cast(id AS string), 3, '0') AS canon").unionByName(
+        spark.createDataFrame([("family", "smith"), ("title", "mr")], "kind string, canon string")
+    )
+    made = surrogates.surrogate_table(rows).collect()
+    ids = [r for r in made if r.kind == "national_id"]
+    assert len(made) == 802 and len({r.surrogate for r in ids}) == 800
+    assert all(r.surrogate != r.canon and re.fullmatch(r"\d{3}", r.surrogate) for r in ids)
+
+
 def test_surrogates_stay_distinct(spark):
     """Short numbers: many collide at first, none in the end."""
     rows = spark.range(300).selectExpr("'national_id' AS kind", "lpad(cast(id AS string), 3, '0') AS canon")
