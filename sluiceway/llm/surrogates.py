@@ -141,16 +141,26 @@ def _luhn(digits: Column, skip_last: bool) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), worth), F.lit(0), lambda a, x: a + x)
 
 
-def _candidate(key: str) -> Column:
-    """The surrogate in canonical form for (kind, canon, attempt)."""
-    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
-    stream = _stream(F.lit(key), F.when(kind.startswith("given"), "given").otherwise(kind), canon, attempt)
-    digits = F.translate(stream, "abcdef", "024681")
-    script = _script(canon)
+def _draw(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the digits and letters drawn for (kind, canon, attempt) in column ``drawn``: generated, not projected, so
+    they are hashed once an entity instead of once a character."""
+    kind, canon = F.col("kind"), F.col("canon")
+    stream = _stream(F.lit(key), F.when(kind.startswith("given"), "given").otherwise(kind), canon, F.col("attempt"))
+    df = df.select("*", F.explode(F.array(F.struct(stream.alias("stream"), _script(canon).alias("script")))).alias("seed"))
+    stream, script = F.col("seed.stream"), F.col("seed.script")
     letters = F.translate(stream, HEX, LATIN)
     for name, alphabet in SCRIPTS.items():
         letters = F.when(script == name, F.translate(stream, HEX, alphabet)).otherwise(letters)
-    hexed = F.translate(stream, "0123456789", "abcdefabcd")
+    return df.select("*", F.explode(F.array(F.struct(
+        stream.alias("stream"), script.alias("script"), letters.alias("letters"),
+        F.translate(stream, "abcdef", "024681").alias("digits"), F.translate(stream, "0123456789", "abcdefabcd").alias("hexed"),
+    ))).alias("drawn")).drop("seed")
+
+
+def _candidate(key: str) -> Column:
+    """The surrogate in canonical form for (kind, canon, attempt, drawn)."""
+    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    stream, digits, letters, hexed, script = (F.col(f"drawn.{c}") for c in ("stream", "digits", "letters", "hexed", "script"))
 
     def shaped(text: Column, fixed: Column, hexadecimal: Column) -> Column:
         """Digits for digits and letters for letters, after ``fixed`` characters that stay."""
@@ -212,8 +222,8 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     is itself an entity of the kind, but in crowded formats, where entities change places."""
     space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     now = land(
-        _spread(entities, "kind", "canon").withColumn("attempt", F.lit(0)).withColumn("space", space)
-        .withColumn("swapped", F.col("kind") == "title").withColumn("surrogate", _candidate(key)),
+        _draw(_spread(entities, "kind", "canon").withColumn("attempt", F.lit(0)).withColumn("space", space), key)
+        .withColumn("swapped", F.col("kind") == "title").withColumn("surrogate", _candidate(key)).drop("drawn"),
         "surrogates",
     )
     for attempt in range(1, ATTEMPTS + 1):
@@ -232,17 +242,19 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
         if attempt == CROWDED:
             now = land(_swapped(now.drop("form"), lost, key), "surrogates")
             continue
-        now = land(
-            now.drop("form").join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
-            .withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-            .withColumn("surrogate", F.when(F.col("again") == 1, _candidate(key)).otherwise(F.col("surrogate"))).drop("again"),
-            "surrogates",
-        )
+        now = land(_again(now.drop("form"), lost, key), "surrogates")
     else:
         raise RuntimeError("surrogates run out: names of a script outnumber all that can be made")
     return now.select("kind", "canon", "surrogate")
 
 
+def _again(now: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``now`` with the next attempt of the lost entities."""
+    tried = now.join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
+    tried = _draw(tried.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))), key)
+    return tried.withColumn("surrogate", F.when(F.col("again") == 1, _candidate(key)).otherwise(F.col("surrogate"))).select(now.columns)
+
+
 def _format() -> Column:
     """What a surrogate of (kind, canon) keeps: places of digits and letters, country, script, a valid check digit."""
     kind, canon = F.col("kind"), F.col("canon")
@@ -272,10 +284,8 @@ def _swapped(now: DataFrame, lost: DataFrame, key: str) -> DataFrame:
         "surrogate", F.coalesce(F.lead("canon").over(ring.orderBy("order")), "first")
     ).withColumn("swapped", F.lit(True))
     # names and mail that lost are drawn again
-    rest = dealt.where("crowded is null").join(lost.withColumn("again", F.lit(1)), ["kind", "canon"], "left").withColumn(
-        "attempt", F.col("attempt") + F.coalesce("again", F.lit(0))
-    ).withColumn("surrogate", F.when(F.col("again") == 1, _candidate(key)).otherwise(F.col("surrogate")))
-    return rest.select(now.columns).unionByName(moved.select(now.columns))
+    rest = _again(dealt.where("crowded is null").select(now.columns), lost, key)
+    return rest.unionByName(moved.select(now.columns))
 
 
 def _rendered() -> Column:
