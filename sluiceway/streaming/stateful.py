@@ -19,6 +19,9 @@ from sluiceway.operators.joins import field_aggregates, joined_text
 from sluiceway.schemas import TRIP_FIELDS
 from sluiceway.streaming.timers import Imputation
 
+#: Buckets that keys are dealt to: one call of Python a trigger for all keys of a bucket.
+BUCKETS = 256
+
 
 def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Watermarked rows with their event time in milliseconds; rows without a time count as the oldest."""
@@ -31,6 +34,29 @@ def _keyed(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+
+
+def _whole(rows: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """``rows`` whose whole numbers are 0 where they were null, with a flag each, as a null among them would turn all
+    of a frame to floats; the names of the flags; and the columns that sort by ``order``, nulls last."""
+    numbers = [f.name for f in rows.schema if isinstance(f.dataType, T.IntegralType)]
+    flags = {f"_null_{n}": F.col(n).isNull() for n in numbers}
+    zeros = {n: F.coalesce(F.col(n), F.lit(0).cast(rows.schema[n].dataType)) for n in numbers}
+    by = [c for o in order for c in ([f"_null_{o}", o] if o in numbers else [o])]
+    return rows.withColumns(flags).withColumns(zeros), list(flags), by
+
+
+def _nulled(rows: DataFrame, names: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """The columns ``names`` with the nulls that ``_whole`` took out."""
+    return rows.select(*[F.when(~F.col(f"_null_{n}"), F.col(n)).alias(n) if f"_null_{n}" in flags else n for n in names])
+
+
+def _with_flags(schema: T.StructType, flags: Sequence[str]) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(f, T.BooleanType()) for f in flags]])
+
+
 def _reduced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str) -> DataFrame:
     """One row for each key and Arrow batch, before the shuffle: a hot key ships a few rows per task."""
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,20 +231,25 @@ def impute_mean(
     delay: str = "10 minutes",
     slot_ms: int = 60_000,
     idle_ms: int = 86_400_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Fill missing readings from the sensor's last ``window`` readings in event time.
 
     Rows wait until the watermark has passed their time slot and are then taken in the order of
-    (event time, ``order``), whatever trigger they came in. Slots of ``slot_ms`` bound what is sorted at once.
-    A sensor's history is forgotten ``idle_ms`` after its last slot.
+    (event time, ``order``), whatever trigger they came in. Slots of ``slot_ms`` bound what is sorted at once: a slot
+    of one of the ``buckets`` that sensors are dealt to. A sensor's history is forgotten ``idle_ms`` after its last slot.
     """
     if window < 1:
         return readings.withColumn(output, F.col(field).cast("double"))
-    schema = T.StructType([*readings.schema.fields, T.StructField(output, T.DoubleType())])
-    timed = _timed(_keyed(readings, sensor), event_time, delay)
-    return timed.groupBy("_key").transformWithStateInPandas(
-        Imputation(field, window, order, output, timed.columns, slot_ms, idle_ms), schema, "Append", "eventTime"
+    own = readings.schema
+    keyed = _keyed(readings, sensor).withColumn("_value", F.col(field).cast("double"))
+    rows, flags, by = _whole(keyed, order)
+    timed = _bucketed(_timed(rows, event_time, delay), buckets)
+    schema = _with_flags(own, flags).add(output, "double")
+    filled = timed.groupBy("_bucket").transformWithStateInPandas(
+        Imputation(window, by, output, timed.columns, schema.names, slot_ms, idle_ms), schema, "Append", "eventTime"
     )
+    return _nulled(filled, [*own.names, output], flags)
 
 
 def semi_join(

@@ -246,3 +246,20 @@ def test_flow_goes_on_after_a_sink_failed(spark, tmp_path, monkeypatch):
     assert read_batches(spark, at.files).count() == 6
     assert [r.line for r in read_batches(spark, at.dead).collect()] == ["T1,{broken"]
     assert sorted(int(r.payload) for r in spark.read.json(at.outbox).collect()) == list(range(6))
+
+
+def test_sensors_of_one_bucket_and_large_numbers_beside_nulls(spark, feed, rows):
+    """All sensors in one bucket are filled each from its own readings, those without history stay missing, and whole
+    numbers stay exact although other rows of the bucket have none."""
+    schema = "msg_id bigint, taxi_identifier string, v double, event_time timestamp"
+    big = (1 << 60) + 1
+    data = [(big + i, f"t{i % 5}", None if i % 3 or i % 5 == 4 else float(i), clock(0, i)) for i in range(60)]
+    data += [(None, "t1", None, clock(0, 59)), (1, None, 8.0, clock(0, 1)), (2, None, None, clock(0, 2))]
+    fill = lambda: stateful.impute_mean(feed.stream(), "v", 2, output="o", delay="2 hours", slot_ms=600_000, buckets=1)
+    for part in (data[1::2], data[::2]):
+        feed.add(part, schema)
+        assert feed.run(fill()).count() == 0
+    feed.add([(3, "heartbeat", None, clock(9))], schema)
+    got = rows(feed.run(fill()).select("msg_id", "taxi_identifier", F.round("o", 9)))
+    batch = impute_mean(spark.createDataFrame(data, schema), "v", 2, order=("event_time", "msg_id"), output="o")
+    assert got == rows(batch.select("msg_id", "taxi_identifier", F.round("o", 9)))
