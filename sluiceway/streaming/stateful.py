@@ -17,10 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluiceway.operators.joins import field_aggregates, joined_text
 from sluiceway.schemas import TRIP_FIELDS
-from sluiceway.streaming.timers import Imputation
+from sluiceway.streaming.timers import GATHERED, Imputation, pack, unpack
 
 #: Buckets that keys are dealt to: one call of Python a trigger for all keys of a bucket.
 BUCKETS = 256
+NO_TIME, NEVER = -1 << 62, 1 << 62
 
 
 def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -171,12 +172,6 @@ def early_messages(
     return found.select(ids.alias(msg_id), *found.columns[1:])
 
 
-def _keep_until(state: GroupState, newest: pd.Timestamp | None, idle_ms: int) -> None:
-    if newest is not None and not pd.isna(newest):
-        since = max(state.getCurrentWatermarkMs(), int(newest.timestamp() * 1000))
-        state.setTimeoutTimestamp(since + idle_ms)
-
-
 def batch_gate(
     items: DataFrame,
     size: int = 10,
@@ -185,39 +180,70 @@ def batch_gate(
     event_time: str = "event_time",
     delay: str = "10 minutes",
     idle_ms: int = 86_400_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The item that brings its batch to ``size``; later items are swallowed.
 
-    State is a count per batch; it is dropped once the watermark is ``idle_ms`` past the batch's
-    last item.
+    State is a count per batch, kept in one table for each of ``buckets``; a batch is dropped once the watermark is
+    ``idle_ms`` past its last item. Of a trigger only the first items of each batch, up to the gate, are held.
     """
-    schema = items.schema
-    names = schema.names
-    items = items.withWatermark(event_time, delay)
+    names = items.schema.names
+    timed = _keyed(items, batch).withColumn("_ms", F.coalesce(F.unix_millis(F.col(event_time).cast("timestamp")), F.lit(NO_TIME)))
+    # the key is taken before its nulls become zeros
+    rows, flags, by = _whole(timed, [order])
+    flags = [f for f in flags if f != "_null__ms"]
+    rows = _bucketed(rows.drop("_null__ms"), buckets).withWatermark(event_time, delay)
+    out = _with_flags(items.schema, flags)
+
+    def first_rows(rows: pd.DataFrame, seen: pd.Series) -> pd.DataFrame:
+        """Of each batch the rows up to the gate, with ``_left``: how many more it needs from each on."""
+        rows = rows.sort_values(["_key", *by], kind="stable")
+        place = rows.groupby("_key", sort=False).cumcount()
+        need = size - rows["_key"].map(seen).fillna(0).astype("int64")
+        return rows.assign(_left=need - place)[(place < need).to_numpy()]
 
     def gate(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        if state.exists:
+            known = unpack(bytes(state.get[0])).set_index("_key")
+        else:
+            known = pd.DataFrame({"seen": 0, "until": 0}, index=pd.Index([], dtype=object, name="_key"), dtype="int64")
+        first, touched = None, []
+        if not state.hasTimedOut:
+            held, n = [], 0
+
+            def fold(rows: pd.DataFrame) -> pd.DataFrame:
+                return first_rows(rows if first is None else pd.concat([first, rows], ignore_index=True), known["seen"])
+
+            for frame in frames:
+                found = frame.groupby("_key")["_ms"]
+                touched.append(pd.DataFrame({"seen": found.size(), "until": found.max()}))
+                held.append(frame)
+                n += len(frame)
+                if n >= max(GATHERED, 0 if first is None else len(first)):
+                    first, held, n = fold(pd.concat(held, ignore_index=True)), [], 0
+            if n:
+                first = fold(pd.concat(held, ignore_index=True))
+        stays = known["until"] >= watermark
+        if touched:
+            own = pd.concat(touched).groupby(level=0).agg({"seen": "sum", "until": "max"}).rename_axis("_key")
+            own["seen"] += known["seen"].reindex(own.index).fillna(0).astype("int64")
+            latest = own["until"].to_numpy()
+            own["until"] = np.where(latest == NO_TIME, NEVER, np.maximum(latest, watermark) + idle_ms)
+            known = pd.concat([known[stays & ~known.index.isin(own.index)], own])
+        else:
+            known = known[stays]
+        if len(known):
+            state.update((pack(known.reset_index()),))
+            if known["until"].min() < NEVER:
+                state.setTimeoutTimestamp(max(int(known["until"].min()), watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        seen = state.get[0] if state.exists else 0
-        # only the first rows up to the gate can matter, so only those are held
-        need = size - seen
-        first, newest = None, None
-        arrived = 0
-        for frame in frames:
-            arrived += len(frame)
-            if len(frame):
-                latest = frame[event_time].max()
-                newest = latest if newest is None else max(newest, latest)
-            if need > 0 and len(frame):
-                first = frame if first is None else pd.concat([first, frame])
-                first = first.iloc[np.argsort(first[order].to_numpy(), kind="stable")[:need]]
-        state.update((seen + arrived,))
-        _keep_until(state, newest, idle_ms)
-        if need > 0 and seen + arrived >= size:
-            yield first.iloc[[-1]][names]
-
-    return items.groupBy(batch).applyInPandasWithState(gate, schema, "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        if first is not None:
+            yield first[first["_left"] == 1][out.names]
+
+    gated = rows.groupBy("_bucket").applyInPandasWithState(gate, out, "batches binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return _nulled(gated, names, flags)
 
 
 def impute_mean(

@@ -263,3 +263,19 @@ def test_sensors_of_one_bucket_and_large_numbers_beside_nulls(spark, feed, rows)
     got = rows(feed.run(fill()).select("msg_id", "taxi_identifier", F.round("o", 9)))
     batch = impute_mean(spark.createDataFrame(data, schema), "v", 2, order=("event_time", "msg_id"), output="o")
     assert got == rows(batch.select("msg_id", "taxi_identifier", F.round("o", 9)))
+
+
+def test_batches_of_one_bucket_pass_the_gate_and_expire_apart(feed, rows):
+    schema = "batch_id bigint, arrival bigint, event_time timestamp"
+    big = (1 << 60) + 1
+    gate = lambda: stateful.batch_gate(feed.stream(), 3, delay="1 minute", idle_ms=3_600_000, buckets=1)
+    feed.add([(b, big + n, clock(0, n)) for b in range(50) for n in range(2)] + [(None, n, clock(0)) for n in (7, 5, 6, 4)], schema)
+    assert rows(feed.run(gate()), "batch_id", "arrival") == [(None, 6)]
+    feed.add([(b, None if b == 3 else big + 2, clock(0, 30)) for b in range(0, 50, 2)] + [(3, None, clock(0, 30)), (1, big, None)], schema)
+    passed = [(None, 6), (1, big), (3, None), *[(b, big + 2) for b in range(0, 50, 2)]]
+    assert rows(feed.run(gate()), "batch_id", "arrival") == sorted(passed, key=repr)
+    feed.add([(99, 1, clock(5))], schema)
+    feed.run(gate())
+    # batch 5 was forgotten; batch 1, whose last item has no time, was not and stays passed
+    feed.add([(5, 8, clock(5)), (1, 8, clock(5))], schema)
+    assert rows(feed.run(gate()), "batch_id", "arrival") == sorted(passed, key=repr)
