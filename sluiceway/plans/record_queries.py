@@ -20,6 +20,8 @@ TRIP_VIEW_FIELDS = (
     ("tip_amount", "dollar", "v"), ("tolls_amount", "dollar", "v"), ("payment_type", "string", "sv"),
 )
 TRIP_VIEW_COLUMNS = tuple(n for n, _, _ in TRIP_VIEW_FIELDS)
+#: Lines of a landed file: bounds what a trigger of the flow holds, however large the table.
+LINES_PER_FILE = 250_000
 BLOOM_EXPECTED, BLOOM_FPP = 2000, 0.01
 
 
@@ -35,10 +37,15 @@ def senml_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Compressed, in files that one task reads and a few of which make a trigger."""
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+
+
 def landed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The SenML text as files, which is how a flow meets it."""
     lines = senml_lines(spark, sf)
-    path = landed(spark, sf, "senml-lines", lambda p: lines.write.text(p))
+    path = landed(spark, sf, "senml-lines", lambda p: write_lines(lines, p))
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

@@ -279,3 +279,14 @@ def test_batches_of_one_bucket_pass_the_gate_and_expire_apart(feed, rows):
     # batch 5 was forgotten; batch 1, whose last item has no time, was not and stays passed
     feed.add([(5, 8, clock(5)), (1, 8, clock(5))], schema)
     assert rows(feed.run(gate()), "batch_id", "arrival") == sorted(passed, key=repr)
+
+
+def test_landed_lines_are_small_files_of_the_same_lines(spark, rows, path, monkeypatch):
+    from sluiceway.plans import record_queries
+
+    monkeypatch.setattr(record_queries, "LINES_PER_FILE", 40)
+    lines = spark.range(100).selectExpr("concat('T', id, ',{\"bt\":', id, repeat('x', 200), '}') AS line").coalesce(1)
+    record_queries.write_lines(lines, path)
+    files = spark.read.format("binaryFile").load(path)
+    assert files.count() == 3 and files.agg(F.sum("length")).first()[0] < 100 * 200 / 4
+    assert rows(spark.read.text(path)) == rows(lines)
