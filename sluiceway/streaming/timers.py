@@ -84,7 +84,8 @@ class Imputation(StatefulProcessor):
 
     Rows wait in time slots, each in pieces as they came (a map by slot and piece), until the
     watermark passes the end of the slot. Then the slot is sorted and filled from each sensor's last
-    ``window`` readings. At most one slot of one bucket and the histories of its sensors are in memory.
+    ``window`` readings. At most one slot of one bucket, or small ones together, and the histories of its
+    sensors are in memory.
     """
 
     def __init__(
@@ -151,14 +152,18 @@ class Imputation(StatefulProcessor):
         watermark, slots = timerValues.getCurrentWatermarkInMs(), self._open()
         due = sorted(s for s in slots if s + self.slot_ms <= watermark)
         sensors, readings = self._known()
+        held, n = [], 0
         for slot in due:
-            pieces = [(slot, i) for i in range(slots.pop(slot))]
-            rows = pd.concat([unpack(bytes(self.waiting.getValue(p)[0])) for p in pieces], ignore_index=True)
-            for piece in pieces:
+            for piece in [(slot, i) for i in range(slots.pop(slot))]:
+                held.append(unpack(bytes(self.waiting.getValue(piece)[0])))
                 self.waiting.removeKey(piece)
-            sensors.loc[rows["_key"].unique(), "until"] = slot + self.slot_ms + self.idle_ms
-            filled, readings = self._filled(rows, readings)
-            yield filled[self.out]
+                n += len(held[-1])
+                sensors.loc[held[-1]["_key"].unique(), "until"] = slot + self.slot_ms + self.idle_ms
+            # small slots are sorted together
+            if n >= GATHERED or slot == due[-1]:
+                filled, readings = self._filled(pd.concat(held, ignore_index=True), readings)
+                held, n = [], 0
+                yield filled[self.out]
         if due:
             self.slots.update((list(slots), list(slots.values())))
         # whoever has rows waiting is not idle
