@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluiceway.operators.joins import field_aggregates, joined_text
+from sluiceway.operators.joins import joined_text
 from sluiceway.schemas import TRIP_FIELDS
+from sluiceway.streaming.assembly import Assembly, dealt, unpacked
 from sluiceway.streaming.timers import GATHERED, Imputation, pack, unpack
 
 #: Buckets that keys are dealt to: one call of Python a trigger for all keys of a bucket.
-BUCKETS = 256
+BUCKETS, MESSAGE_BUCKETS = 256, 32
 NO_TIME, NEVER = -1 << 62, 1 << 62
 
 
@@ -79,22 +80,33 @@ def message_join(
     value: str = "obs_val",
     seq: str = "seq",
     meta: Sequence[str] = (),
+    buckets: int = MESSAGE_BUCKETS,
 ) -> DataFrame:
     """Assemble messages from a stream of pieces, each with a time of its own.
 
     Pieces of a message meet while each follows another of them ``within`` that time. The message leaves once,
     when the watermark has passed that long without a piece: with ``complete`` if ``expected`` fields came,
-    else without. Of a field the piece with the largest ``seq`` counts. State is one fixed-size row per open
-    message, folded in the tasks that read the pieces.
+    else without. Of a field the piece with the largest ``seq`` counts. Pieces are folded in the tasks that read
+    them and dealt to ``buckets``; state is their packed pieces. A trigger writes what it brings and reads back only
+    what the watermark has reached, of a bucket at once: set ``buckets`` to the open messages over about 100,000.
     """
     expected = len(fields) if expected is None else expected
-    gathered = (
-        pieces.withWatermark(event_time, delay)
-        .groupBy(msg_id, F.session_window(event_time, within).alias("_open"))
-        .agg(*field_aggregates(fields, name, value, seq, meta))
+    places = F.coalesce(*[F.when(F.col(name) == f, F.lit(i)) for i, f in enumerate(fields) if f not in meta], F.lit(-1))
+    ends = F.col(event_time) + F.expr(f"INTERVAL {within}")
+    parts = _bucketed(_keyed(pieces.withWatermark(event_time, delay), msg_id), buckets).select(
+        "_bucket", "_key", F.unix_micros(F.col(event_time).cast("timestamp")).alias("_start"),
+        F.unix_micros(ends.cast("timestamp")).alias("_end"), places.alias("_field"),
+        F.col(value).alias("_value"), F.col(seq).alias("_seq"), *meta,
+    ).where("_end > _start")
+    packed = parts.mapInArrow(dealt(buckets, len(fields), tuple(meta)), "_bucket int, _rows binary")
+    gathered = packed.groupBy("_bucket").transformWithStateInPandas(
+        Assembly(fields, expected, meta), "_rows binary", "Append", "eventTime"
     )
-    return gathered.select(
-        msg_id, *fields, (F.col("_seen") >= expected).alias("complete"), joined_text(fields).alias("joined_value")
+    kinds = [T.StructField(f, pieces.schema[f if f in meta else value].dataType) for f in fields]
+    out = T.StructType([T.StructField("_key", T.StringType()), *kinds, T.StructField("complete", T.BooleanType())])
+    ids = F.when(F.col("_key") != "", F.expr("substr(_key, 2)")).cast(pieces.schema[msg_id].dataType)
+    return gathered.mapInArrow(unpacked, out).select(
+        ids.alias(msg_id), *fields, "complete", joined_text(fields).alias("joined_value")
     )
 
 
@@ -116,7 +128,7 @@ def early_messages(
     It leaves with ``complete`` as soon as ``expected`` fields have come, or without it
     ``within_ms`` after the time of the pieces that came first. Of a field the piece with the largest ``seq``
     counts. What is sent again to a message that has left is swallowed until its timer has passed. Each
-    message is a call of Python in each trigger that touches it; ``message_join`` stays in the JVM.
+    message is a call of Python in each trigger that touches it; ``message_join`` has one for each bucket of messages.
     """
     expected = len(fields) if expected is None else expected
     columns = [msg_id, event_time, name, value, seq, *meta]

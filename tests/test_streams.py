@@ -75,6 +75,36 @@ def test_message_join_over_restarts(feed, rows):
     assert (2, "new@new", True) in got()
 
 
+def test_message_join_of_odd_pieces(feed, rows):
+    schema = PIECE.replace("obs_val string", "obs_val int") + ", kind string"
+    join = lambda: stateful.message_join(feed.stream(), ["kind", "a", "b"], within="1 hour", delay="1 hour", meta=["kind"], buckets=2)
+    feed.add([
+        (1, clock(1), "a", 7, 1, None), (1, clock(2), "b", None, 2, "j"), (1, clock(1, 30), "b", 5, 1, "k"),  # each just in time
+        (2, clock(1), "a", 1, 1, "k"), (2, clock(2, 1), "b", 2, 1, "k"),  # too late for one another
+        (3, clock(1), "a", 3, None, None), (4, clock(1), "unknown", 4, 1, None), (None, clock(1), "b", 6, 1, None), (5, None, "a", 1, 1, "k"),
+    ], schema)
+    feed.run(join())
+    feed.add([(1, clock(2, 59), "a", 8, 2, None), (9, clock(9), "a", 1, 1, None)], schema)
+    got = rows(feed.run(join()), "msg_id", "kind", "a", "b", "complete")
+    assert got == sorted([
+        (1, "k", 8, None, True), (2, "k", 1, None, False), (2, "k", None, 2, False), (3, None, None, None, False),
+        (4, None, None, None, False), (None, None, None, 6, False),
+    ], key=repr)
+
+
+def test_message_join_keeps_buckets(spark, tmp_path):
+    """State has entries for buckets and triggers, not for each open message."""
+    source = str(tmp_path / "source")
+    for part in range(3):
+        spark.range(3000).select(
+            "id", F.lit(clock(1)).alias("event_time"), F.lit("abc"[part]).alias("obs_type"), F.lit("x").alias("obs_val"), F.lit(1).alias("seq")
+        ).coalesce(1).write.mode("append").parquet(source)
+    stream = stream_files(spark, source, "parquet", spark.read.parquet(source).schema, batch_files=1)
+    query = runs.to_files(stateful.message_join(stream, ["a", "b", "c"], msg_id="id"), str(tmp_path / "out"), str(tmp_path / "log"))
+    runs.drain(query)
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) < 600
+
+
 def test_meta_fields_and_repeated_pieces(feed, rows):
     schema = PIECE + ", kind string"
     feed.add([(1, clock(0), "a", "old", 1, None), (1, clock(0), "a", None, 2, "k"), (1, clock(0), "z", "unknown", 1, "j")], schema)
