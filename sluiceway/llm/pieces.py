@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -37,6 +38,7 @@ UNKNOWN_PENALTY = 10.0
 LONG_ATOM = 256
 TASK_ATOMS = 20_000
 RARE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -78,18 +80,72 @@ def atoms_of(word: str, pairs: frozenset[str]) -> list[str]:
 
 
 class Cutter:
-    """Atoms of words, remembered for a bounded number of words."""
+    """Cuts texts at once wherever ``atoms_of`` cuts their words.
 
-    def __init__(self, pairs: frozenset[str], most: int = 200_000):
-        self.pairs, self.most, self.known = pairs, most, {}
+    No piece holds a space behind another character, so each word begins at a cut. ``most`` characters are looked at
+    at once.
+    """
 
-    def __call__(self, word: str) -> list[str]:
-        atoms = self.known.get(word)
-        if atoms is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            atoms = self.known[word] = atoms_of(word, self.pairs)
-        return atoms
+    def __init__(self, pairs: frozenset[str], most: int = 1 << 16):
+        self.most = most
+        letters = sorted({c for p in pairs for c in p} | {SPACE})
+        self.classes = np.zeros(0x110000, "int32" if len(letters) < 40_000 else "int64")
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.classes[ord(" ")] = self.classes[ord(SPACE)]
+        self.width = len(letters) + 1
+        self.joined = np.sort(np.array([self._pair(*self.classes[[ord(p[0]), ord(p[1])]]) for p in pairs], "int64"))
+        self.table = None
+        if self.width ** 2 <= 1 << 25:
+            self.table = np.zeros(self.width ** 2, bool)
+            self.table[self.joined] = True
+
+    def _pair(self, left, right):
+        return left * self.width + right
+
+    def _together(self, classes: np.ndarray) -> np.ndarray:
+        pair = self._pair(classes[:-1], classes[1:])
+        if self.table is not None:
+            return self.table[pair]
+        place = np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)
+        return self.joined[place] == pair if len(self.joined) else np.zeros(len(pair), bool)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The atoms of ``texts`` as places among the distinct ones, these, and the bounds of each text's atoms."""
+        texts = texts.fill_null("")
+        led = pc.if_else(pc.greater(pc.binary_length(texts), 0), " ", "")
+        texts = pc.replace_substring(pc.binary_join_element_wise(led, texts, ""), SPACE, " ")
+        bounds = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64"))
+        if not bounds[-1]:
+            return np.zeros(0, "int64"), pa.array([], pa.string()), bounds
+        data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_buffer()
+        whole, starts, done = str(data, "utf-8"), [], 0
+        for i in range(0, len(whole), self.most):
+            part = whole[i:i + self.most]
+            raw = part.encode()
+            before = whole[i - 1] if i else ""
+            cut = ~self._together(self.classes[np.frombuffer((before + part).encode("utf-32-le"), "<u4")])
+            at = np.flatnonzero(cut if i else np.append(True, cut))
+            if len(raw) > len(part):  # from characters to bytes
+                at = np.flatnonzero((np.frombuffer(raw, "uint8") & 0xC0) != 0x80)[at]
+            starts.append(at + done)
+            done += len(raw)
+        starts, heads = np.concatenate(starts), bounds[:-1][np.diff(bounds) > 0]
+        heads = heads[starts[np.minimum(np.searchsorted(starts, heads), len(starts) - 1)] != heads]
+        starts = np.sort(np.append(starts, heads)) if len(heads) else starts
+        offsets = np.append(starts, bounds[-1]).astype("int32")
+        found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+        return found.indices.to_numpy(), pc.replace_substring(found.dictionary, " ", SPACE), np.searchsorted(starts, bounds)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of texts of about ``SLICE_BYTES``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype("int64")
+        part = np.cumsum(sizes) // SLICE_BYTES
+        at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(at, at[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
 
 
 def atoms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -97,19 +153,11 @@ def atoms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pairs = vocabulary.pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch["text"].to_pylist():
-                words.update(words_of(text or ""))
-            found: Counter[str] = Counter()
-            for word, n in words.items():
-                for atom in atoms_of(word, pairs):
-                    found[atom] += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["atom", "n"]
-            )
+        cut = Cutter(pairs)
+        for batch in slices(batches):
+            places, distinct, _ = cut(batch["text"])
+            n = np.bincount(places, minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([distinct, pa.array(n, pa.int64())], ["atom", "n"])
 
     return docs.select("text").mapInArrow(count, "atom string, n long").groupBy("atom").agg(F.sum("n").alias("n"))
 
@@ -227,6 +275,67 @@ def dictionary(
     return found.select("atom", ids.alias("ids"), "n").unionByName(long)
 
 
+class Head:
+    """The encodings of the most frequent atoms, and texts as codes: ids, and from ``base`` on the places of
+    the text's other atoms in the order in which they first come."""
+
+    def __init__(self, atoms: pa.Array, ids: pa.Array, base: int, pairs: frozenset[str]):
+        self.atoms, self.base, self.cut = atoms, base, Cutter(pairs)
+        self.ids = _words(ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Codes, the bounds of each text's codes, and for each text and other atom of it: text, atom."""
+        places, distinct, bounds = self.cut(texts)
+        known = pc.index_in(distinct, value_set=self.atoms)
+        rare = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
+        entry = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype("int64")
+        entry[rare] = len(self.atoms) + np.arange(len(rare))
+        entry = entry[places]
+        every = pa.concat_arrays([self.ids, _words(np.arange(self.base, self.base + len(rare)))])
+        taken = every.take(pa.array(entry))
+        ends = np.append(0, np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False), dtype="int64")) // 4
+        codes = _joined(taken).copy()
+        # the other atoms, numbered within their text
+        at = np.flatnonzero(entry >= len(self.atoms))
+        text = np.searchsorted(bounds, at, side="right") - 1
+        pair, first, which = np.unique(text * (len(rare) + 1) + entry[at] - len(self.atoms), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        owner = pair[order] // (len(rare) + 1)
+        number = np.empty(len(order), "int64")
+        number[order] = np.arange(len(order)) - np.searchsorted(owner, owner)
+        codes[ends[at]] = self.base + number[which]
+        return codes, ends[bounds], owner, distinct.take(pa.array(rare[pair[order] % (len(rare) + 1)]))
+
+
+def _words(ids: pa.Array | np.ndarray) -> pa.Array:
+    """Lists of ids, or single ones, as unsigned 32-bit little-endian bytes."""
+    if isinstance(ids, pa.Array):
+        ends, flat = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype="int64")), ids.flatten().to_numpy()
+    else:
+        ends, flat = np.arange(len(ids) + 1), ids
+    buffers = [None, pa.py_buffer((ends * 4).astype("int32")), pa.py_buffer(flat.astype("<u4"))]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+
+
+def _joined(cells: pa.Array) -> np.ndarray:
+    """The ids of binary cells, one after the other."""
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells), b"")[0].as_buffer()
+    return np.frombuffer(whole, "<u4") if whole is not None else np.zeros(0, "<u4")
+
+
+def filled(codes: np.ndarray, base: int, rare: list[dict]) -> np.ndarray:
+    """The ids of a text's codes, given ``place`` and ``ids`` of its other atoms."""
+    at = np.flatnonzero(codes >= base)
+    if not len(at):
+        return codes
+    ids = {r["place"]: np.array(r["ids"], "<u4") for r in rare}
+    cells, last = [], 0
+    for i in at.tolist():
+        cells += [codes[last:i], ids[int(codes[i]) - base]]
+        last = i + 1
+    return np.concatenate([*cells, codes[last:]])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS) -> DataFrame:
     """doc_id and ids (unsigned 32-bit, little-endian) of each document."""
     spark = docs.sparkSession
@@ -234,61 +343,72 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS
     # bounded: head_atoms rows, an atom of up to 32 characters each
     head_rows = words.where(F.length("atom") <= 32).orderBy(F.desc("n"), "atom").limit(head_atoms).select("atom", "ids")
     head_rows = land(head_rows, "atom-head")
-    columns = head_rows.toArrow()
-    head = spark.sparkContext.broadcast((
-        columns["atom"].to_pylist(),
-        [np.asarray(i.values.to_numpy(zero_copy_only=False), "<u4").tobytes() for c in columns["ids"].chunks for i in c],
+    columns = head_rows.toArrow().combine_chunks()
+    sent = spark.sparkContext.broadcast(tuple(
+        columns[c].chunk(0) if columns.num_rows else pa.array([], columns.schema.field(c).type) for c in ("atom", "ids")
     ))
     del columns
     tail = words.join(head_rows.select("atom"), "atom", "left_anti").select("atom", "ids")
-    pairs, kind = vocabulary.pairs, dict(docs.dtypes)["doc_id"]
+    pairs, kind, base = vocabulary.pairs, dict(docs.dtypes)["doc_id"], max([*vocabulary.words, vocabulary.unknown]) + 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = frozenset(head.value[0]), Cutter(pairs)
-        for batch in batches:
-            at, rare = [], []
-            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
-                own = {a for w in set(words_of(text or "")) for a in cut(w) if a not in known}
-                at += [row] * len(own)
-                rare += own
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rare, pa.string())], ["row", "atom"])
+        head = Head(*sent.value, base, pairs)
+        for batch in slices(batches):
+            _, _, owner, atom = head(batch["text"])
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(owner)), pa.array(place, pa.int32()), atom], ["row", "place", "atom"])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Head(*sent.value, base, pairs)
+        for batch in slices(batches):
+            codes, bounds, _, _ = head(batch["text"])
+            narrow = codes.astype("<u2" if len(codes) and codes.max() < 1 << 16 else "<u4")
+            cells = [narrow[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([
+                batch["row"], batch["doc_id"], pa.array(np.diff(bounds), pa.int64()), pa.array([len(c) for c in cells], pa.int64()),
+                pa.array([pa.compress(c, "zstd", asbytes=True) if c else b"" for c in cells], pa.binary()),
+            ], ["row", "doc_id", "n", "size", "codes"])
 
     lists = land(
-        rows.mapInArrow(wanted, "row long, atom string").join(tail, "atom")
-        .groupBy("row").agg(F.collect_list(F.struct("atom", "ids")).alias("rare")),
+        rows.mapInArrow(wanted, "row long, place int, atom string").join(tail, "atom")
+        .groupBy("row").agg(F.collect_list(F.struct("place", "ids")).alias("rare")),
         "rare-atoms",
     )
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = dict(zip(*head.value)), Cutter(pairs)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for text, rare in zip(part["text"].to_pylist(), part["rare"].to_pylist()):
-                    own = {r["atom"]: np.array(r["ids"], "<u4").tobytes() for r in rare or ()}
-                    found = [a for w in words_of(text or "") for a in cut(w)]
-                    out.append(b"".join([known[a] if a in known else own[a] for a in found]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    # whole texts are shuffled only where the rare atoms are too many to travel
-    return lookup(rows, lists, "row", "left", RARE_BYTES).select("doc_id", "text", "rare").mapInArrow(coded, f"doc_id {kind}, ids binary")
+                part, out = batch.slice(at, 64), []
+                for n, size, codes, rare in zip(*(part[c].to_pylist() for c in ("n", "size", "codes", "rare"))):
+                    data = pa.decompress(codes, size, "zstd", asbytes=True) if n else b""
+                    codes = np.frombuffer(data, f"<u{size // n}" if n else "<u4").astype("<u4")
+                    out.append(filled(codes, base, rare or ()).tobytes())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+    # where the rare atoms are too many to travel, codes are shuffled, not texts
+    texts = rows.mapInArrow(coded, f"row long, doc_id {kind}, n long, size long, codes binary")
+    return lookup(texts, lists, "row", "left", RARE_BYTES).select("doc_id", "n", "size", "codes", "rare").mapInArrow(
+        whole, f"doc_id {kind}, ids binary"
+    )
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded`` with the text its ids spell, in column ``decoded``."""
-    words, unknown = vocabulary.words, " ⁇ ".encode()
+    unknown = " ⁇ ".encode()
+    # the last stands for all that are not pieces
+    words = [vocabulary.words.get(i, unknown) for i in range(max(vocabulary.words, default=0) + 2)]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = pa.array(words, pa.binary())
         for batch in batches:
-            out = []
-            for ids in batch["ids"].to_pylist():
-                data = b"".join([words.get(i, unknown) for i in np.frombuffer(ids or b"", "<u4").tolist()])
-                out.append(data.decode("utf-8", "replace").removeprefix(" "))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"]
-            )
+            for at in range(0, batch.num_rows, 64):
+                part, out = batch.slice(at, 64), []
+                for ids in part["ids"].to_pylist():
+                    places = np.minimum(np.frombuffer(ids or b"", "<u4"), len(words) - 1).astype("int64")
+                    spelt = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), table_.take(pa.array(places)))
+                    out.append(pc.binary_join(spelt, b"")[0].as_py().decode("utf-8", "replace").removeprefix(" "))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(spell, StructType([*encoded.schema, StructField("decoded", StringType())]))
 

@@ -5,6 +5,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -491,6 +492,34 @@ def test_pieces(spark, docs, none):
         assert worth(ours) == pytest.approx(max(map(worth, several))), words[r.doc_id]
 
 
+def test_pieces_in_slices(docs, monkeypatch):
+    """Texts cut at once are cut like their words; the join with rare atoms ships codes, not texts."""
+    vocabulary = pieces.Vocabulary(pieces.piece_model())
+    odd = [*TEXTS[:7], "", " a  b ", "▁x▁▁ y▁", "qx\n\tzq ", "日本語 qx日本語 😀"]
+    want = [[a for w in pieces.words_of(text(t)) for a in pieces.atoms_of(w, vocabulary.pairs)] for t in odd]
+    for cut in (pieces.Cutter(vocabulary.pairs), pieces.Cutter(vocabulary.pairs, 3)):
+        if cut.most == 3:  # a vocabulary of too many letters for a table of pairs
+            cut.table = None
+        places, distinct, bounds = cut(pa.array(odd, pa.string()))
+        found = [distinct[int(p)].as_py() for p in places]
+        assert [found[a:b] for a, b in zip(bounds, bounds[1:])] == want
+    ids = lambda atom: [len(atom), 7]
+    known = sorted({a for w in want for a in w})[::3]
+    head = pieces.Head(pa.array(known, pa.string()), pa.array([ids(a) for a in known], pa.list_(pa.int32())), 1000, vocabulary.pairs)
+    codes, bounds, owner, atoms = head(pa.array(odd, pa.string()))
+    for i, atoms_ in enumerate(want):
+        own = [a for a, o in zip(atoms.to_pylist(), owner) if o == i]
+        assert own == list(dict.fromkeys(a for a in atoms_ if a not in known))
+        rare = [{"place": p, "ids": ids(a)} for p, a in enumerate(own)]
+        assert pieces.filled(codes[bounds[i]:bounds[i + 1]], 1000, rare).tolist() == [x for a in atoms_ for x in ids(a)]
+    monkeypatch.setattr(pieces, "RARE_BYTES", -1)
+    encoded = pieces.encode(docs.where("length(text) < 100"), vocabulary, head_atoms=3)
+    above = encoded._jdf.queryExecution().executedPlan().toString().split("Join ")[0]
+    assert "codes#" in above and "text#" not in above
+    got = pieces.decode(encoded, vocabulary).collect()
+    assert sorted(r.decoded for r in got) == sorted(r.text for r in docs.where("length(text) < 100").collect())
+
+
 # surrogates
 
 def test_surrogates(docs, none):
