@@ -38,7 +38,8 @@ UNKNOWN_PENALTY = 10.0
 LONG_ATOM = 256
 TASK_ATOMS = 20_000
 RARE_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
+PART_ROWS = 128
 
 
 class Vocabulary:
@@ -283,28 +284,38 @@ class Head:
         self.atoms, self.base, self.cut = atoms, base, Cutter(pairs)
         self.ids = _words(ids)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Codes, the bounds of each text's codes, and for each text and other atom of it: text, atom."""
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, tuple[np.ndarray, ...]]:
+        """Of each atom of ``texts`` its row in the head, or behind it; the bounds of each text's atoms; the other
+        atoms; and where these stand, and for each text and other atom the text, the atom and at which of these places."""
         places, distinct, bounds = self.cut(texts)
         known = pc.index_in(distinct, value_set=self.atoms)
         rare = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
         entry = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype("int64")
         entry[rare] = len(self.atoms) + np.arange(len(rare))
         entry = entry[places]
-        every = pa.concat_arrays([self.ids, _words(np.arange(self.base, self.base + len(rare)))])
-        taken = every.take(pa.array(entry))
-        ends = np.append(0, np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False), dtype="int64")) // 4
-        codes = _joined(taken).copy()
-        # the other atoms, numbered within their text
         at = np.flatnonzero(entry >= len(self.atoms))
-        text = np.searchsorted(bounds, at, side="right") - 1
-        pair, first, which = np.unique(text * (len(rare) + 1) + entry[at] - len(self.atoms), return_index=True, return_inverse=True)
+        text, n = np.searchsorted(bounds, at, side="right") - 1, max(1, len(rare))
+        pair, first, which = np.unique(text * n + entry[at] - len(self.atoms), return_index=True, return_inverse=True)
+        # in the order in which they first come
         order = np.argsort(first)
-        owner = pair[order] // (len(rare) + 1)
         number = np.empty(len(order), "int64")
-        number[order] = np.arange(len(order)) - np.searchsorted(owner, owner)
-        codes[ends[at]] = self.base + number[which]
-        return codes, ends[bounds], owner, distinct.take(pa.array(rare[pair[order] % (len(rare) + 1)]))
+        number[order] = np.arange(len(order))
+        return entry, bounds, distinct.take(pa.array(rare)), (at, pair[order] // n, pair[order] % n, number[which])
+
+    def others(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """For each text and other atom of it: text, atom."""
+        _, _, rare, (_, owner, atom, _) = self._places(texts)
+        return owner, rare.take(pa.array(atom))
+
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and the bounds of each text's codes."""
+        entry, bounds, rare, (at, owner, _, which) = self._places(texts)
+        every = pa.concat_arrays([self.ids, _words(np.arange(self.base, self.base + len(rare)))])
+        taken = every.take(pa.array(entry))
+        ends = np.frombuffer(taken.buffers()[1], "int32")[:len(entry) + 1] // 4 if len(entry) else np.zeros(1, "int32")
+        codes = _ids(taken).copy()
+        codes[ends[at]] = self.base + (np.arange(len(owner)) - np.searchsorted(owner, owner))[which]
+        return codes, ends[bounds]
 
 
 def _words(ids: pa.Array | np.ndarray) -> pa.Array:
@@ -317,23 +328,33 @@ def _words(ids: pa.Array | np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
 
 
-def _joined(cells: pa.Array) -> np.ndarray:
-    """The ids of binary cells, one after the other."""
-    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells), b"")[0].as_buffer()
-    return np.frombuffer(whole, "<u4") if whole is not None else np.zeros(0, "<u4")
+def _ids(cells: pa.Array) -> np.ndarray:
+    """The ids in binary cells that were just taken, one after the other."""
+    data = cells.buffers()[2]
+    return np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
 
 
-def filled(codes: np.ndarray, base: int, rare: list[dict]) -> np.ndarray:
-    """The ids of a text's codes, given ``place`` and ``ids`` of its other atoms."""
+def filled(codes: np.ndarray, bounds: np.ndarray, base: int, rare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts' codes and their bounds, given ``place`` and ``ids`` of the other atoms of each text."""
     at = np.flatnonzero(codes >= base)
     if not len(at):
-        return codes
-    ids = {r["place"]: np.array(r["ids"], "<u4") for r in rare}
-    cells, last = [], 0
-    for i in at.tolist():
-        cells += [codes[last:i], ids[int(codes[i]) - base]]
-        last = i + 1
-    return np.concatenate([*cells, codes[last:]])
+        return codes, bounds
+    n = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
+    own, before = rare.flatten(), np.cumsum(n) - n
+    place, ids = pc.struct_field(own, "place").to_numpy(), pc.struct_field(own, "ids")
+    row = np.empty(len(place), "int64")
+    row[np.repeat(before, n) + place] = np.arange(len(place))
+    row = row[before[np.searchsorted(bounds, at, side="right") - 1] + codes[at] - base]
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype("int64")
+    size = np.ones(len(codes), "int64")
+    size[at] = sizes[row]
+    ends = np.append(0, np.cumsum(size))
+    out = np.empty(ends[-1], "<u4")
+    out[np.delete(ends[:-1], at)] = np.delete(codes, at)
+    # each id's distance from the first of its atom
+    step = np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+    out[np.repeat(ends[at], size[at]) + step] = ids.flatten().to_numpy()[np.repeat((np.cumsum(sizes) - sizes)[row], size[at]) + step]
+    return out, ends[bounds]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS) -> DataFrame:
@@ -355,14 +376,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = Head(*sent.value, base, pairs)
         for batch in slices(batches):
-            _, _, owner, atom = head(batch["text"])
+            owner, atom = head.others(batch["text"])
             place = np.arange(len(owner)) - np.searchsorted(owner, owner)
             yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(owner)), pa.array(place, pa.int32()), atom], ["row", "place", "atom"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = Head(*sent.value, base, pairs)
         for batch in slices(batches):
-            codes, bounds, _, _ = head(batch["text"])
+            codes, bounds = head.codes(batch["text"])
             narrow = codes.astype("<u2" if len(codes) and codes.max() < 1 << 16 else "<u4")
             cells = [narrow[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([
@@ -378,12 +399,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head_atoms: int = HEAD_ATOMS
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), []
-                for n, size, codes, rare in zip(*(part[c].to_pylist() for c in ("n", "size", "codes", "rare"))):
-                    data = pa.decompress(codes, size, "zstd", asbytes=True) if n else b""
-                    codes = np.frombuffer(data, f"<u{size // n}" if n else "<u4").astype("<u4")
-                    out.append(filled(codes, base, rare or ()).tobytes())
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part, found = batch.slice(at, PART_ROWS), []
+                for n, size, cell in zip(*(part[c].to_pylist() for c in ("n", "size", "codes"))):
+                    data = pa.decompress(cell, size, "zstd", asbytes=True) if n else b""
+                    found.append(np.frombuffer(data, f"<u{size // n}" if n else "<u4").astype("<u4", copy=False))
+                bounds = np.append(0, np.cumsum([len(f) for f in found]))
+                ids, bounds = filled(np.concatenate(found).astype("<u4"), bounds, base, part["rare"])
+                data = ids.tobytes()
+                out = [data[4 * a:4 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     # where the rare atoms are too many to travel, codes are shuffled, not texts
@@ -400,14 +424,16 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     words = [vocabulary.words.get(i, unknown) for i in range(max(vocabulary.words, default=0) + 2)]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = pa.array(words, pa.binary())
+        table_, sizes = pa.array(words, pa.binary()), np.array([len(w) for w in words])
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), []
-                for ids in part["ids"].to_pylist():
-                    places = np.minimum(np.frombuffer(ids or b"", "<u4"), len(words) - 1).astype("int64")
-                    spelt = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), table_.take(pa.array(places)))
-                    out.append(pc.binary_join(spelt, b"")[0].as_py().decode("utf-8", "replace").removeprefix(" "))
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                cells = [c or b"" for c in part["ids"].to_pylist()]
+                places = np.minimum(np.frombuffer(b"".join(cells), "<u4"), len(words) - 1)
+                spelt = table_.take(pa.array(places))
+                data = bytes(spelt.buffers()[2] or b"")
+                ends = np.append(0, np.cumsum(sizes[places]))[np.append(0, np.cumsum([len(c) // 4 for c in cells]))].tolist()
+                out = [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(spell, StructType([*encoded.schema, StructField("decoded", StringType())]))

@@ -506,12 +506,15 @@ def test_pieces_in_slices(docs, monkeypatch):
     ids = lambda atom: [len(atom), 7]
     known = sorted({a for w in want for a in w})[::3]
     head = pieces.Head(pa.array(known, pa.string()), pa.array([ids(a) for a in known], pa.list_(pa.int32())), 1000, vocabulary.pairs)
-    codes, bounds, owner, atoms = head(pa.array(odd, pa.string()))
+    texts, rare = pa.array(odd, pa.string()), []
+    codes, bounds = head.codes(texts)
+    owner, atoms = head.others(texts)
     for i, atoms_ in enumerate(want):
         own = [a for a, o in zip(atoms.to_pylist(), owner) if o == i]
         assert own == list(dict.fromkeys(a for a in atoms_ if a not in known))
-        rare = [{"place": p, "ids": ids(a)} for p, a in enumerate(own)]
-        assert pieces.filled(codes[bounds[i]:bounds[i + 1]], 1000, rare).tolist() == [x for a in atoms_ for x in ids(a)]
+        rare.append([{"place": p, "ids": ids(a)} for p, a in enumerate(own)][::-1] or None)
+    got, bounds = pieces.filled(codes, bounds, 1000, pa.array(rare, pa.list_(pa.struct({"place": pa.int32(), "ids": pa.list_(pa.int32())}))))
+    assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[x for a in atoms_ for x in ids(a)] for atoms_ in want]
     monkeypatch.setattr(pieces, "RARE_BYTES", -1)
     encoded = pieces.encode(docs.where("length(text) < 100"), vocabulary, head_atoms=3)
     above = encoded._jdf.queryExecution().executedPlan().toString().split("Join ")[0]
